@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import table
+from tickloom.llm.common import shared_dir, table
+from tickloom.llm.minhash import near_duplicates
 from tickloom.llm.mixing import mix_sources
 from tickloom.llm.packing import pack_best_fit
 from tickloom.llm.secrets import scan_secrets
+from tickloom.llm.sharding import assign_shards
+from tickloom.llm.tokens import token_index, write_tokens
 from tickloom.llm.toxicity import fit_toxicity, score_toxicity
 
 #: Target weights of op1: src0 alone is a third of the input and is cut to an eighth; src1 is tripled.
@@ -55,6 +59,47 @@ FROM copies
 """
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, part=80, whole=100)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]] ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh
+  FROM w
+), item AS (
+  SELECT doc_id, len(sh) AS n, hash(unnest(sh)) AS h FROM s
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM item a JOIN item b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), link AS (
+  SELECT a AS u, b AS v FROM pair UNION ALL SELECT b, a FROM pair
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, link.v FROM reach JOIN link ON reach.r = link.u
+)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, min(r) AS component_id, s.doc_id = min(r) AS kept FROM s JOIN reach USING (doc_id) GROUP BY s.doc_id, sh
+"""
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tickloom-tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path=tokenizer_path())
+    return token_index(spark, path).select(F.col("tk_id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op7_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -80,6 +125,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op6_token_binary": op6_token_binary,
+        "op7_balanced_shards": op7_balanced_shards,
         "op8_secret_scan": op8_secret_scan,
         "op9_toxicity": op9_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
@@ -87,4 +135,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op5_minhash_near_dedup": OP5_SQL}
