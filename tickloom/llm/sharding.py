@@ -80,7 +80,7 @@ def assign_shards(docs: DataFrame, *, shards: int = 16, rounds: int = 3, id_col:
     text.  Then rows are put in the order of (label, text hash), and this order is cut into
     ``shards`` runs of equal bytes: labels are near even already, so few rows cross a cut, and
     equal texts stay side by side.  A group of equal texts larger than a shard spans several.
-    The order's running sums are taken in buckets, hot groups dealt over many of them.
+    The order's running sums are taken in buckets, hot groups dealt over several of them.
 
     Repeated ids share a label; each row still has its own slot.  Null ids and texts are values.
     An empty table gives an empty one.  Other columns are not read.
@@ -100,12 +100,15 @@ def assign_shards(docs: DataFrame, *, shards: int = 16, rounds: int = 3, id_col:
     links = text_links(docs, id_col=id_col, text_col=text_col)
     labels = propagate_labels(settle(start, "labels"), links, shards=shards, rounds=rounds).select("node", "shard")
 
-    fine, spread = max(64, power_of_two(n // shards, 4_000, 4096)), 16
-    # their sizes add up to the whole, so at most shards x fine groups can be this large
-    hot = rows.groupBy("grp").agg(F.sum("size").alias("g")).where(F.col("g") >= max(2, total // (shards * fine))).select("grp", F.lit(True).alias("hot"))
+    # a label's order has small documents at both ends, where cuts mostly fall, and large ones between
+    kinds, fine, spread = 50, max(8, power_of_two(n // shards, 32_000, 512)), 8
+    # their sizes add up to the whole, so at most shards x fine x 8 groups can be this large
+    hot = rows.groupBy("grp").agg(F.sum("size").alias("g")).where(F.col("g") >= max(2, total // (shards * fine * 8))).select("grp", F.lit(True).alias("hot"))
     placed = rows.join(labels, "node").join(F.broadcast(hot), "grp", "left")
-    inner = F.pmod(F.xxhash64("grp", F.lit("fine")), F.lit(fine)).cast("int")
-    bucket = (F.col("shard") * fine + inner) * spread + F.when(F.col("hot"), F.pmod(F.xxhash64("node", F.lit("hot")), F.lit(spread)).cast("int")).otherwise(0)
+    kind = F.least(F.floor(F.log2(F.col("size").cast("double"))), F.lit(kinds // 2 - 1)).cast("int")
+    kind = F.when(F.pmod("grp", F.lit(2)) == 0, kind).otherwise(kinds - 1 - kind)
+    inner = kind * fine + F.pmod(F.xxhash64("grp", F.lit("fine")), F.lit(fine)).cast("int")
+    bucket = (F.col("shard") * kinds * fine + inner) * spread + F.when(F.col("hot"), F.pmod(F.xxhash64("node", F.lit("hot")), F.lit(spread)).cast("int")).otherwise(0)
     placed = placed.select("sh_id", "size", "text_crc32", "grp", "node", bucket.alias("bucket"))
     before = with_offsets(placed, "bucket", {"bytes_before": F.col("size"), "rows_before": F.lit(1)})
     order = Window.partitionBy("bucket").orderBy("grp", "node", F.col("sh_id").asc_nulls_first(), "text_crc32", "size")
