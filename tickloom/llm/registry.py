@@ -14,6 +14,7 @@ from tickloom.llm.mixing import mix_sources
 from tickloom.llm.packing import pack_best_fit
 from tickloom.llm.secrets import scan_secrets
 from tickloom.llm.sharding import assign_shards
+from tickloom.llm.suffixes import remove_repeats
 from tickloom.llm.tokens import token_index, write_tokens
 from tickloom.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -59,6 +60,10 @@ FROM copies
 """
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, part=80, whole=100)
 
@@ -125,6 +130,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_token_binary": op6_token_binary,
         "op7_balanced_shards": op7_balanced_shards,
