@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import shared_dir, table
 from tickloom.llm.minhash import near_duplicates
 from tickloom.llm.mixing import mix_sources
+from tickloom.llm.neighbours import near_vectors
 from tickloom.llm.packing import pack_best_fit
 from tickloom.llm.secrets import scan_secrets
 from tickloom.llm.sharding import assign_shards
@@ -64,6 +65,26 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, link.w FROM reach JOIN link ON reach.r = link.u
+), n AS (
+  SELECT u, count(*) AS n_links FROM link GROUP BY u
+)
+SELECT vec_id, coalesce(any_value(n_links), 0) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept
+FROM reach LEFT JOIN n ON n.u = reach.vec_id GROUP BY vec_id
+"""
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, part=80, whole=100)
 
@@ -131,6 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op4_projection_dedup": op4_projection_dedup,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_token_binary": op6_token_binary,
         "op7_balanced_shards": op7_balanced_shards,
@@ -141,4 +163,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op5_minhash_near_dedup": OP5_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op4_projection_dedup": OP4_SQL, "op5_minhash_near_dedup": OP5_SQL}
