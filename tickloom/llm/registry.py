@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import shared_dir, table
+from tickloom.llm.fingerprints import edited_fingerprints
 from tickloom.llm.minhash import near_duplicates
 from tickloom.llm.mixing import mix_sources
 from tickloom.llm.neighbours import near_vectors
@@ -65,6 +66,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -152,6 +157,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_iblt_fingerprints": op3_iblt_fingerprints,
         "op4_projection_dedup": op4_projection_dedup,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_token_binary": op6_token_binary,
