@@ -18,13 +18,16 @@ PRICE_SCALE = 100_000_000
 MOST = (1 << 63) - 1
 
 
-def scale_price(value: float, signed: bool = False) -> int:
-    """A price as its stored integer, halves away from zero."""
+def scale_price(value: float | Decimal, signed: bool = False) -> int:
+    """A price as its stored integer, halves away from zero; a decimal is scaled exactly."""
     if not math.isfinite(value):
         raise InvalidRecordError(f"price {value} is not finite")
     if value < 0 and not signed:
         raise InvalidRecordError(f"price {value} is negative")
-    scaled = int(Decimal(value * PRICE_SCALE).to_integral_value(ROUND_HALF_UP)) if abs(value) < 1e12 else int(value) * PRICE_SCALE
+    if isinstance(value, Decimal):
+        scaled = int((value * PRICE_SCALE).to_integral_value(ROUND_HALF_UP))
+    else:
+        scaled = int(Decimal(value * PRICE_SCALE).to_integral_value(ROUND_HALF_UP)) if abs(value) < 1e12 else int(value) * PRICE_SCALE
     if abs(scaled) > MOST:
         raise PriceRangeError(f"price {value} is out of range")
     return scaled

@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 from typing import NamedTuple
 
 from tickloom.errors import ParseError, QueryError
@@ -112,7 +113,7 @@ class _Reader:
         if value.kind != "number":
             self.fail("expected a number", value)
         try:
-            return Cond.of(field, op, float(value.text) if field.is_price or "." in value.text else int(value.text))
+            return Cond.of(field, op, Decimal(value.text))
         except QueryError as error:
             raise ParseError(value.pos, str(error)) from error
 

@@ -46,7 +46,7 @@ class Cond:
     stored: int
 
     @classmethod
-    def of(cls, field: Field, op: Op, value: float) -> Cond:
+    def of(cls, field: Field, op: Op, value: float | Decimal) -> Cond:
         """Prices are rounded to stored units; other numbers lose their fraction."""
         if not isinstance(field, Field):
             raise QueryError(f"unknown field {field!r}")
@@ -59,7 +59,7 @@ class Cond:
         if field.is_price:
             if value * PRICE_SCALE > MOST:
                 raise QueryError(f"{field.value}: {value} is out of range")
-            return cls(field, op, scale_price(float(value)))
+            return cls(field, op, scale_price(value if isinstance(value, Decimal) else float(value)))
         if value >= 1 << 53:
             raise QueryError(f"{field.value}: {value} is too large to be exact")
         return cls(field, op, int(value))
