@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,3 +129,29 @@ def join_sized(left: DataFrame, right: DataFrame, on: str | list[str], how: str
 
 def id_type(df: DataFrame, col: str) -> T.DataType:
     return df.schema[col].dataType
+
+
+def keyed_runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """The rows of each value of the integer columns ``key``, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in key], axis=1)
+        edges = [0, *(np.flatnonzero((np.diff(k, axis=0) != 0).any(axis=1)) + 1).tolist(), len(k)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if held and tuple(k[lo]) != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = tuple(k[lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_pairs(df: DataFrame, blocks: Column, id_col: str) -> DataFrame:
+    """``df`` with i, j, own: each row goes to every pair of blocks (i <= j) that has its own block."""
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
+    dealt = df.withColumn("own", F.pmod(F.xxhash64(id_col), blocks).cast("int")).withColumn("task", F.explode(meets))
+    return dealt.withColumns({"i": F.col("task.i"), "j": F.col("task.j")}).drop("task")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     # every node now has one edge, to its component's least node
     leaves = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct())
+
+
+def least_labels(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row the smallest id that the pairs (i, j) of rows reach, within one task."""
+    label = ids.copy()
+    while len(i):
+        before = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        if (before == label).all():
+            break
+    return label

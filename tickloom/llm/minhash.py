@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import discard, fresh, settle
-from tickloom.llm.components import components
+from tickloom.llm.common import block_pairs, discard, fresh, keyed_runs, settle
+from tickloom.llm.components import components, least_labels
 
 #: Minima in a band and bands.  A pair at similarity 0.8 shares none of 30 bands of 5 once in 150,000 times.
 ROWS, BANDS = 5, 30
@@ -20,6 +20,8 @@ BITS = 4
 ERRORS = 4.5
 #: Members that are compared in one task; larger buckets are cut into blocks, and pairs of blocks.
 BLOCK = 1024
+#: Shingles of full sets that meet in one task, about.
+SHINGLES = 1_000_000
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
 #: Ids up to which the documents to check are picked by a broadcast and not by a shuffle of texts.
@@ -92,10 +94,10 @@ def _chunk_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
         if count >= words:
             out.append(np.unique(whole[lo : hi - words + 1]))
         elif count:
-            x = np.uint64(count)
+            x = np.array([count], np.uint64)
             for y in h[lo:hi]:
-                x = mix64(np.array([x * np.uint64(5) + y]))[0]
-            out.append(np.array([x], np.uint64))
+                x = mix64(x * np.uint64(5) + y)
+            out.append(x)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -143,43 +145,61 @@ def estimates(one: np.ndarray, many: np.ndarray, k: int = ROWS * BANDS) -> np.nd
     return ((k - differ) / k - chance) / (1 - chance)
 
 
-def spanning(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, side: np.ndarray, least: float, part: int, whole: int, every: bool) -> list[tuple[int, int]]:
-    """Pairs to check among a bucket's members.
+def likely(i: int, among: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, side: np.ndarray, least: float, part: int, whole: int) -> np.ndarray:
+    """Estimates of row i with the rows ``among``; -1 where a link is impossible or tells nothing new."""
+    est = estimates(bits[i], bits[among])
+    fits = np.minimum(n[i], n[among]) * whole >= np.maximum(n[i], n[among]) * part
+    return np.where(fits & (est >= least) & (comp[i] != comp[among]) & ((side[i] != side[among]) | (side[i] < 0)), est, -1.0)
 
-    At first a maximum spanning forest by estimated similarity, over pairs of possible sizes; with
-    ``every``, all such pairs whose members are in different components.
-    """
-    size = len(ids)
-    out: list[tuple[int, int]] = []
-
-    def likely(i: int, among: np.ndarray) -> np.ndarray:
-        est = estimates(bits[i], bits[among])
-        fits = np.minimum(n[i], n[among]) * whole >= np.maximum(n[i], n[among]) * part
-        return np.where(fits & (est >= least) & (comp[i] != comp[among]) & ((side[i] != side[among]) | (side[i] < 0)), est, -1.0)
 
-    if every:
-        for i in range(size - 1):
-            rest = np.arange(i + 1, size)
-            out += [(int(ids[i]), int(ids[j])) for j in rest[likely(i, rest) >= 0]]
-        return out
-    best, near = np.full(size, -1.0), np.zeros(size, np.int64)
-    left = np.ones(size, bool)
+def spanning(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, side: np.ndarray, least: float, part: int, whole: int) -> list[tuple[int, int]]:
+    """A maximum spanning forest of a bucket's members by estimated similarity, over pairs that may link."""
+    best, near = np.full(len(ids), -1.0), np.zeros(len(ids), np.int64)
+    left = np.ones(len(ids), bool)
+    out: list[tuple[int, int]] = []
     i = 0
-    for _ in range(size):
+    for _ in range(len(ids) - 1):
         left[i] = False
         rest = np.flatnonzero(left)
-        if not len(rest):
-            break
-        est = likely(i, rest)
+        est = likely(i, rest, ids, n, bits, side, least, part, whole)
         better = est > best[rest]
         best[rest[better]], near[rest[better]] = est[better], i
-        j = rest[np.argmax(best[rest])]
-        if best[j] >= 0:
-            out.append((int(ids[near[j]]), int(ids[j])))
-        i = int(j)
+        i = int(rest[np.argmax(best[rest])])
+        if best[i] >= 0:
+            out.append((int(ids[near[i]]), int(ids[i])))
     return out
 
 
+def exact_links(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], side: np.ndarray, least: float, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs, in different components, whose sets are similar enough; every likely pair is checked.
+
+    Many pairs are counted together: a product of 0/1 matrices over the shingles that several rows
+    hold, some columns at a time, gives all intersections.
+    """
+    rows = np.arange(len(ids))
+    picked = [rows[i + 1 :][likely(i, rows[i + 1 :], comp, n, bits, side, least, part, whole) >= 0] for i in rows[:-1]]
+    i, j = np.repeat(rows[:-1], [len(p) for p in picked]), np.concatenate(picked or [rows[:0]])
+    if len(i) <= 4 * len(ids):
+        common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
+    else:
+        row = np.repeat(rows, [len(s) for s in sets])
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.cumsum(count > 1) - 1
+        several = count[column] > 1
+        row, column = row[several], place[column[several]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        total = np.zeros((len(ids), len(ids)), np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            lo, hi = np.searchsorted(column, [at, at + 4096])
+            held = np.zeros((len(ids), 4096), np.float32)
+            held[row[lo:hi], column[lo:hi] - at] = 1
+            total += held @ held.T
+        common = total[i, j].astype(np.int64)
+    good = whole * common >= part * (n[i] + n[j] - common)
+    return i[good], j[good]
+
+
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """One row a document: id, n, two halves of a digest of its set, band keys, packed bits."""
 
@@ -229,9 +249,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, part: int = 80, whole: i
 
     Documents with equal sets are one class, found by a digest, and only its least id goes on.
     Classes sharing a band are candidates.  In each bucket of candidates a maximum spanning forest
-    by b-bit estimate is checked on full sets first; pairs of the bucket whose members are then
-    still apart are all checked in a second pass, so no link that the estimate admits is lost and
-    a group of copies costs about one check a member.  Large buckets are cut into blocks.
+    by b-bit estimate is checked on full sets first.  Where a check fails, the forest's tree holds
+    several components; then all its likely pairs across components are checked, inside tasks that
+    get the full sets and give back only what connects.  So no link that the estimate admits is
+    lost, and a group of copies costs about one check a member.  Large groups are cut into blocks.
 
     Null, empty and blank texts have no shingles and link with nothing.  Rows with equal ids count
     as one document.  A null id has a null component and is kept.  Empty tables give empty ones.
@@ -258,59 +279,59 @@ def _links(docs: DataFrame, sig: DataFrame, classes: DataFrame, words: int, part
     members = settle(keys.join(shared, "key").join(reps.select("id", "n", "bits"), "id"), "members")
     least = part / whole - ERRORS * float(np.sqrt(0.1525 / (ROWS * BANDS))) / (1 - 1 / (1 << BITS))
 
-    first = settle(_pairs(members.withColumn("comp", F.col("id")), least, part, whole, False), "pairs")
-    links = settle(_checked(first, docs, words, part, whole, id_col, text_col), "checked")
-    comp = components(links)
-    now = members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    split = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    rest = _pairs(now.join(split, "key", "left_semi"), least, part, whole, True).join(first, ["a", "b"], "left_anti")
-    again = settle(_checked(settle(rest, "pairs_rest"), docs, words, part, whole, id_col, text_col), "checked_rest")
+    first = settle(_forests(members, least, part, whole), "pairs")
     discard(members)
+    links = settle(_checked(first, docs, words, part, whole, id_col, text_col), "checked")
+    trees = components(first).select(F.col("node").alias("id"), F.col("component").alias("tree"))
+    comp = components(links).select(F.col("node").alias("id"), "component")
+    placed = settle(trees.join(comp, "id", "left").select("id", "tree", F.coalesce("component", "id").alias("comp")).join(reps.select("id", "n", "bits"), "id"), "trees")
+    split = placed.groupBy("tree").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).where("c0 <> c1").select("tree", "size", "total")
+    apart = settle(placed.join(split, "tree"), "apart")
+    again = settle(_across(apart, docs, least, words, part, whole, id_col, text_col), "links_across")
     return links.union(again)
 
 
-def _pairs(members: DataFrame, least: float, part: int, whole: int, every: bool) -> DataFrame:
-    """Distinct pairs a < b to check, from members (key, size, id, comp, n, bits) of the buckets."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    # block i meets every block j: the task (min, max) of a pair of blocks gets the members of both
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    dealt = members.withColumn("own", own).withColumn("task", F.explode(meets)).select("key", F.col("task.i").alias("i"), F.col("task.j").alias("j"), "own", "id", "comp", "n", "bits")
+def _forests(members: DataFrame, least: float, part: int, whole: int) -> DataFrame:
+    """Distinct pairs a < b to check first, from members (key, size, id, n, bits) of the buckets."""
+    dealt = block_pairs(members, F.ceil(F.col("size") / BLOCK).cast("int"), "id").select("key", "i", "j", "own", "id", "n", "bits")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def task(rows: pa.Table) -> list[tuple[int, int]]:
-            col = {c: rows[c].to_numpy() for c in ("id", "comp", "n", "i", "j", "own")}
-            if col["comp"].min() == col["comp"].max():
-                return []
-            bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(col["id"]), -1)
-            side = col["own"] if col["i"][0] != col["j"][0] else np.full(len(col["id"]), -1)
-            return spanning(col["id"], col["comp"], col["n"], bits, side, least, part, whole, every)
-
-        held: list[pa.RecordBatch] = []
         out: set[tuple[int, int]] = set()
-        now = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
-            edges = [0, *(np.flatnonzero((np.diff(k, axis=0) != 0).any(axis=1)) + 1), len(k)]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if held and tuple(k[lo]) != now:
-                    out.update((min(p), max(p)) for p in task(pa.Table.from_batches(held)))
-                    held = []
-                now = tuple(k[lo])
-                held.append(batch.slice(lo, hi - lo))
-                if len(out) > 200_000:
-                    yield _pair_batch(out)
-                    out = set()
-        if held:
-            out.update((min(p), max(p)) for p in task(pa.Table.from_batches(held)))
+        for rows in keyed_runs(batches, ["key", "i", "j"]):
+            ids, n, own = (rows[c].to_numpy() for c in ("id", "n", "own"))
+            bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(ids), -1)
+            side = own if rows["i"][0] != rows["j"][0] else np.full(len(ids), -1)
+            out.update((min(p), max(p)) for p in spanning(ids, n, bits, side, least, part, whole))
+            if len(out) > 200_000:
+                yield _pair_batch(out)
+                out = set()
         yield _pair_batch(out)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _across(apart: DataFrame, docs: DataFrame, least: float, words: int, part: int, whole: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) across the components of a tree, from (tree, size, total, id, comp, n, bits)."""
+    sets = full_sets(docs, apart.select("id"), words, id_col, text_col).dropDuplicates(["id"])
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / SHINGLES)).cast("int")
+    dealt = block_pairs(apart.join(sets, "id"), blocks, "id").select("tree", "i", "j", "own", "id", "comp", "n", "bits", "set")
+    dealt = dealt.repartition("tree", "i", "j").sortWithinPartitions("tree", "i", "j", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in keyed_runs(batches, ["tree", "i", "j"]):
+            ids, comp, n, own = (rows[c].to_numpy() for c in ("id", "comp", "n", "own"))
+            if comp.min() == comp.max():
+                continue
+            bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(ids), -1)
+            own_sets = [s.values.to_numpy().view(np.uint64) for s in rows["set"]]
+            side = own if rows["i"][0] != rows["j"][0] else np.full(len(ids), -1)
+            label = least_labels(*exact_links(ids, comp, n, bits, own_sets, side, least, part, whole), ids)
+            yield _pair_batch({(int(b), int(a)) for a, b in zip(ids, label, strict=True) if a != b})
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     rows = list(pairs)
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in rows], pa.int64()), pa.array([p[1] for p in rows], pa.int64())], ["a", "b"])
