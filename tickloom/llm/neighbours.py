@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import discard, power_of_two, settle
-from tickloom.llm.components import components
+from tickloom.llm.common import block_pairs, discard, keyed_runs, power_of_two, settle
+from tickloom.llm.components import components, least_labels
 
 #: One-dimensional projections whose window collisions are counted for a pair.
 PROJECTIONS = 24
@@ -76,26 +76,13 @@ def count_block(v: np.ndarray, proj: np.ndarray, cells: np.ndarray, table: int,
     return np.minimum(i, j), np.maximum(i, j)
 
 
-def least_labels(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each row the smallest id that the pairs reach within the block."""
-    label = ids.copy()
-    while len(i):
-        before = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        if (before == label).all():
-            break
-    return label
-
-
 def near_vectors(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 5) -> DataFrame:
     """Link vectors whose cosine, in double precision, is at least ``cosine``.
 
     Returns a row a vector: the id column (long), n_links (other vectors linked directly),
     component_id (smallest id that links reach, itself included), kept (whether it is its own).
 
-    Equal vectors are one class with a multiplicity.  Signs of a few projections deal the classes
+    Equal vectors are one class with a multiplicity; its code is a hash, since repeated ids may lead several.  Signs of a few projections deal the classes
     to cells, in as many tables as make a pair at the threshold share one but for MISS_CELLS.  In
     a cell, projections are sorted and each row counts window collisions with the rows near it;
     pairs with the calibrated count are verified.  A pair is counted in the first table that it
@@ -109,7 +96,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0) & (F.size(v) > 0)
     rows = settle(vectors.select(F.col(id_col).cast("long").alias("id"), F.when(fine & F.col(id_col).isNotNull(), F.transform(v, lambda x: x + 0.0)).alias("v")), "vectors")
-    classes = settle(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many")), "classes")
+    classes = settle(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many")).withColumn("code", F.xxhash64("v")), "classes")
     n = classes.count()
     bits, tables = plan_cells(n, cosine)
 
@@ -117,7 +104,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec
         made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             out: list[tuple] = []
-            for rep, many, values in zip(batch.column("rep").to_pylist(), batch.column("many").to_pylist(), batch.column("v"), strict=True):
+            for rep, many, code, values in zip(*[batch.column(c).to_pylist() for c in ("rep", "many", "code")], batch.column("v"), strict=True):
                 x = values.values.to_numpy()
                 if len(x) not in made:
                     rng = np.random.default_rng((seed, len(x)))
@@ -128,23 +115,20 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec
                 x = x / math.sqrt(float(x @ x))
                 signs = (x @ planes > 0).reshape(tables, bits)
                 cells = signs @ (1 << np.arange(bits, dtype=np.int64))
-                out.append((rep, many, x.tobytes(), (x @ lines).astype(np.float32).tobytes(), cells.tolist(), len(x)))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["rep", "many", "x", "p", "cells", "dim"])
+                out.append((rep, many, code, x.tobytes(), (x @ lines).astype(np.float32).tobytes(), cells.tolist(), len(x)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["rep", "many", "code", "x", "p", "cells", "dim"])
 
-    placed = settle(classes.mapInArrow(deal, "rep long, many long, x binary, p binary, cells array<long>, dim int"), "cells")
+    placed = settle(classes.mapInArrow(deal, "rep long, many long, code long, x binary, p binary, cells array<long>, dim int"), "cells")
     keyed = placed.select("*", F.posexplode("cells").alias("table", "cell"))
     sizes = keyed.groupBy("dim", "table", "cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    dealt = keyed.join(sizes, ["dim", "table", "cell"]).withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("task", F.explode(meets))
-    dealt = dealt.select("dim", "table", "cell", F.col("task.i").alias("i"), F.col("task.j").alias("j"), "own", "rep", "many", "x", "p", "cells")
+    dealt = block_pairs(keyed.join(sizes, ["dim", "table", "cell"]), blocks, "code").select("dim", "table", "cell", "i", "j", "own", "rep", "many", "code", "x", "p", "cells")
     key = ["dim", "table", "cell", "i", "j"]
-    dealt = dealt.repartition(*key).sortWithinPartitions(*key, "rep")
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key, "rep", "code")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def task(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
+        for t in keyed_runs(batches, key):
             ids, many, own = (t[c].to_numpy() for c in ("rep", "many", "own"))
             x = np.frombuffer(b"".join(t["x"].to_pylist())).reshape(len(ids), -1)
             p = np.frombuffer(b"".join(t["p"].to_pylist()), np.float32).reshape(len(ids), -1)
@@ -154,31 +138,15 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec
             links = np.zeros(len(ids), np.int64)
             np.add.at(links, i, many[j])
             np.add.at(links, j, many[i])
-            label = least_labels(len(ids), i, j, ids)
+            label = least_labels(i, j, ids)
             some = np.flatnonzero(links)
-            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(label[some])], ["rep", "links", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), t["code"].combine_chunks().take(pa.array(some)), pa.array(links[some]), pa.array(label[some])], ["rep", "code", "links", "label"])
 
-        held: list[pa.RecordBatch] = []
-        now = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in key], axis=1)
-            edges = [0, *(np.flatnonzero((np.diff(k, axis=0) != 0).any(axis=1)) + 1), len(k)]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if held and tuple(k[lo]) != now:
-                    yield task(held)
-                    held = []
-                now = tuple(k[lo])
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield task(held)
-
-    found = settle(dealt.mapInArrow(compare, "rep long, links long, label long"), "vector_links")
+    found = settle(dealt.mapInArrow(compare, "rep long, code long, links long, label long"), "vector_links")
     ties = rows.where("v IS NOT NULL").join(classes.select("v", "rep"), "v").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     comp = components(found.select(F.col("rep").alias("a"), F.col("label").alias("b")).union(ties))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    facts = classes.select("v", "rep", "many").join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
+    links = found.groupBy("rep", "code").agg(F.sum("links").alias("links"))
+    facts = classes.join(links, ["rep", "code"], "left").join(comp, F.col("rep") == F.col("node"), "left")
     out = rows.join(facts.select("v", "rep", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("comp")), "v", "left")
     discard(placed)
     component = F.coalesce("comp", "id")
