@@ -25,6 +25,8 @@ LONG_LINE = 1000
 #: Texts under these lengths also count by sentences, and by words.
 SHORT, TINY = 1000, 300
 ROUNDS = 8
+#: Share of cells that hold something beyond which peeling is not tried.
+MOST_FULL = 0.93
 #: A failed subtraction is tried again with so many times the blocks, this often.
 LARGER, RETRIES = 4, 3
 
@@ -47,11 +49,8 @@ def digests(text: Column) -> Column:
     parts = F.when(n < SHORT, F.concat(parts, F.split(text, r"(?<=[.!?])\s+|\n+"))).otherwise(parts)
     parts = F.when(n < TINY, F.concat(parts, F.split(text, r"\s+"))).otherwise(parts)
 
-    def digest(x: Column) -> Column:
-        v = F.shiftrightunsigned(F.xxhash64(x), CHECK)
-        return F.shiftleft(v, CHECK).bitwiseOR(_check(v))
-
-    return F.array_distinct(F.transform(F.filter(parts, lambda x: F.char_length(x) > 0), digest))
+    hashes = F.transform(F.filter(parts, lambda x: F.char_length(x) > 0), lambda x: F.shiftrightunsigned(F.xxhash64(x), CHECK))
+    return F.array_distinct(F.transform(hashes, lambda v: F.shiftleft(v, CHECK).bitwiseOR(_check(v))))
 
 
 def blocks_for(units: Column) -> Column:
@@ -59,19 +58,25 @@ def blocks_for(units: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(F.greatest(F.size(units) / LOAD, F.lit(1.0)))).cast("int"))
 
 
-def _place(u: Column, row: Column) -> Column:
-    """The cell that a digest has in a row of its block."""
-    return F.call_function("shiftrightunsigned", u, (row * 3 + CHECK).cast("int")).bitwiseAND(F.lit(WIDE - 1))
-
-
 def _block(u: Column) -> Column:
     return F.shiftrightunsigned(u, CHECK + 3 * ROWS)
 
 
 def _held(u: Column, cell: Column) -> Column:
     """Whether the digest falls in this cell of its block."""
-    row = (cell / WIDE).cast("int")
-    return _place(u, row) == cell - row * WIDE
+    shift = F.shiftright(cell, 3) * 3 + CHECK
+    return F.call_function("shiftrightunsigned", u, shift).bitwiseAND(F.lit(WIDE - 1).cast("long")) == cell.bitwiseAND(F.lit(WIDE - 1))
+
+
+def _cells(own: Column) -> Column:
+    """The cells of one block: row by row, each the XOR of the digests that fall in it."""
+    none, mask = F.lit(0).cast("long"), F.lit(WIDE - 1).cast("long")
+    wide = F.array(*[F.lit(w).cast("long") for w in range(WIDE)])
+
+    def row(r: int) -> Column:
+        return F.transform(wide, lambda w: F.aggregate(own, none, lambda acc, u: F.when(F.shiftrightunsigned(u, CHECK + 3 * r).bitwiseAND(mask) == w, acc.bitwiseXOR(u)).otherwise(acc)))
+
+    return F.when(F.size(own) == 0, F.array(*[none] * CELLS)).otherwise(F.concat(*[row(r) for r in range(ROWS)]))
 
 
 def sketch(units: Column, blocks: Column) -> Column:
@@ -80,32 +85,31 @@ def sketch(units: Column, blocks: Column) -> Column:
     Subtracting is XOR too, so a cell needs no count: a digest says by its check bits that it is
     alone.  Digests are dealt to blocks in two steps, so a long text costs n * sqrt(n).
     """
-    none = F.lit(0).cast("long")
 
-    def cells(own: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.aggregate(own, none, lambda acc, u: F.when(_held(u, c), acc.bitwiseXOR(u)).otherwise(acc)))
+    def of(n: Column, outer: Column) -> Column:
+        # numbers that the lambdas over digests use are bound once, not computed for each digest
+        def part(g: Column, low: Column, all_: Column) -> Column:
+            mine = F.filter(units, lambda u: _block(u).bitwiseAND(low) == g)
+            return _let(mine, lambda own: F.transform(F.sequence(g, all_, low + 1), lambda b: _cells(F.filter(own, lambda u: _block(u).bitwiseAND(all_) == b))))
 
-    def dealt(blocks: Column) -> Column:
-        outer = F.call_function("shiftleft", F.lit(1), F.floor(F.log2(blocks.cast("double")) / 2).cast("int"))
-        inner = (blocks / outer).cast("int")
+        nested = _let(outer - 1, lambda low: _let(n - 1, lambda all_: F.transform(F.sequence(F.lit(0).cast("long"), low), lambda g: part(g, low, all_))))
+        place = F.sequence(F.lit(0).cast("long"), n - 1)
+        return _let(nested, lambda t: F.flatten(F.transform(place, lambda b: F.get(F.get(t, F.pmod(b, outer).cast("int")), (b / outer).cast("int")))))
 
-        def part(g: Column) -> Column:
-            mine = F.filter(units, lambda u: F.pmod(_block(u), outer) == g)
-            return _let(mine, lambda own: F.transform(F.sequence(F.lit(0), inner - 1), lambda b: cells(F.filter(own, lambda u: F.pmod(_block(u).cast("long"), blocks) == b * outer + g))))
+    def root(n: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(F.log2(n.cast("double")) / 2).cast("int"))
 
-        nested = F.transform(F.sequence(F.lit(0), outer - 1), part)
-        return _let(nested, lambda t: F.flatten(F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.get(F.get(t, F.pmod(b, outer).cast("int")), (b / outer).cast("int")))))
-
-    return dealt(blocks)
+    return _let(blocks.cast("long"), lambda n: F.when(n == 1, _cells(units)).otherwise(_let(root(n), lambda outer: of(n, outer))))
 
 
 def fold(cells: Column, blocks: Column) -> Column:
     """The sketch of the same digests in fewer blocks: cells of blocks that fall together, XORed."""
-    times = (F.size(cells) / (blocks * CELLS)).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), blocks * CELLS - 1),
-        lambda i: F.aggregate(F.sequence(F.lit(0), times - 1), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.get(cells, (i + k * blocks * CELLS).cast("int")))),
-    )
+
+    def parts(width: Column) -> Column:
+        step = F.sequence(F.lit(0), F.size(cells) - 1, width)
+        return _let(step, lambda at: F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.aggregate(at, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.get(cells, i + k)))))
+
+    return _let(blocks * CELLS, lambda width: F.when(F.size(cells) == width, cells).otherwise(parts(width)))
 
 
 def peel(difference: Column) -> Column:
@@ -118,20 +122,26 @@ def peel(difference: Column) -> Column:
         return (x != 0) & (_check(F.shiftrightunsigned(x, CHECK)) == x.bitwiseAND(F.lit((1 << CHECK) - 1))) & _held(x, c)
 
     def step(acc: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.filter(acc["cells"], alone))
-
         def next_(p: Column) -> Column:
-            left = F.transform(acc["cells"], lambda x, c: F.aggregate(p, x, lambda y, u: F.when(_held(u, c), y.bitwiseXOR(u)).otherwise(y)))
-            return F.struct(left.alias("cells"), (acc["n"] + F.size(p)).alias("n"))
+            left = F.transform(acc["cells"], lambda x, c: F.when(x == 0, x).otherwise(F.aggregate(p, x, lambda y, u: F.when(_held(u, c), y.bitwiseXOR(u)).otherwise(y))))
+            return F.struct(left.alias("cells"), (acc["n"] + F.size(p)).alias("n"), F.lit(False).alias("over"))
 
-        return _let(pure, lambda p: F.when(F.size(p) == 0, acc).otherwise(next_(p)))
+        over = F.struct(acc["cells"].alias("cells"), acc["n"].alias("n"), F.lit(True).alias("over"))
+        pure = F.filter(acc["cells"], alone)
+        return F.when(acc["over"], acc).otherwise(_let(pure, lambda p: F.when(F.size(p) == 0, over).otherwise(_let(F.array_distinct(p), next_))))
 
-    def block(b: Column) -> Column:
-        start = F.struct(F.slice(difference, b * CELLS + 1, CELLS).alias("cells"), F.lit(0).alias("n"))
+    def block(cells: Column) -> Column:
+        start = F.struct(cells.alias("cells"), F.lit(0).alias("n"), F.lit(False).alias("over"))
         return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.when(F.exists(acc["cells"], lambda x: x != 0), F.lit(None).cast("int")).otherwise(acc["n"]))
 
-    count = (F.size(difference) / CELLS).cast("int")
-    return F.aggregate(F.sequence(F.lit(0), count - 1), F.lit(0), lambda acc, b: F.when(acc.isNull(), acc).otherwise(acc + block(b)))
+    def whole(cells: Column) -> Column:
+        return F.when(F.exists(cells, lambda x: x != 0), block(cells)).otherwise(F.lit(0))
+
+    starts = F.sequence(F.lit(1), F.size(difference), F.lit(CELLS))
+    peeled = F.aggregate(starts, F.lit(0), lambda acc, at: F.when(acc.isNull(), acc).otherwise(acc + _let(F.slice(difference, at, CELLS), whole)))
+    # with nearly all cells full there are more digests than any peeling recovers
+    full = F.size(F.filter(difference, lambda x: x != 0)) > F.size(difference) * MOST_FULL
+    return F.when(full, F.lit(None).cast("int")).otherwise(peeled)
 
 
 def likeness(a: Column, b: Column, units_a: Column, units_b: Column) -> Column:
@@ -150,7 +160,8 @@ def likeness(a: Column, b: Column, units_a: Column, units_b: Column) -> Column:
     large = (F.greatest(F.size(a), F.size(b)) / CELLS).cast("int")
     tries = [_let(small, lambda s: peel_of(minus(fold(a, s), fold(b, s))))]
     for k in range(1, RETRIES + 1):
-        tries.append(_let(large * LARGER**k, lambda s: peel_of(minus(sketch(units_a, s), sketch(units_b, s)))))
+        # XOR is its own inverse: the sketch of both lists is the one minus the other
+        tries.append(peel_of(sketch(F.concat(units_a, units_b), large * LARGER**k)))
     exact = F.size(F.array_except(units_a, units_b)) + F.size(F.array_except(units_b, units_a))
     both = F.size(units_a) + F.size(units_b)
     return _let(F.coalesce(*tries, exact), lambda d: F.when(both == 0, 1.0).otherwise(F.greatest(both - d, F.lit(0)) / (both + d)))
