@@ -23,6 +23,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-SF_DIR = "/root/testdata/sf0.001"
