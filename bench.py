@@ -39,7 +39,6 @@ def main() -> None:
     from tickloom.plans.planner import Retention
     from tickloom.plans.runner import Runner
     from tickloom.schema import BAR
-    from tickloom.sources.reader import Reader
     from tickloom.store import StoreReader
 
     root = tempfile.mkdtemp(prefix="tickloom-bench-")
@@ -56,8 +55,8 @@ def main() -> None:
 
     StoreWriter(spark, f"{root}/store", BAR).append_frame(bars)
     store = StoreReader(spark, f"{root}/store", BAR)
-    runner, reader = Runner(store.records, check_key=False), Reader(store.records, BAR, check_key=False)
-    kept = Runner(store.records, Retention(max_bars=50), check_key=False)
+    runner, reader = Runner(store.of), store
+    kept = Runner(store.of, Retention(max_bars=50))
     n_key = reader.count(key).first()[0]
 
     def fetched(df) -> int:

@@ -157,12 +157,14 @@ def test_reader(bars):
 
 def test_store_round_trip(spark, tmp_path):
     with Store.open(spark, str(tmp_path / "s")) as s:
-        assert s.writer.last(KEY) is None
+        assert s.writer.last(KEY) is None and s.reader.records.count() == 0
         s.writer.append_batch(KEY, [bar(i) for i in range(50)])
         s.writer.append_batch(KEY, [])
         s.writer.append("other key/ü", bar(7))
-        assert s.query().bars.count() == 0
+        assert s.reader.records.count() == 0
         s.refresh()
+        with pytest.raises(KeyNotFoundError):
+            s.query().collect('FROM "nope"')
         assert index(s.query().collect(f'FROM "{KEY}" WHERE close >= 40')) == list(range(40, 50))
         assert [tuple(r) for r in s.reader.range(KEY).collect()] == [bar(i) for i in range(50)]
         assert s.reader.list_keys() == [KEY, "other key/ü"] == [r[0] for r in s.reader.keys().collect()] and s.reader.list_keys("oth") == ["other key/ü"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -14,16 +14,20 @@ from tickloom.plans.query import Query
 
 
 class Runner:
-    """Answers queries over bars: a DataFrame of key, the bar columns and their stored prices."""
+    """Answers queries over bars: a DataFrame of key, the bar columns and their stored prices, or what
+    gives that of a key and raises KeyNotFoundError itself."""
 
-    def __init__(self, bars: DataFrame, retention: Retention = Retention(), *, price_compare: str = "round", check_key: bool = True, bucket: int = 0):
+    def __init__(self, bars: DataFrame | Callable[[str], DataFrame], retention: Retention = Retention(), *, price_compare: str = "round", check_key: bool = True, bucket: int = 0):
         self.bars, self.retention, self.price_compare, self.check_key, self.bucket = bars, retention, price_compare, check_key, bucket
 
     def _rows(self, query: Query | str) -> tuple[Query, DataFrame]:
         query = parse(query) if isinstance(query, str) else query
-        if self.check_key:
-            require_key(self.bars, query.key)
-        return query, plan(query, self.bars, self.retention, price_compare=self.price_compare, bucket=self.bucket)
+        bars = self.bars
+        if callable(bars):
+            bars = bars(query.key)
+        elif self.check_key:
+            require_key(bars, query.key)
+        return query, plan(query, bars, self.retention, price_compare=self.price_compare, bucket=self.bucket)
 
     def frame(self, query: Query | str, *, zero_fill: bool = False) -> DataFrame:
         """The matches, oldest first, whichever end the limit took them from."""

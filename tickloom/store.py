@@ -20,11 +20,16 @@ from tickloom.sources.reader import Reader
 
 
 class StoreReader(Reader):
-    """Reads a store as it was when opened or last refreshed."""
+    """Reads a store; what was read once stays as it was until ``refresh``.
+
+    A key's records come from its own folder, so opening a store of many keys lists none of them,
+    and a missing key is known without a job.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: RecordSchema):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.files = Files(spark, self.path)
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.files, self.width, self.check_key = Files(spark, self.path), 0, True
+        self.time, self.names = schema.time.name, [c.name for c in schema.columns]
         if not self.files.is_dir():
             raise InvalidRecordError(f"{path} is not a folder")
         if self.files.exists(META):
@@ -32,21 +37,38 @@ class StoreReader(Reader):
             if RecordSchema.from_json(json.dumps(meta["schema"])) != schema:
                 raise CorruptError(f"{path} holds {meta['schema']['name']} records, not {schema}")
             self.width = meta["bucket"]
-        else:
-            self.width = 0
-        super().__init__(self._load(schema), schema)
-
-    def _load(self, schema: RecordSchema) -> DataFrame:
-        shape = store_schema(schema, bool(self.width))
-        if self.files.exists("data"):
-            rows = self.spark.read.schema(shape).option("basePath", f"{self.path}/data").parquet(f"{self.path}/data")
-        else:
-            rows = self.spark.createDataFrame([], shape)
-        return decode(rows, schema, passing=["time_bucket"] if self.width else [])
+        self.refresh()
 
     def refresh(self) -> None:
         """See what was committed since."""
-        self.records = self._load(self.schema)
+        self._all: DataFrame | None = None
+        self._known: dict[str, DataFrame] = {}
+
+    def _load(self, folder: str) -> DataFrame:
+        rows = self.spark.read.schema(store_schema(self.schema, bool(self.width))).option("basePath", f"{self.path}/data").parquet(f"{self.path}/{folder}")
+        return decode(rows, self.schema, passing=["time_bucket"] if self.width else [])
+
+    @property
+    def records(self) -> DataFrame:
+        """Every key's records."""
+        if self._all is None:
+            empty = self.spark.createDataFrame([], store_schema(self.schema, bool(self.width)))
+            self._all = self._load("data") if self.files.exists("data") else decode(empty, self.schema, passing=["time_bucket"] if self.width else [])
+        return self._all
+
+    def of(self, key: str) -> DataFrame:
+        """A key's records."""
+        if key not in self._known:
+            folder = f"data/key={self._names().escapePathName(key)}"
+            if not self.files.exists(folder):
+                raise KeyNotFoundError(f"no key {key!r}")
+            self._known[key] = self._load(folder).where(F.col("key") == key)
+        return self._known[key]
+
+    _key = of
+
+    def _names(self):
+        return self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
 
     def window(self, key: str, start: int = 0, end: int = 0) -> DataFrame:
         rows = super().window(key, start, end)
@@ -58,16 +80,11 @@ class StoreReader(Reader):
 
     def segments(self, key: str) -> int:
         """How many files hold the key's records."""
-        files = self.records.where(F.col("key") == key).select(F.input_file_name().alias("file")).distinct().count()
-        if not files:
-            raise KeyNotFoundError(f"no key {key!r}")
-        return files
+        return len(self.of(key).inputFiles())
 
     def list_keys(self, prefix: str = "") -> list[str]:
         """Keys from the folders alone, without reading a file."""
-        jvm = self.spark.sparkContext._jvm
-        names = [n for n in self.files.folders("data") if n.startswith("key=")]
-        found = [jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(n[4:]) for n in names]
+        found = [self._names().unescapePathName(n[4:]) for n in self.files.folders("data") if n.startswith("key=")]
         return sorted((k for k in found if k.startswith(prefix)), key=str.encode)
 
 
@@ -85,10 +102,10 @@ class Store:
         return cls(writer, StoreReader(spark, path, schema), retention)
 
     def query(self) -> Runner:
-        """A query runner over the reader's snapshot; only bars can be queried."""
+        """A query runner over the reader; only bars can be queried."""
         if self.reader.schema.name != BAR.name:
             raise UnsupportedError(f"queries need bars; this store holds {self.reader.schema.name}")
-        return Runner(self.reader.records, self.retention, bucket=self.reader.width)
+        return Runner(self.reader.of, self.retention, bucket=self.reader.width)
 
     def refresh(self) -> None:
         self.reader.refresh()
