@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.llm.common import discard, id_type, settle
+from tickloom.llm.common import bounded_batches, discard, id_type, settle
 from tickloom.llm.minhash import PICKED, Powers, mix64
 
 GRAM = 32
@@ -92,6 +92,24 @@ def _chunk_anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return t, a - begin, first - begin, last - begin, gram[a].view(np.int64), whole.view(np.int64)
 
 
+def later_here(h: np.ndarray, c: np.ndarray, lead: np.ndarray, span: np.ndarray, d: np.ndarray, t: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Which anchors repeat the context of an earlier one in the same batch: a combiner for hot passages."""
+    late = np.zeros(len(c), bool)
+    order = np.argsort(c, kind="stable")
+    twin = np.concatenate(([False], c[order][1:] == c[order][:-1]))
+    some = order[twin | np.concatenate((twin[1:], [False]))] if len(c) else order
+    if len(some):
+        some = some[np.lexsort((a[some], t[some], d[some], span[some], lead[some], c[some], h[some]))]
+        x, y = some[1:], some[:-1]
+        same = (h[x] == h[y]) & (c[x] == c[y]) & (lead[x] == lead[y]) & (span[x] == span[y])
+        first = np.concatenate(([True], ~same))
+        start = np.maximum.accumulate(np.where(first, np.arange(len(some)), 0))
+        head = some[start]
+        # a row alike in id and place (a repeated document) is not later than the first
+        late[some] = ~((d[some] == d[head]) & (t[some] == t[head]) & (a[some] == a[head]))
+    return late
+
+
 def refine(contexts: list[bytes], group: np.ndarray, left: np.ndarray, span: np.ndarray, length: int) -> np.ndarray:
     """Which owned strings occur in an earlier context: a row a context, a column for each start.
 
@@ -155,12 +173,16 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
                 batch = whole.slice(at, 2048)
                 text, a, s, e, h, c = anchors_of([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text")], length)
                 take = pa.array(text, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), batch.column("d").take(take), batch.column("t").take(take), pa.array(a, pa.int64()), pa.array(a - s, pa.int16()), pa.array(e - s + 1, pa.int16())], ["h", "c", "d", "t", "a", "lead", "span"])
+                d, t = batch.column("d").take(take), batch.column("t").take(take)
+                late = later_here(h, c, a - s, e - s, d.to_numpy(), t.to_numpy(), a)
+                # what surely repeats needs no company: any bucket will do, so it is spread
+                bucket = np.where(late, mix64((d.to_numpy() * 1_000_003 + a).astype(np.uint64)).view(np.int64), h)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(c, pa.int64()), d, t, pa.array(a, pa.int64()), pa.array(a - s, pa.int16()), pa.array(e - s + 1, pa.int16()), pa.array(late)], ["h", "c", "d", "t", "a", "lead", "span", "late"])
 
-    rows = docs.select("d", "t", "text").mapInArrow(anchor, "h long, c long, d long, t long, a long, lead short, span short")
+    rows = docs.select("d", "t", "text").mapInArrow(anchor, "h long, c long, d long, t long, a long, lead short, span short, late boolean")
     # one shuffle by q-gram bucket serves both windows: equal contexts, and how many differ
-    same = Window.partitionBy("h", "c", "lead", "span").orderBy("d", "t", "a")
-    ranked = rows.repartition("h").withColumn("again", F.rank().over(same) > 1)
+    same = Window.partitionBy("h", "late", "c", "lead", "span").orderBy("d", "t", "a")
+    ranked = rows.repartition("h").withColumn("again", F.col("late") | (F.rank().over(same) > 1))
     # a bucket's size, and its different contexts; a context of rows alike in all (repeated rows) counts once
     ranked = ranked.withColumn("kinds", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(Window.partitionBy("h")))
     marked = settle(ranked.where("again OR kinds > 1"), "anchors")
@@ -249,7 +271,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     if not 64 <= length <= 512:
         raise ValueError("length must be 64 to 512")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"), text.alias("text"))
+    rows = bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"), text.alias("text"))
     ids = rows.agg(F.count(F.lit(1)), F.countDistinct("d")).first()
     rows = rows.withColumn("t", F.lit(0).cast("long") if ids[0] == ids[1] else F.xxhash64("text"))
     distinct = rows if ids[0] == ids[1] else rows.dropDuplicates(["d", "t"])
