@@ -239,6 +239,24 @@ def test_buckets_and_prune(spark, tmp_path):
             StoreWriter(spark, str(tmp_path / "t"), BAR, bucket=width)
 
 
+def test_verify(spark, tmp_path):
+    path = tmp_path / "s"
+    w = StoreWriter(spark, str(path), BAR)
+    w.append_batch(KEY, [bar(i) for i in range(30)])
+    w.append_batch("b", [bar(i) for i in range(3)])
+    r = StoreReader(spark, str(path), BAR)
+    assert r.verify() == 33 and r.verify("b") == 3
+    files = sorted(path.glob("data/*/*.parquet"))
+    files[0].with_name("copy.parquet").write_bytes(files[0].read_bytes())
+    r.refresh()
+    with pytest.raises(CorruptError, match="repeat a stamp"):
+        r.verify()
+    files[0].with_name("copy.parquet").write_bytes(b"PAR1 not a file PAR1")
+    r.refresh()
+    with pytest.raises(CorruptError, match="can't be read"):
+        r.verify()
+
+
 def test_wrong_store(spark, tmp_path):
     StoreWriter(spark, str(tmp_path / "s"), BAR)
     with pytest.raises(CorruptError):

@@ -82,6 +82,25 @@ class StoreReader(Reader):
         """How many files hold the key's records."""
         return len(self.of(key).inputFiles())
 
+    def verify(self, key: str | None = None) -> int:
+        """Read every record of a key, or of all, and count them; CorruptError if a file can't be read,
+        or a key holds a stamp twice, a negative one or none, or a price that its schema forbids."""
+        rows = self.records if key is None else self.of(key)
+        time = F.col(self.time)
+        bad = time.isNull() | (time < 0)
+        for c in self.schema.columns:
+            bad = bad | F.col(c.stored).isNull()
+            if c.price and not c.signed:
+                bad = bad | (F.col(c.stored) < 0)
+        per_key = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(time).alias("stamps"), F.count(F.when(bad, 1)).alias("bad"))
+        try:
+            n, stamps, faulty = per_key.agg(F.sum("n"), F.sum("stamps"), F.sum("bad")).first()
+        except Exception as error:
+            raise CorruptError(f"{self.path}: a file can't be read: {str(error).splitlines()[0]}") from error
+        if faulty or n != stamps:
+            raise CorruptError(f"{self.path}: {faulty} records are invalid, {n - stamps} repeat a stamp")
+        return n or 0
+
     def list_keys(self, prefix: str = "") -> list[str]:
         """Keys from the folders alone, without reading a file."""
         found = [self._names().unescapePathName(n[4:]) for n in self.files.folders("data") if n.startswith("key=")]
