@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 #: States of the deterministic automaton that are kept; beyond this it starts again.
-MOST_STATES = 50_000
+MOST_STATES = 10_000
 
 
 class FuzzyLexicon:

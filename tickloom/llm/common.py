@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from pyspark.sql.window import Window
 
 #: Most rows that a side may have before it is joined by a shuffle and not by a broadcast.
 BROADCAST_ROWS = 20_000
+#: Bytes of a batch of rows on its way to Python.
+BATCH_BYTES = 8 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -56,7 +59,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete the files of a settled table that nothing will read again."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        hit = next((m for m in _made if path.endswith(m[1].split("://")[-1].lstrip("/"))), None)
+        hit = next((m for m in _made if path.endswith(re.sub("^[A-Za-z0-9+.-]+:/*", "", m[1]).lstrip("/"))), None)
         if hit:
             _made.remove(hit)
             _delete(*hit)
@@ -76,6 +79,18 @@ def _sweep() -> None:
             return
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with batches to Python bounded by bytes in its session, since texts have no usual length.
+
+    Sets spark.sql.execution.arrow.maxBytesPerBatch to BATCH_BYTES if it is larger.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, str(1 << 30)).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have yet (names are compared without case)."""
     taken, name = {c.lower() for c in df.columns}, base
@@ -119,14 +134,6 @@ def small_or_none(df: DataFrame, most: int = BROADCAST_ROWS) -> list | None:
     return rows if len(rows) <= most else None
 
 
-def join_sized(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a right side that is broadcast only if it was counted to be small."""
-    rows = small_or_none(right, most)
-    if rows is None:
-        return left.join(right, on, how)
-    return left.join(F.broadcast(left.sparkSession.createDataFrame(rows, right.schema)), on, how)
-
-
 def id_type(df: DataFrame, col: str) -> T.DataType:
     return df.schema[col].dataType
 

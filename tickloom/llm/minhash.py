@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import block_pairs, discard, fresh, keyed_runs, settle
+from tickloom.llm.common import block_pairs, bounded_batches, discard, fresh, keyed_runs, settle
 from tickloom.llm.components import components, least_labels
 
 #: Minima in a band and bands.  A pair at similarity 0.8 shares none of 30 bands of 5 once in 150,000 times.
@@ -23,7 +23,7 @@ BLOCK = 1024
 #: Shingles of full sets that meet in one task, about.
 SHINGLES = 1_000_000
 #: Bytes of text that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Ids up to which the documents to check are picked by a broadcast and not by a shuffle of texts.
 PICKED = 200_000
 
@@ -38,18 +38,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, as long as were asked for."""
+    """Powers of an odd base modulo 2**64 and of its inverse; those for usual lengths are kept."""
 
     def __init__(self):
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.kept = self._make(CHUNK + CHUNK // 4)
+
+    @staticmethod
+    def _make(n: int) -> tuple[np.ndarray, np.ndarray]:
+        back = np.uint64(pow(int(_B), -1, 1 << 64))
+        return tuple(np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, base, np.uint64), dtype=np.uint64))) for base in (_B, back))
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            m = max(n, 2 * CHUNK)
-            back = np.uint64(pow(int(_B), -1, 1 << 64))
-            self.up = np.concatenate(([np.uint64(1)], np.cumprod(np.full(m, _B, np.uint64), dtype=np.uint64)))
-            self.down = np.concatenate(([np.uint64(1)], np.cumprod(np.full(m, back, np.uint64), dtype=np.uint64)))
-        return self.up[:n], self.down[:n]
+        up, down = self.kept if n <= len(self.kept[0]) else self._make(n)
+        return up[:n], down[:n]
 
 
 _powers = Powers()
@@ -257,6 +258,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, part: int = 80, whole: i
     Null, empty and blank texts have no shingles and link with nothing.  Rows with equal ids count
     as one document.  A null id has a null component and is kept.  Empty tables give empty ones.
     """
+    bounded_batches(docs)
     sig = settle(signatures(docs, words, id_col, text_col), "signatures")
     classes = settle(sig.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "classes")
     found = _links(docs, sig, classes, words, part, whole, id_col, text_col)

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import id_type
+from tickloom.llm.common import bounded_batches, id_type
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -29,6 +29,8 @@ IDENTIFIERS = (
     "access_token refresh_token client_secret client_id api_key private_key public_key secret_key password passwd "
     "username user_name session_id request response header content-type application/json http:// https:// localhost "
     "the and that with from this have which would there their what about will into more other could than first "
+    "getUserName setPassword fromSession toString newInstance ClientFactory ServerManager RequestHandler "
+    "ResponseBody ConfigService TokenProvider KeyStore CredentialId AccessKey SecretName "
     "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 )
 REACH = 48
@@ -108,7 +110,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             rows = [[{"start": a, "end": b, "kind": k} for a, b, k in find_secrets(t.as_py() or "", novelty)] for t in batch.column("t")]
             yield pa.RecordBatch.from_arrays([batch.column("sc_id"), pa.array(rows, kind)], ["sc_id", "found"])
 
-    rows = docs.select(F.col(id_col).alias("sc_id"), F.col(text_col).alias("t"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("sc_id"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, f"sc_id {id_type(docs, id_col).simpleString()}, found array<struct<start:long,end:long,kind:string>>").withColumnRenamed("sc_id", id_col)
 
 
@@ -132,4 +134,4 @@ def redact_secrets(docs: DataFrame, *, text_col: str = "text", length_col: str |
                 columns[k] = pa.array([n if c is None or c == t else len(c) for n, c, t in zip(old, clean, texts, strict=True)], batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.automata import FuzzyLexicon
-from tickloom.llm.common import id_type
+from tickloom.llm.common import bounded_batches, discard, id_type, settle
 
 #: Terms that count as toxic where labels teach nothing about them.
 BASE_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "worthless", "pathetic", "disgusting")
@@ -24,13 +24,19 @@ QUOTES = "\"'«»„“”‘’"
 WORD = re.compile(r"\w+")
 #: Tokens on either side of a term that make its context window.
 CONTEXT = 3
+#: Distinct terms that a task counts before it hands the counts on.
+MOST_COUNTED = 150_000
 
 
 @dataclass
 class ToxicModel:
-    """Terms as (text, is_prefix, max_edits), known harmless look-alikes, and the weights of the score."""
+    """Terms as (text, is_prefix, max_edits), known harmless look-alikes, and the weights of the score.
+
+    Prefixes in ``dense`` count only where a text holds several words with them, and not by chance.
+    """
 
     terms: list[tuple[str, bool, int]]
+    dense: frozenset[str] = frozenset()
     harmless: frozenset[str] = frozenset()
     weights: list[float] = field(default_factory=lambda: [-3.0, 4.5, 0.8, 2.0, 0.3])
 
@@ -42,6 +48,7 @@ class Scorer:
     def __init__(self, model: ToxicModel):
         self.model = model
         self.lexicon = FuzzyLexicon(model.terms)
+        self.dense = {k for k, (t, prefix, _) in enumerate(model.terms) if prefix and t in model.dense}
 
     def hits(self, text: str) -> list[tuple[str, int, int, bool]]:
         """(word, term, edits, quoted) of every hit in the whole text, in order."""
@@ -51,27 +58,44 @@ class Scorer:
         found = {w: m for w in set(words) if w not in harmless and (m := match(w))}
         if not found:
             return []
+        many = Counter(found[w][0] for w in words if w in found)
+        weak = {k for k in self.dense if not is_dense(many[k], len(words))}
         out, recent = [], []
         spans = [(m[0], m.start(), m.end()) for m in WORD.finditer(low)]
         for i, (w, lo, hi) in enumerate(spans):
-            if w in found:
+            if w in found and found[w][0] not in weak:
                 recent = [x[0] for x in spans[max(0, i - CONTEXT) : i + CONTEXT + 1]]
                 marked = (low[lo - 1 : lo] if lo else "") in QUOTES and low[hi : hi + 1] in QUOTES and lo > 0 and hi < len(low)
                 out.append((w, *found[w], marked or any(x in REPORTING for x in recent)))
         return out
 
-    def features(self, text: str) -> list[float]:
+    def counts(self, text: str) -> tuple[int, int, int]:
+        """Hits that are exact, misspelled, and quoted."""
         hits = self.hits(text)
-        exact = sum(1 for h in hits if h[2] == 0 and not h[3])
-        near = sum(1 for h in hits if h[2] > 0 and not h[3])
-        quoted = sum(1 for h in hits if h[3])
-        return [1.0, float(exact > 0), math.log1p(exact), float(near > 0), math.log1p(quoted)]
+        quoted = sum(h[3] for h in hits)
+        exact = sum(h[2] == 0 and not h[3] for h in hits)
+        return exact, len(hits) - quoted - exact, quoted
+
+    def features(self, text: str) -> list[float]:
+        return features_of(*self.counts(text))
 
     def score(self, text: str) -> float:
-        z = sum(a * b for a, b in zip(self.features(text), self.model.weights, strict=True))
+        return self.score_of(*self.counts(text))
+
+    def score_of(self, exact: int, near: int, quoted: int) -> float:
+        z = sum(a * b for a, b in zip(features_of(exact, near, quoted), self.model.weights, strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def features_of(exact: int, near: int, quoted: int) -> list[float]:
+    return [1.0, float(exact > 0), math.log1p(exact), float(near > 0), math.log1p(quoted)]
+
+
+def is_dense(hits: int, words: int) -> bool:
+    """Whether a family of words is frequent enough in a text to be meant: twice, and one word in a hundred."""
+    return hits >= 2 and hits * 100 >= words
+
+
 def bucket_of(id_col: str) -> Column:
     """crc32(id as text) mod 3; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3
@@ -81,64 +105,82 @@ def term_edits(term: str, is_prefix: bool) -> int:
     return 1 if len(term) >= 5 and not is_prefix else 0
 
 
-def _candidates(words: set[str]) -> set[str]:
-    """The words, and as ``xyz*`` the beginnings of words that may mark a family."""
-    out = {w for w in words if 3 <= len(w) <= 40}
-    out |= {w[:n] + "*" for w in words for n in range(4, min(8, len(w)))}
+def _candidates(words: list[str]) -> set[str]:
+    """A text's words; as ``xyz*`` beginnings that may mark a family, and as ``xyz**`` those that are dense in it."""
+    seen = Counter(words)
+    out = {w for w in seen if 3 <= len(w) <= 40}
+    starts: Counter[str] = Counter()
+    for w, k in seen.items():
+        for n in range(4, min(8, len(w))):
+            starts[w[:n]] += k
+    out.update(f"{p}*" for p in starts)
+    out.update(f"{p}**" for p, k in starts.items() if is_dense(k, len(words)))
     return out
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_train: int = 20_000, most_terms: int = 300) -> ToxicModel:
     """Learn the lexicon and weights from labelled rows whose crc32(id) mod 3 is not 1.
 
-    A bounded sample is used: the ``most_train`` texts with the smallest hashes, equal texts once.
-    Words and word beginnings are counted by document on the executors; those never seen in clean
-    texts, with more support than chance explains, are taken by greedy cover of the toxic texts.
+    A bounded sample is used: the ``most_train`` ids with the smallest hashes, equal texts once.
+    Words, word beginnings, and beginnings that are dense in a text, are counted by document on the
+    executors; those (almost) never seen in clean texts, with more support than chance explains, are
+    taken by greedy cover of the toxic texts.
     Words that only resemble a term and occur in clean texts become ``harmless``.  A logistic
     model over the hits is then fitted.  Without usable labels the base terms and default weights
     stand.  Rows with null ids, texts or labels teach nothing.
     """
+    bounded_batches(docs)
     seen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (bucket_of(id_col) != 1)).groupBy(F.col(id_col).alias("tx_id")).agg(F.max(F.col(label_col)).cast("int").alias("y"))
-    train = docs.select(F.col(id_col).alias("tx_id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).join(seen, "tx_id")
-    # the hash thresholds the sample before texts move; the limit then fixes its exact size
-    n = seen.count()
-    share = min(1.0, 1.2 * most_train / max(1, n))
-    sample = train.where(F.pmod(F.xxhash64("tx_id", F.lit("train")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).dropDuplicates(["t"])
-    sample = sample.orderBy(F.xxhash64("tx_id", F.lit("train")), "tx_id").limit(most_train)
+    # ids alone say which rows are the sample; it is small enough to go to every task, so texts stay
+    lot = F.xxhash64("tx_id", F.lit("train"))
+    last = seen.select(lot.alias("lot")).orderBy("lot").limit(most_train).agg(F.max("lot")).first()[0]
+    picked = seen.where(lot <= F.lit(last)) if last is not None else seen.limit(0)
+    sample = docs.select(F.col(id_col).alias("tx_id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(picked), "tx_id").dropDuplicates(["t"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clean, toxic, own = Counter(), Counter(), []
+        clean, toxic = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            keys = list(toxic.keys() | clean.keys())
+            return pa.RecordBatch.from_pydict({"term": pa.array(keys, pa.string()), "bad": pa.array([toxic[k] for k in keys], pa.int64()), "good": pa.array([clean[k] for k in keys], pa.int64())})
+
         for batch in batches:
             for t, y in zip(batch.column("t").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                terms = _candidates(set(WORD.findall(t.lower())))
+                terms = _candidates(WORD.findall(t.lower()))
                 (toxic if y else clean).update(terms)
-                if y:
-                    own.append(terms)
-        keys = list(toxic.keys() | clean.keys())
-        yield pa.RecordBatch.from_pydict({"term": pa.array(keys, pa.string()), "bad": pa.array([toxic[k] for k in keys], pa.int64()), "good": pa.array([clean[k] for k in keys], pa.int64())})
-
-    from tickloom.llm.common import discard, settle
+                if len(clean) + len(toxic) > MOST_COUNTED:
+                    yield counted()
+                    clean.clear()
+                    toxic.clear()
+        yield counted()
 
     kept = settle(sample.select("tx_id", "t", "y"), "train")
     sizes = {r["y"]: r["n"] for r in kept.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     learned: list[tuple[str, bool, int]] = []
+    dense: set[str] = set()
     if bad and good:
         support = max(4, math.ceil(math.log(1e-7) / math.log(max(1e-6, min(0.5, bad / (bad + good))))))
         counts = kept.select("t", "y").mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         strong = counts.where((F.col("bad") >= support) & (F.col("good") * 50 <= F.col("bad"))).orderBy(F.desc("bad"), F.length("term"), "term").limit(5_000).collect()
-        texts = [set(WORD.findall(r["t"].lower())) for r in kept.where("y = 1").select("t").toLocalIterator()]
-        learned = _cover([r["term"] for r in strong], texts, support, most_terms)
+        texts = [WORD.findall(r["t"].lower()) for r in kept.where("y = 1").select("t").toLocalIterator()]
+        for term in _cover([r["term"] for r in strong], texts, support, most_terms):
+            text, prefix = term.rstrip("*"), term.endswith("*")
+            if any(t == text and p == prefix for t, p, _ in learned):
+                continue
+            learned.append((text, prefix, term_edits(text, prefix)))
+            if term.endswith("**"):
+                dense.add(text)
     have = {t for t, p, _ in learned if not p}
     base = [(t, False, term_edits(t, False)) for t in BASE_TERMS if t not in have and not any(p and t.startswith(x) for x, p, _ in learned)]
-    model = ToxicModel(learned + base)
+    model = ToxicModel(learned + base, frozenset(dense))
     if bad and good:
         _calibrate(model, kept)
     discard(kept)
     return model
 
 
-def _cover(strong: list[str], texts: list[set[str]], support: int, most: int) -> list[tuple[str, bool, int]]:
+def _cover(strong: list[str], texts: list[list[str]], support: int, most: int) -> list[str]:
     """Greedy cover: a term has to explain ``support`` toxic texts that no earlier term explains.
 
     Copies of one toxic text share all their words; once a term explains them, the rest add nothing.
@@ -148,16 +190,13 @@ def _cover(strong: list[str], texts: list[set[str]], support: int, most: int) ->
     for i, words in enumerate(texts):
         for term in _candidates(words) & wanted:
             where.setdefault(term, set()).add(i)
-    out: list[tuple[str, bool, int]] = []
-    left = set(range(len(texts)))
+    out: list[str] = []
     while where and len(out) < most:
-        term = max(where, key=lambda t: (len(where[t]), not t.endswith("*"), len(t), t))
+        term = max(where, key=lambda t: (len(where[t]), -t.count("*"), len(t), t))
         if len(where[term]) < support:
             break
         gone = set(where[term])
-        left -= gone
-        prefix = term.endswith("*")
-        out.append((term.rstrip("*"), prefix, term_edits(term.rstrip("*"), prefix)))
+        out.append(term)
         where = {t: rest for t, own in where.items() if (rest := own - gone)}
     return out
 
@@ -208,23 +247,13 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for batch in batches:
-            scores, hits, near, quoted = [], [], [], []
-            for t in batch.column("t"):
-                text = t.as_py() or ""
-                found = scorer.hits(text)
-                exact = sum(1 for h in found if h[2] == 0 and not h[3])
-                close = sum(1 for h in found if h[2] > 0 and not h[3])
-                said = sum(1 for h in found if h[3])
-                w = model.weights
-                z = w[0] + w[1] * (exact > 0) + w[2] * math.log1p(exact) + w[3] * (close > 0) + w[4] * math.log1p(said)
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-                hits.append(exact)
-                near.append(close)
-                quoted.append(said)
+            found = [scorer.counts(t.as_py() or "") for t in batch.column("t")]
+            hits, near, quoted = ([f[k] for f in found] for k in range(3))
+            scores = [scorer.score_of(*f) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("tx_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(hits, pa.int64()), pa.array(near, pa.int64()), pa.array(quoted, pa.int64())], ["tx_id", "held_out", "score", "n_hits", "n_near", "n_quoted"])
 
     kind = id_type(docs, id_col).simpleString()
-    rows = docs.select(F.col(id_col).alias("tx_id"), (bucket_of(id_col) == 1).alias("held_out"), F.col(text_col).alias("t"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("tx_id"), (bucket_of(id_col) == 1).alias("held_out"), F.col(text_col).alias("t"))
     out = rows.mapInArrow(run, f"tx_id {kind}, held_out boolean, score double, n_hits long, n_near long, n_quoted long")
     return out.select(F.col("tx_id").alias(id_col), "held_out", "score", (F.col("score") >= reject).cast("int").alias("predicted"), "n_hits", "n_near", "n_quoted")
 
@@ -238,4 +267,4 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, *, text_col: str = "text", re
             keep = [scorer.score(t.as_py() or "") < reject for t in batch.column(text_col)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
