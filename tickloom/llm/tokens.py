@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.llm.common import id_type, power_of_two, with_offsets
+from tickloom.llm.common import bounded_batches, id_type, power_of_two, settle, with_offsets
 
 #: Fixed values of the format: ids in a word and bits of each, by selector 0 to 13.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -32,6 +32,21 @@ def block_ends(lengths: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([stops[lengths > 0], *cuts]))
 
 
+#: Bits of small ids, looked up.
+_NARROW = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.uint8)
+
+
+def widths(ids: np.ndarray) -> np.ndarray:
+    """Bits that each id takes; 99 for an escape."""
+    if len(ids) and int(ids.max()) < len(_NARROW):
+        return _NARROW[ids]
+    # both halves are small enough for a double, so the exponents are exact
+    high = (ids >> np.uint64(30)).astype(np.float64)
+    out = np.where(high > 0, np.frexp(high)[1] + 30, np.frexp((ids & np.uint64((1 << 30) - 1)).astype(np.float64))[1]).astype(np.uint8)
+    out[ids >> np.uint64(60) != 0] = 99
+    return out
+
+
 def encode_blocks(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, escapes, word_ends, escape_ends) of unsigned 64-bit ids cut into blocks at ``ends``.
 
@@ -40,20 +55,27 @@ def encode_blocks(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     more is an escape, numbered within its block.
     """
     n = len(ids)
-    big = ids >> np.uint64(60) != 0
-    # an exact bit count: both halves are small enough for a double
-    high = (ids >> np.uint64(30)).astype(np.float64)
-    width = np.where(high > 0, np.frexp(high)[1] + 30, np.frexp((ids & np.uint64((1 << 30) - 1)).astype(np.float64))[1])
-    width[big] = 99
-    place = np.arange(n)
+    width = widths(ids)
+    big = width > 60
     stop = np.repeat(ends, np.diff(ends, prepend=0))
-    # from each place, the first layout whose next ids in the block are all narrow enough
+    # from each place, the first layout whose next ids in the block are all narrow enough; where a
+    # layout doesn't fit, those before it (more ids, fewer bits) don't either, and where a layout takes
+    # the rest of the block none is better
+    most = int(width[~big].max()) if n and not big.all() else 0
+    easy = next(s for s in range(14) if BITS[s] >= most)
     best = np.where(big, ESCAPE, 13)
-    for s in range(12, -1, -1):
-        wide = np.concatenate(([0], np.cumsum(width > BITS[s], dtype=np.int64)))
-        end = np.minimum(place + COUNTS[s], stop)
-        best[wide[end] == wide[:n]] = s
-    reach = np.minimum(place + _COUNT[best], stop).tolist()
+    fits = np.flatnonzero(~big)
+    for s in range(12 if big.any() else easy, -1, -1):
+        if s == easy and len(fits) == n:
+            best[:] = s
+        else:
+            fits = fits[stop[fits] - fits > COUNTS[s + 1]]
+            if not len(fits):
+                break
+            wide = np.concatenate((np.zeros(1, np.int32), np.cumsum(width > BITS[s], dtype=np.int32)))
+            fits = fits[wide[np.minimum(fits + COUNTS[s], stop[fits])] == wide[fits]]
+            best[fits] = s
+    reach = np.minimum(np.arange(n) + _COUNT[best], stop).tolist()
     starts, i = [], 0
     while i < n:
         starts.append(i)
@@ -63,9 +85,14 @@ def encode_blocks(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     words = selector.astype(np.uint64) << np.uint64(60)
     for s in np.unique(selector[selector < ESCAPE]):
         rows = np.flatnonzero(selector == s)
+        first, n_held, word = at[rows], last[rows] - at[rows], words[rows]
+        part = np.flatnonzero(n_held < COUNTS[s])
+        whole = np.flatnonzero(n_held == COUNTS[s])
         for k in range(COUNTS[s]):
-            inside = rows[at[rows] + k < last[rows]]
-            words[inside] |= ids[at[inside] + k] << np.uint64(k * BITS[s])
+            word[whole] |= ids[first[whole] + k] << np.uint64(k * BITS[s])
+            some = part[n_held[part] > k]
+            word[some] |= ids[first[some] + k] << np.uint64(k * BITS[s])
+        words[rows] = word
     word_ends = np.searchsorted(at, ends)
     escaped = at[selector == ESCAPE]
     escape_ends = np.searchsorted(escaped, ends)
@@ -74,24 +101,6 @@ def encode_blocks(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return words, ids[escaped], word_ends, escape_ends
 
 
-def decode_words(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` ids of a block, layout by layout and not word by word."""
-    selector = (words >> np.uint64(60)).astype(np.int64)
-    counts = _COUNT[selector]
-    start = np.cumsum(counts) - counts
-    out = np.zeros(int(counts.sum()), np.uint64)
-    payload = words & np.uint64((1 << 60) - 1)
-    for s in np.unique(selector):
-        rows = selector == s
-        if s == ESCAPE:
-            out[start[rows]] = escapes[payload[rows].astype(np.int64)]
-            continue
-        shifts = np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(BITS[s])
-        ids = (payload[rows][:, None] >> shifts) & np.uint64((1 << BITS[s]) - 1)
-        out[(start[rows][:, None] + np.arange(COUNTS[s])).ravel()] = ids.ravel()
-    return out[:n]
-
-
 def encode_documents(ids: np.ndarray, lengths: np.ndarray) -> list[dict]:
     """Documents' ids, one after another, as rows of the file.
 
@@ -108,13 +117,43 @@ def encode_documents(ids: np.ndarray, lengths: np.ndarray) -> list[dict]:
     return out
 
 
-def decode_ids(n_ids: int, words: bytes, word_ends: list[int], escapes: bytes, escape_ends: list[int]) -> np.ndarray:
-    w, e = np.frombuffer(words, "<u8"), np.frombuffer(escapes, "<u8")
-    out, w0, e0 = [], 0, 0
-    for k, (w1, e1) in enumerate(zip(word_ends, escape_ends, strict=True)):
-        out.append(decode_words(w[w0:w1], e[e0:e1], min(BLOCK, n_ids - k * BLOCK)))
-        w0, e0 = w1, e1
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def decode_documents(rows: list[tuple[int, bytes, list[int], bytes, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids one after another, lengths) of rows of the file: n_ids, words, word_ends, escapes, escape_ends.
+
+    All words of all rows are decoded layout by layout; what partly filled words hold beyond their
+    block is cut off.
+    """
+    lengths = np.array([r[0] for r in rows], np.int64)
+    words = np.frombuffer(b"".join([r[1] for r in rows]), "<u8")
+    escapes = np.frombuffer(b"".join([r[3] for r in rows]), "<u8")
+    # blocks of all rows: how many words, escapes and ids each has
+    n_words = np.concatenate([np.diff(r[2], prepend=0) for r in rows] or [np.zeros(0, np.int64)]).astype(np.int64)
+    n_escapes = np.concatenate([np.diff(r[4], prepend=0) for r in rows] or [np.zeros(0, np.int64)]).astype(np.int64)
+    blocks = -(-lengths // BLOCK)
+    n_ids = np.full(int(blocks.sum()), BLOCK, np.int64)
+    full = lengths > 0
+    n_ids[np.cumsum(blocks)[full] - 1] = (lengths - (blocks - 1) * BLOCK)[full]
+    selector = (words >> np.uint64(60)).astype(np.int64)
+    counts = _COUNT[selector]
+    start = np.cumsum(counts) - counts
+    out = np.zeros(int(counts.sum()), np.uint64)
+    payload = words & np.uint64((1 << 60) - 1)
+    for s in np.unique(selector):
+        at = np.flatnonzero(selector == s)
+        if s == ESCAPE:
+            base = np.repeat(np.cumsum(n_escapes) - n_escapes, n_words)[at]
+            out[start[at]] = escapes[payload[at].astype(np.int64) + base]
+            continue
+        own, low = payload[at], np.uint64((1 << BITS[s]) - 1)
+        for k in range(COUNTS[s]):
+            out[start[at] + k] = (own >> np.uint64(k * BITS[s])) & low
+    held = np.add.reduceat(counts, np.cumsum(n_words) - n_words) if len(n_words) else n_words
+    spare = held - n_ids
+    ends = np.cumsum(held)
+    keep = np.ones(len(out), bool)
+    for e, k in zip(ends[spare > 0].tolist(), spare[spare > 0].tolist(), strict=True):
+        keep[e - k : e] = False
+    return out[keep], lengths
 
 
 class WordCache:
@@ -127,35 +166,80 @@ class WordCache:
 
     BLANKS = re.compile(r"[^ \t\n\r]+")
     PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+    LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
-    MOST = 700_000
+    MOST = 1_200_000
+    TOGETHER = 4000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if self.PLAIN.fullmatch(text) and "<|" not in text:
-            return self.PIECE.findall(text.lower())
-        return self.BLANKS.findall(text)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+
+    def _whole(self, strings: list[str]) -> None:
+        """Encode strings one by one."""
+        for w, e in zip(strings, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), strict=True):
+            self.known[w] = array("I", e.ids).tobytes()
+
+    def _pieces(self, pieces: list[str]) -> None:
+        """Encode pieces, many in one text: each ends with its first token that can end a word."""
+        for i in range(0, len(pieces), self.TOGETHER):
+            part = pieces[i : i + self.TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(part):
+                self._whole(part)
+                continue
+            raw = ids.tobytes()
+            self.known.update(zip(part, [raw[4 * lo : 4 * hi] for lo, hi in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+
+    def learn(self, strings: list[str]) -> None:
+        """Add blank-separated strings: plain ones by their pieces, others whole."""
+        known, joined, odd, new, letters = self.known, [], [], set(), self.LETTERS.fullmatch
+        for w in strings:
+            if letters(w):
+                new.add(w)
+                continue
+            if "<|" in w or not self.PLAIN.fullmatch(w):
+                odd.append(w)
+                continue
+            own = self.PIECE.findall(w)
+            new.update(p for p in own if p not in known)
+            if len(own) > 1:
+                joined.append((w, own))
+        self._whole(odd)
+        self._pieces(list(new))
+        for w, own in joined:
+            known[w] = b"".join([known[p] for p in own])
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, how many each text has), with ``end_id`` after each text."""
-        split = [self.pieces(t) for t in texts]
-        known = self.known
-        new = list({w for pieces in split for w in pieces if w not in known})
-        if len(known) + len(new) > self.MOST:
-            known.clear()
-            new = list({w for pieces in split for w in pieces})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        end = array("I", [end_id]).tobytes()
-        found = [b"".join([known[w] for w in pieces]) + end for pieces in split]
-        return np.frombuffer(b"".join(found), np.uint32), np.array([len(x) // 4 for x in found], np.int64)
+        split = [t.lower().split() if self.PLAIN.fullmatch(t) else self.BLANKS.findall(t) for t in texts]
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        # each distinct string of the batch is looked up once among the many, then among the few
+        local = {w: self.known.get(w) for w in set().union(*split)}
+        missing = [w for w, ids in local.items() if ids is None]
+        self.learn(missing)
+        local.update((w, self.known[w]) for w in missing)
+        end, get = array("I", [end_id]).tobytes(), local.__getitem__
+        joined = [b"".join(map(get, own)) + end for own in split]
+        return np.frombuffer(b"".join(joined), np.uint32), np.array([len(x) // 4 for x in joined], np.int64)
+
+
+#: A worker's caches live as long as it does, over many tasks.
+_caches: dict[str, WordCache] = {}
+
+
+def cache_of(path: str) -> WordCache:
+    if path not in _caches:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
+        _caches[path] = WordCache(path)
+    return _caches[path]
 
 
 FILE_COLUMNS = "n_ids long, words binary, word_ends array<long>, escapes binary, escape_ends array<long>"
@@ -171,13 +255,12 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
     another in ascending order.
     """
     kind = id_type(docs, id_col).simpleString()
-    rows = docs.select(F.col(id_col).alias("tk_id"), F.col(text_col).alias("t"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("tk_id"), F.col(text_col).alias("t"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, F.col("tk_id").asc_nulls_first()).sortWithinPartitions(F.col("tk_id").asc_nulls_first(), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
-        cache = WordCache(tokenizer_path)
+        cache = cache_of(tokenizer_path)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -189,13 +272,17 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
     ordered.mapInArrow(run, f"tk_id {kind}, {FILE_COLUMNS}").write.parquet(path)
 
 
+def _file_rows(batch: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*[batch.column(c).to_pylist() for c in batch.schema.names[1:]], strict=True))
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The files as (id, ids array<long>), decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*[batch.column(c).to_pylist() for c in batch.schema.names[1:]], strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode_ids(*r).astype(np.int64) for r in rows], pa.list_(pa.int64()))], ["tk_id", "ids"])
+            ids, lengths = decode_documents(_file_rows(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(ids.astype(np.int64)))], ["tk_id", "ids"])
 
     files = spark.read.parquet(path)
     return files.mapInArrow(run, f"tk_id {files.schema['tk_id'].dataType.simpleString()}, ids array<long>")
@@ -209,14 +296,15 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [decode_ids(*r) for r in zip(*[batch.column(c).to_pylist() for c in batch.schema.names[1:]], strict=True)]
-            crc = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in rows], pa.int64()), pa.array(crc, pa.int64())], ["tk_id", "n_tokens", "ids_crc32"])
-
-    from tickloom.llm.common import settle
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                ids, lengths = decode_documents(_file_rows(batch))
+                raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(lengths) * 4
+                crc = [zlib.crc32(raw[lo:hi]) for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["tk_id", "n_tokens", "ids_crc32"])
 
-    files = spark.read.parquet(path)
+    files = bounded_batches(spark.read.parquet(path))
     # the narrow result is kept, so that the files are decoded once
     found = settle(files.mapInArrow(run, f"tk_id {files.schema['tk_id'].dataType.simpleString()}, n_tokens long, ids_crc32 long"), "token_index")
     return running_start(found, "tk_id", "n_tokens", ["n_tokens", "ids_crc32"])
@@ -225,7 +313,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 def running_start(df: DataFrame, id_col: str, size_col: str, ties: list[str]) -> DataFrame:
     """``df`` with ``start``: the sum of ``size_col`` over all rows before, in ascending order of the id."""
     rows = df.count()
-    parts = power_of_two(rows, 20_000, 4096)
+    parts = power_of_two(rows, 2_000, 4096)
     cuts = df.agg(F.percentile_approx(id_col, [i / parts for i in range(1, parts)] or [0.5], 100_000)).first()[0] or []
     # equal ids share a range: the range is the number of cuts below the id
     ranged = df.withColumn("rs_range", F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(id_col))), F.lit(0)) if parts > 1 and cuts else F.lit(0))
