@@ -56,6 +56,17 @@ def test_cache_gives_the_tokenizer_s_ids():
         assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
 
 
+def test_cache_lowers_capitals_beside_other_signs():
+    signs = ["—", "’", "“", "”", "…", "日本語", "Привет", "😀", "\xa0", "e\u0301", "İ", "ſ", "—The", "Don’t"]
+    words = ["Hello", "World", "THE", "iPhone15", "O'Neil", "DON'T", "It'S", "ÉCOLE", "Straße", "ØRE", "A", "x=Y+1", "NASA's", "McDonald,", "plan"]
+    rng = np.random.default_rng(3)
+    texts = ["Hello World, this is The Plan — now.", *[" ".join(rng.choice(signs + words * 2, 30)) for _ in range(200)], *["".join(rng.choice(signs + words, 8)) for _ in range(200)]]
+    ids, lengths = type(cache_of(PATH))(PATH).encode(texts, 2)
+    want = [e.ids + [2] for e in tokenizers.Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert want[0][:8] == [3306, 1002, 267, 589, 533, 518, 2970, 2005]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
 def test_token_files(spark):
     rows = [*documents(), (None, "null id", "", "", 1), (6, "again", "", "", 1), (6, "again", "", "", 1)]
     docs = frame(spark, rows).withColumn("words", F.lit(1)).withColumn("n_ids", F.lit("x"))

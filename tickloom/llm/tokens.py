@@ -198,7 +198,7 @@ class WordCache:
             self.known.update(zip(part, [raw[4 * lo : 4 * hi] for lo, hi in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
 
     def learn(self, strings: list[str]) -> None:
-        """Add blank-separated strings: plain ones by their pieces, others whole."""
+        """Add blank-separated strings: plain ones by the pieces of their lower case, others whole."""
         known, joined, odd, new, letters = self.known, [], [], set(), self.LETTERS.fullmatch
         for w in strings:
             if letters(w):
@@ -207,9 +207,10 @@ class WordCache:
             if "<|" in w or not self.PLAIN.fullmatch(w):
                 odd.append(w)
                 continue
-            own = self.PIECE.findall(w)
+            # strings of a text that isn't all plain come as they are written
+            own = self.PIECE.findall(w.lower())
             new.update(p for p in own if p not in known)
-            if len(own) > 1:
+            if own != [w]:
                 joined.append((w, own))
         self._whole(odd)
         self._pieces(list(new))
