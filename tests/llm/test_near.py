@@ -217,3 +217,11 @@ def test_vector_blocks_and_edges(spark, monkeypatch):
     out = near_vectors(odd).toPandas()
     assert sorted(out[out["vec_id"] == 5]["n_links"]) == [1, 1, 1] and set(out[out["vec_id"].notna()]["component_id"]) == {5} and out[out["vec_id"].isna()]["n_links"].tolist() == [0]
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_few_words_in_a_chunk():
+    for words in (2, 3, 4, 5, 9):
+        for text in (b"hello", b"hello world", b"a b c", b"a b c d"):
+            alone = shingle_sets([text], words)
+            beside = shingle_sets([text, b"x " * minhash.CHUNK, text], words)
+            assert len(alone[0]) >= 1 and (alone[0] == beside[0]).all() and (alone[0] == beside[2]).all()

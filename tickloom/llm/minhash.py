@@ -89,7 +89,8 @@ def _chunk_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     n = np.diff(first)
     whole = h.copy()
     for k in range(1, words):
-        whole[: len(h) - k] = mix64(whole[: len(h) - k] * np.uint64(3) + h[k:] + np.uint64(k))
+        m = max(len(h) - k, 0)
+        whole[:m] = mix64(whole[:m] * np.uint64(3) + h[k:] + np.uint64(k))
     out = []
     for lo, hi, count in zip(first[:-1].tolist(), first[1:].tolist(), n.tolist(), strict=True):
         if count >= words:
