@@ -160,3 +160,29 @@ def test_sketches_fold_and_retry(spark):
     df = df.withColumns({"a": sketch(F.col("u"), blocks_for(F.col("u"))), "b": sketch(F.col("v"), F.lit(16))})
     r = df.select(likeness(F.col("a"), F.col("b"), F.col("u"), F.col("v")).alias("x"), (fold(F.col("a"), F.lit(4)) == sketch(F.col("u"), F.lit(4))).alias("same"), likeness(F.col("a"), F.col("a"), F.col("u"), F.col("u")).alias("self")).first()
     assert r["x"] == pytest.approx(640 / 700) and r["same"] and r["self"] == 1.0
+
+
+def test_units_agree_where_texts_agree(spark):
+    words = "ba ce di fo gu ha je ki lo mu".split()
+    rng = np.random.default_rng(5)
+
+    def line(n: int, end: str) -> str:
+        return " ".join(str(w) + (end if k % 7 == 6 else "") for k, w in enumerate(rng.choice(words, n)))
+
+    texts = {
+        "one line of sentences": line(450, "."),  # 1,000 to 1,500 characters; the edited text has a line break
+        "no sentence ends": line(200, ""),
+        "shouted": "WORD!!, LOUD!!, " * 60,
+        "repeated": "word " * 100,
+        "ideographs": "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 600))),
+        "few ideographs": "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 120))),
+        "long unbroken": "".join(rng.choice(list("abcdefXYZ0123456789"), 900)),
+    }
+    assert 1000 < len(texts["one line of sentences"]) < 1500
+    rows, names = [], {}
+    for k, (name, text) in enumerate(texts.items()):
+        names[2 * k + 1] = name
+        rows += [(2 * k + 1, text, "", "", 1), (2 * k, "other stuff\nin short lines\n" * 40, "", "", 1)]
+    out = {names[r["doc_id"]]: r for r in edited_fingerprints(frame(spark, rows)).collect() if r["doc_id"] in names}
+    assert all(r["near_edited"] > 0 for r in out.values()), {k: r["near_edited"] for k, r in out.items()}
+    assert out["one line of sentences"]["near_edited"] > 0.4 and all(r["near_next"] == 0 for r in out.values())

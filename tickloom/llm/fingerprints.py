@@ -20,10 +20,22 @@ ROWS, WIDE = 3, 8
 CELLS = ROWS * WIDE
 #: Paragraphs that a block of a fingerprint is meant for.
 LOAD = 8
-#: A line of more code points than this counts by its sentences.
-LONG_LINE = 1000
-#: Texts under these lengths also count by sentences, and by words.
-SHORT, TINY = 1000, 300
+#: Lines longer than this count by their sentences: all do, so that a text and its edited form are cut alike.
+LONG_LINE = 0
+#: Texts under these lengths count by sentences of the whole text (none: all lines are cut), and by words too.
+SHORT, TINY = 0, 450
+#: Where a sentence ends; the CJK signs need no blank.
+ENDS = r"(?<=[.!?])\s+|(?<=[。！？])"
+#: A sentence goes on in chunks of CHUNK code points or more.  A chunk ends by what stands before its end, at
+#: the first place that content marks, else at the first between words or ideographs, else at 512: so chunks
+#: agree as far as texts agree, and soon again after a change.
+CHUNK = 250
+_MARK = r"(?<=[aeio1357]\s|[\u4e00-\u57ff\u306e\u306f\u3092])"
+_PLACE = r"(?<=[^\p{L}\p{M}\p{N}]|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])"
+CHUNKS = rf"(?s).{{{CHUNK},{CHUNK + 50}}}?{_MARK}|.{{{CHUNK},511}}?{_PLACE}|.{{1,512}}"
+#: Words of short texts are cut in the same way, as some scripts have no blanks.
+PIECE = 8
+PIECES = rf"(?s).{{{PIECE},511}}?{_PLACE}|.{{1,512}}"
 ROUNDS = 8
 #: Share of cells that hold something beyond which peeling is not tried.
 MOST_FULL = 0.93
@@ -41,13 +53,18 @@ def _check(v: Column) -> Column:
 
 
 def digests(text: Column) -> Column:
-    """Distinct digests of a text's paragraphs: its lines, long ones by sentence; short texts by sentence and word too."""
-    n = F.char_length(text)
-    lines = F.split(text, "\n")
-    ends = r"(?<=[.!?])\s+"
-    parts = F.flatten(F.transform(lines, lambda x: F.when(F.char_length(x) > LONG_LINE, F.split(x, ends)).otherwise(F.array(x))))
-    parts = F.when(n < SHORT, F.concat(parts, F.split(text, r"(?<=[.!?])\s+|\n+"))).otherwise(parts)
-    parts = F.when(n < TINY, F.concat(parts, F.split(text, r"\s+"))).otherwise(parts)
+    """Distinct digests of a text's paragraphs: the sentences of its lines, long ones in chunks; short texts by word too.
+
+    Sentences and chunks are cut by what stands before the cut, never by the length of the text or the line.
+    """
+
+    def pieces(units: Column, most: int, pattern: str) -> Column:
+        # the patterns leave units up to this length whole
+        return F.flatten(F.transform(units, lambda x: F.when(F.char_length(x) <= most, F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)))))
+
+    sentences = F.flatten(F.transform(F.split(text, "\n"), lambda x: F.split(x, ENDS)))
+    parts = pieces(sentences, CHUNK, CHUNKS)
+    parts = F.when(F.char_length(text) < TINY, F.concat(parts, pieces(F.split(text, r"\s+"), PIECE, PIECES))).otherwise(parts)
 
     hashes = F.transform(F.filter(parts, lambda x: F.char_length(x) > 0), lambda x: F.shiftrightunsigned(F.xxhash64(x), CHECK))
     return F.array_distinct(F.transform(hashes, lambda v: F.shiftleft(v, CHECK).bitwiseOR(_check(v))))
