@@ -8,7 +8,7 @@ from edge import SCHEMA, documents, frame, prose
 from pyspark.sql import functions as F
 
 from tickloom.llm.automata import FuzzyLexicon
-from tickloom.llm.secrets import ACCESS, HEX, Novelty, base_spans, find_secrets, redact, redact_secrets, scan_secrets
+from tickloom.llm.secrets import ACCESS, HEX, Novelty, base_spans, find_secrets, novel_spans, redact, redact_secrets, scan_secrets
 from tickloom.llm.toxicity import BASE_TERMS, ToxicModel, bucket_of, drop_toxic, fit_toxicity, score_toxicity
 
 
@@ -42,6 +42,31 @@ def test_novelty():
     assert find_secrets("key " + "xy1" * 20, n) == []
 
 
+def noise(rng, alphabet, n):
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+def test_whole_runs_and_dotted_tokens():
+    n, rng = Novelty(), random.Random(8)
+    b64 = string.ascii_letters + string.digits + "-_"
+    for size in (64, 200, 201, 300):
+        own = noise(rng, b64, size)
+        text = f"the bearer {own} came"
+        assert find_secrets(text, n) == [(11, 11 + size, "novel")], size
+        assert redact(text, find_secrets(text, n)) == "the bearer [secret] came"
+    signed = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9." + ".".join(noise(rng, b64, k) for k in (120, 43))
+    five = "eyJhbGciOiJkaXIiLCJlbmMiOiJBMjU2R0NNIn0.." + ".".join(noise(rng, b64, k) for k in (16, 500, 22))
+    for own in (signed, five):
+        for tail in ("", ".", ". Then", ".Then we"):
+            text = f"authorization: Bearer {own}{tail}"
+            assert redact(text, find_secrets(text, n)) == f"authorization: Bearer [secret]{tail}"
+    # what a fixed pattern finds in a run leaves the rest of it to the scan
+    text = "private key " + noise(rng, b64, 90) + "-" + "0123456789abcdef" * 2 + "-" + noise(rng, b64, 90)
+    assert redact(text, find_secrets(text, n)).replace("[secret]", "") == "private key "
+    # many sensitive words in one plain run
+    assert novel_spans("key1" * 50_000, [], n) == []
+
+
 def test_redact():
     assert redact("abcdefgh", [(1, 3, "x"), (2, 5, "y"), (6, 7, "z")], "*") == "a*f*h"
     assert redact("abc", []) == "abc" and redact("abc", [(0, 3, "x")], "*") == "*" and redact("abcd", [(0, 2, "x"), (2, 4, "y")], "*") == "**"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right, insort
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -18,8 +19,13 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 # runs of these classes are maximal, so asking for the least length at once drops the failing ones
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: What the novelty scan weighs: long unbroken strings ...
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,200}")
+#: What the novelty scan weighs: long unbroken strings, of any length from LEAST on ...
+LEAST = 20
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST}}}")
+#: ... with what dots join to them, as in signed tokens; a last part that is short and has no digit is prose ...
+CHAIN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.{1,2}[A-Za-z0-9+/_=-]+)*")
+DOTTED = 16
 #: ... after a word that makes its context sensitive.
 SENSITIVE = re.compile(r"key|secret|token|passw|pwd|auth|credential|private|bearer|signature", re.IGNORECASE | re.ASCII)
 #: Identifiers and phrases that prime the compressor: what stands in code without being secret.
@@ -33,7 +39,10 @@ IDENTIFIERS = (
     "ResponseBody ConfigService TokenProvider KeyStore CredentialId AccessKey SecretName "
     "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 )
+#: Code points from the word to where the first string starts, at most.
 REACH = 48
+#: Code points that are weighed at once.
+PIECE = 63
 
 
 class Novelty:
@@ -65,18 +74,67 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def _free(lo: int, hi: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What of a span lies outside of ``taken``, disjoint spans in order."""
+    i = max(0, bisect_right(taken, (lo, lo)) - 1)
+    while lo < hi:
+        while i < len(taken) and taken[i][1] <= lo:
+            i += 1
+        a, b = taken[i] if i < len(taken) else (hi, hi)
+        if lo < min(a, hi):
+            yield lo, min(a, hi)
+        lo = max(lo, b)
+
+
+def _disjoint(spans: Sequence[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for lo, hi, _ in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _without_prose(text: str, lo: int, hi: int) -> int:
+    """Where a chain from ``lo`` to ``hi`` ends without the prose that a dot joins to it."""
+    while (dot := text.rfind(".", lo, hi)) >= 0 and hi - dot <= DOTTED and not any(c.isdigit() for c in text[dot:hi]):
+        hi = dot if text[dot - 1] != "." else dot - 1
+    return hi
+
+
 def novel_spans(text: str, known: Sequence[tuple[int, int, str]], novelty: Novelty, least_bits: float = 6.5) -> list[tuple[int, int, str]]:
-    """Strings after a sensitive word that stay long when compressed, apart from the known spans."""
+    """Strings after a sensitive word that stay long when compressed, apart from the known spans.
+
+    A string is reported to its end, with the strings that dots join to it.
+    """
     out: list[tuple[int, int, str]] = []
+    taken = _disjoint(known)
+
+    def is_novel(lo: int, hi: int) -> bool:
+        own = text[lo:hi]
+        if len(own) < LEAST or alphabet_spread(own) < 2 or not any(c.isdigit() for c in own):
+            return False
+        return novelty.bits_per_char(text[max(0, lo - REACH) : lo], own, text[hi : hi + REACH]) >= least_bits
+
+    begin = end = 0
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 200)):
-            lo, hi = m.span()
-            if lo > word.end() + REACH:
-                break
-            if any(a < hi and lo < b for a, b, _ in (*known, *out)) or alphabet_spread(m[0]) < 2 or not any(c.isdigit() for c in m[0]):
-                continue
-            if novelty.bits_per_char(text[max(0, lo - REACH) : lo], m[0], text[hi : hi + REACH]) >= least_bits:
-                out.append((lo, hi, "novel"))
+        at, stop = word.end(), min(len(text), word.end() + REACH + LEAST)
+        while m := CANDIDATE.search(text, at, stop):
+            lo = m.start()
+            if begin <= lo < end:
+                # a chain weighed before, from an earlier word: the rest counts by what follows this one
+                runs = [RUN.match(text, lo, min(end, lo + PIECE))]
+            else:
+                begin, end = lo, CHAIN.match(text, lo).end()
+                runs = RUN.finditer(text, lo, end)
+            at = end
+            first = next((a for run in runs for a, b in _free(*run.span(), taken) if is_novel(a, b)), None)
+            if first is not None:
+                for a, b in list(_free(first, _without_prose(text, first, end), taken)):
+                    if text[a:b].strip("."):
+                        out.append((a, b, "novel"))
+                        insort(taken, (a, b))
     return out
 
 
