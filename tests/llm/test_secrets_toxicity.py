@@ -67,6 +67,17 @@ def test_whole_runs_and_dotted_tokens():
     assert novel_spans("key1" * 50_000, [], n) == []
 
 
+def test_novelty_of_long_strings_and_small_alphabets():
+    n, rng = Novelty(), random.Random(3)
+    for alphabet in (string.digits + "ABCDEF", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/"):
+        for size in (40, 63, 64, 80, 128, 160, 200, 1200, 5000):
+            text = f"the secret key is {noise(rng, alphabet, size)} for now"
+            found = find_secrets(text, n)  # sixteen digits in a row are hex too
+            assert "novel" in [s[2] for s in found] and redact(text, found).replace("[secret]", "") == "the secret key is  for now", (alphabet, size)
+    assert find_secrets("the secret key is " + "xy1" * 200, n) == []
+    assert find_secrets("the secret key is " + "authorization_authentication_configuration1_" * 9, n) == []
+
+
 def test_redact():
     assert redact("abcdefgh", [(1, 3, "x"), (2, 5, "y"), (6, 7, "z")], "*") == "a*f*h"
     assert redact("abc", []) == "abc" and redact("abc", [(0, 3, "x")], "*") == "*" and redact("abcd", [(0, 2, "x"), (2, 4, "y")], "*") == "**"

@@ -52,11 +52,14 @@ class Novelty:
         self.identifiers, self.level = identifiers.encode(), level
 
     def bits_per_char(self, before: str, candidate: str, after: str) -> float:
+        """Of the most novel piece: from 64 bytes on, zstandard would pay for the alphabet and not for novelty."""
         around = (before + " " + after).encode("utf-8", "replace")
         primed = zstandard.ZstdCompressionDict(self.identifiers + b" " + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         press = zstandard.ZstdCompressor(level=self.level, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-        own = candidate.encode()
-        return 8 * (len(press.compress(own)) - len(press.compress(b""))) / len(own)
+        own, none = candidate.encode(), len(press.compress(b""))
+        k = -(-len(own) // PIECE)
+        cuts = [len(own) * i // k for i in range(k + 1)]
+        return max(8 * (len(press.compress(own[lo:hi])) - none) / (hi - lo) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True))
 
 
 def alphabet_spread(s: str) -> int:
