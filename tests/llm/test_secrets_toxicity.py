@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.automata import FuzzyLexicon
 from tickloom.llm.secrets import ACCESS, HEX, Novelty, base_spans, find_secrets, novel_spans, redact, redact_secrets, scan_secrets
-from tickloom.llm.toxicity import BASE_TERMS, ToxicModel, bucket_of, drop_toxic, fit_toxicity, score_toxicity
+from tickloom.llm.toxicity import BASE_TERMS, ToxicModel, _candidates, _cover, bucket_of, drop_toxic, fit_toxicity, score_toxicity
 
 
 def plain_base(text):
@@ -148,6 +148,38 @@ def test_learning(spark):
     assert set(kept["doc_id"]) == set(out[out["predicted"] == 0]["doc_id"]) and list(kept.columns) == docs.columns
 
 
+def test_near_copies_leave_other_terms(spark):
+    rng = random.Random(6)
+    rare = [f"{noise(rng, string.ascii_lowercase, 10)}" for _ in range(1_400)]
+    rows, labels = [], []
+    for i in range(900):
+        words = prose(rng, 40).split(" ")
+        if i < 240:
+            words = [*rare, f"copy{i}"]
+        elif i < 340:
+            words.insert(5, "vequoxin")
+        rows.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, int(i < 340)))
+    model = fit_toxicity(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert any("vequoxin".startswith(t) for t, _, _ in model.terms)
+
+
+def test_cover_is_greedy():
+    rng = random.Random(7)
+    texts = [[f"w{min(int(rng.expovariate(0.2)), 30):02d}x{rng.randrange(3)}" for _ in range(2)] for _ in range(900)]
+    strong = sorted({t for words in texts for t in _candidates(words)})
+    where = {t: {i for i, words in enumerate(texts) if t in _candidates(words)} for t in strong}
+    want = []
+    while where:
+        best = max(where, key=lambda t: (len(where[t]), -t.count("*"), len(t), t))
+        if len(where[best]) < 3:
+            break
+        gone = where[best]
+        want.append(best)
+        where = {t: rest for t, own in where.items() if (rest := own - gone)}
+    assert len(want) >= 5 and _cover(strong, texts, 3, 300) == want and _cover(strong, texts, 3, 4) == want[:4]
+
+
 def test_toxicity_edges(spark):
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(None, None, "", "", 0), (1, "", "", "", 0), (1, "you moron, you scum", "", "", 0), (1, "you moron, you scum", "", "", 0)], SCHEMA).withColumn("score", F.lit(9))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +126,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     A bounded sample is used: the ``most_train`` ids with the smallest hashes, equal texts once.
     Words, word beginnings, and beginnings that are dense in a text, are counted by document on the
     executors; those (almost) never seen in clean texts, with more support than chance explains, are
-    taken by greedy cover of the toxic texts.
+    taken by greedy cover of the toxic texts; all that have the support take part.
     Words that only resemble a term and occur in clean texts become ``harmless``.  A logistic
     model over the hits is then fitted.  Without usable labels the base terms and default weights
     stand.  Rows with null ids, texts or labels teach nothing.
@@ -138,20 +140,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     sample = docs.select(F.col(id_col).alias("tx_id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(picked), "tx_id").dropDuplicates(["t"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clean, toxic = Counter(), Counter()
+        clean, toxic, among = Counter(), Counter(), Counter()
 
         def counted() -> pa.RecordBatch:
             keys = list(toxic.keys() | clean.keys())
-            return pa.RecordBatch.from_pydict({"term": pa.array(keys, pa.string()), "bad": pa.array([toxic[k] for k in keys], pa.int64()), "good": pa.array([clean[k] for k in keys], pa.int64())})
+            return pa.RecordBatch.from_pydict({"term": pa.array(keys, pa.string()), "bad": pa.array([toxic[k] for k in keys], pa.int64()), "good": pa.array([clean[k] for k in keys], pa.int64()), "among": pa.array([among[k] for k in keys], pa.int64())})
 
         for batch in batches:
             for t, y in zip(batch.column("t").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 terms = _candidates(WORD.findall(t.lower()))
                 (toxic if y else clean).update(terms)
+                if y:
+                    own = int.from_bytes(blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+                    for k in terms:
+                        among[k] ^= own
                 if len(clean) + len(toxic) > MOST_COUNTED:
                     yield counted()
                     clean.clear()
                     toxic.clear()
+                    among.clear()
         yield counted()
 
     kept = settle(sample.select("tx_id", "t", "y"), "train")
@@ -161,8 +168,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     dense: set[str] = set()
     if bad and good:
         support = max(4, math.ceil(math.log(1e-7) / math.log(max(1e-6, min(0.5, bad / (bad + good))))))
-        counts = kept.select("t", "y").mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        strong = counts.where((F.col("bad") >= support) & (F.col("good") * 50 <= F.col("bad"))).orderBy(F.desc("bad"), F.length("term"), "term").limit(5_000).collect()
+        counts = kept.select("t", "y").mapInArrow(count, "term string, bad long, good long, among long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.bit_xor("among").alias("among"))
+        # of terms that stand in the same toxic texts only the one that the cover prefers counts
+        rank = F.struct(F.length(F.regexp_replace("term", r"\*+$", "")) - F.length("term"), F.length("term"), "term")
+        strong = counts.where((F.col("bad") >= support) & (F.col("good") * 50 <= F.col("bad"))).groupBy("bad", "among").agg(F.max_by("term", rank).alias("term")).select("term").collect()
         texts = [WORD.findall(r["t"].lower()) for r in kept.where("y = 1").select("t").toLocalIterator()]
         for term in _cover([r["term"] for r in strong], texts, support, most_terms):
             text, prefix = term.rstrip("*"), term.endswith("*")
@@ -190,14 +199,22 @@ def _cover(strong: list[str], texts: list[list[str]], support: int, most: int) -
     for i, words in enumerate(texts):
         for term in _candidates(words) & wanted:
             where.setdefault(term, set()).add(i)
+    # what a term still explains only shrinks, so one that is first after a recount is first of all
+    ranked = sorted(where, key=lambda t: (-t.count("*"), len(t), t), reverse=True)
+    heap = [(-len(where[t]), i) for i, t in enumerate(ranked)]
+    heapq.heapify(heap)
     out: list[str] = []
-    while where and len(out) < most:
-        term = max(where, key=lambda t: (len(where[t]), -t.count("*"), len(t), t))
-        if len(where[term]) < support:
-            break
-        gone = set(where[term])
-        out.append(term)
-        where = {t: rest for t, own in where.items() if (rest := own - gone)}
+    gone: set[int] = set()
+    while heap and len(out) < most and -heap[0][0] >= support:
+        n, i = heap[0]
+        own = where[ranked[i]]
+        own -= gone
+        if len(own) < -n:
+            heapq.heapreplace(heap, (-len(own), i))
+            continue
+        heapq.heappop(heap)
+        out.append(ranked[i])
+        gone |= own
     return out
 
 
@@ -214,7 +231,7 @@ def _calibrate(model: ToxicModel, kept: DataFrame) -> None:
             yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int32()), "near": pa.array(x, pa.list_(pa.string()))})
 
     near = kept.mapInArrow(look, "y int, near array<string>").select("y", F.explode("near").alias("w")).groupBy("w").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    model.harmless = frozenset(r["w"] for r in near.where("good > 0 and good * 4 > bad").orderBy(F.desc("good"), "w").limit(100_000).collect())
+    model.harmless = frozenset(r["w"] for r in near.where("good > 0 and good * 4 > bad").select("w").collect())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
