@@ -11,6 +11,10 @@ class CorruptError(EngineError):
     """A store's files do not hold what its metadata promises."""
 
 
+class BusyError(EngineError):
+    """Another writer holds the store's lock."""
+
+
 class UnsupportedError(EngineError):
     """The store's record type, or its version, has no such operation."""
 

@@ -66,7 +66,8 @@ def display_time(col: Column, unit: TimeUnit) -> Column:
         return F.timestamp_millis(col)
     if unit is TimeUnit.US:
         return F.timestamp_micros(col)
-    return F.timestamp_micros((col / 1000).cast("long"))
+    # whole division: nanoseconds don't fit a double
+    return F.timestamp_micros(F.call_function("div", col, F.lit(1000)))
 
 
 def encode(df: DataFrame, schema: RecordSchema) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import astuple, is_dataclass
 
@@ -12,14 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tickloom.errors import CorruptError, InvalidRecordError, OutOfOrderError
+from tickloom.errors import BusyError, CorruptError, InvalidRecordError, OutOfOrderError
 from tickloom.functions.codec import encode, faults, scale_price
 from tickloom.operators.policy import FlushPolicy
 from tickloom.schema import Kind, RecordSchema, TimeUnit
 from tickloom.sources.files import Files
+from tickloom.sources.footers import footer_session
 
 META = "_meta.json"
+LOCK = "_writer.lock"
 MOST_KEY_BYTES = 255
+#: Keys of a batch up to which their folders are named one by one; beyond, all folders are listed by Spark.
+NAMED_KEYS = 256
 
 
 def check_key(key: str) -> None:
@@ -37,10 +42,11 @@ class StoreWriter:
 
     A batch is checked whole before anything is written, and written by one Spark commit.  Each
     flush is a new group of files; files never change.  With a ``policy`` rows wait in memory until
-    ``sync``, ``sync_if_due``, ``seal`` or ``close``.
+    ``sync``, ``sync_if_due``, ``seal`` or ``close``.  With ``lock`` a second writer that asks for
+    the lock too is refused with BusyError until this one is closed.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: RecordSchema, *, bucket: dt.timedelta | None = None, segment_records: int = 0, policy: FlushPolicy | None = None):
+    def __init__(self, spark: SparkSession, path: str, schema: RecordSchema, *, bucket: dt.timedelta | None = None, segment_records: int = 0, policy: FlushPolicy | None = None, lock: bool = False):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         self.files, self.policy, self.segment_records = Files(spark, self.path), policy, segment_records
         self.width = 0
@@ -54,7 +60,11 @@ class StoreWriter:
             self.files.write(META, meta)
         elif self.files.read(META) != meta:
             raise CorruptError(f"{self.path} holds other records or buckets than {schema}")
+        self._locked = lock
+        if lock and not self.files.create(LOCK):
+            raise BusyError(f"{self.path} has a writer; if that one is gone, delete {LOCK}")
         self._last: dict[str, int] = {}
+        self._touched: set[str] = set()
         self._waiting: dict[str, list[tuple]] = {}
         self._closed = False
 
@@ -68,17 +78,29 @@ class StoreWriter:
         return self.spark.read.schema(shape).option("basePath", f"{self.path}/data").parquet(f"{self.path}/data")
 
     def last(self, key: str) -> int | None:
-        """The newest stamp of a key, waiting rows included."""
+        """The newest stamp of a key, waiting rows included.
+
+        Only the key's own folder is looked at, of a bucketed store only its newest bucket, and
+        there the footers of its files answer.
+        """
         if key not in self._last:
-            found = self.stored().where(F.col("key") == key).agg(F.max(self.schema.time.stored)).first()[0]
+            folder = f"data/key={self.files.escaped(key)}"
+            if not self.files.exists(folder):
+                return None
+            if self.width:
+                buckets = [b for b in self.files.folders(folder) if b.startswith("time_bucket=")]
+                if not buckets:
+                    return None
+                folder = f"{folder}/{max(buckets, key=lambda b: int(b.partition('=')[2]))}"
+            found = footer_session(self.spark).read.schema(self.schema.stored_struct()).parquet(f"{self.path}/{folder}").agg(F.max(self.schema.time.stored)).first()[0]
             if found is None:
                 return None
             self._last[key] = found
         return self._last[key]
 
     def keys(self) -> list[str]:
-        """Keys that this writer has touched, sorted."""
-        return sorted(self._last)
+        """Keys that this writer has appended to, sorted; what it only read is not among them."""
+        return sorted(self._touched)
 
     # appending
 
@@ -103,6 +125,7 @@ class StoreWriter:
             self._waiting.setdefault(key, []).extend(rows)
             self.policy.append(len(rows) * self.schema.record_size)
         self._last[key] = last
+        self._touched.add(key)
 
     def _row(self, record, index: int) -> tuple:
         """A record as a tuple of checked values."""
@@ -136,37 +159,93 @@ class StoreWriter:
 
         Rows have no order of their own, so a key's stamps have to be distinct and after its stored
         ones.  ``late="drop"`` leaves out rows that aren't after, and repeats within the batch.
-        Everything is checked by one aggregation before anything is written.
+
+        The input is evaluated once, into a folder of its own under the store, so that what is
+        checked is what is written.  Of the store only the batch's keys are looked at, and of those
+        only row groups with stamps that the batch's first stamp does not follow: in order, none.
+        Everything is checked by one aggregation before anything is committed.
         """
         self._open()
         time = self.schema.time.name
-        rows = records.select("key", *[c.name for c in self.schema.columns])
         self._flush()
-        before = self.stored().groupBy("key").agg(F.max(self.schema.time.stored).alias("stored_last"))
-        if late == "drop":
-            rows = rows.dropDuplicates(["key", time]).join(before, "key", "left").where(F.col("stored_last").isNull() | (F.col(time) > F.col("stored_last"))).drop("stored_last")
-        rules = faults(self.schema)
-        key_bytes = F.octet_length("key")
-        checks = [F.count(F.when(bad, 1)).alias(f"f{i}") for i, (_, _, bad) in enumerate(rules)]
-        per_key = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(time).alias("stamps"), F.min(time).alias("first"), *checks).join(before, "key", "left")
-        found = per_key.agg(
-            F.sum("n").alias("n"),
-            F.sum(F.when(F.col("key").isNull() | ~key_bytes.between(1, MOST_KEY_BYTES), 1).otherwise(0)).alias("bad_keys"),
-            F.sum(F.col("n") - F.col("stamps")).alias("repeats"),
-            F.sum(F.when(F.col("first") <= F.col("stored_last"), 1).otherwise(0)).alias("late"),
-            *[F.sum(f"f{i}").alias(f"f{i}") for i in range(len(rules))],
-        ).first()
-        if not found["n"]:
-            return
+        staged = f"_staged/{uuid.uuid4().hex}"
+        rows = records.select("key", *[c.name for c in self.schema.columns])
+        rows.write.parquet(f"{self.path}/{staged}")
+        try:
+            rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{staged}")
+            rules = faults(self.schema)
+            checks = [F.count(F.when(bad, 1)).alias(f"f{i}") for i, (_, _, bad) in enumerate(rules)]
+            per_key = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(time).alias("stamps"), F.min(time).alias("first"), F.max(time).alias("end"), *checks)
+            few = per_key.limit(NAMED_KEYS + 1).collect()
+            if len(few) > NAMED_KEYS:
+                few = None
+                first = rows.agg(F.min(time)).first()[0]
+                before = self._stored_lasts(None, first or 0)
+            else:
+                first = min((r["first"] for r in few if r["first"] is not None), default=0)
+                before = self._stored_lasts([r["key"] for r in few if r["key"] is not None], first)
+            n = self._check(per_key if few is None else few, before, rules, late)
+            if late == "drop":
+                rows = rows.dropDuplicates(["key", time]).join(before.withColumnRenamed("last", "stored_last"), "key", "left").where(F.col("stored_last").isNull() | (F.col(time) > F.col("stored_last"))).drop("stored_last")
+            if n:
+                self._write(rows)
+                self._remember(per_key if few is None else few, before, late)
+        finally:
+            self.files.delete(staged)
+
+    def _stored_lasts(self, keys: list[str] | None, first: int) -> DataFrame:
+        """(key, last): of these keys, or of all, those with stored stamps of ``first`` or later."""
+        time, shape = self.schema.time.stored, store_schema(self.schema, bool(self.width))
+        rows = self.stored() if keys is None else None
+        if keys is not None:
+            folders = [f"data/key={self.files.escaped(k)}" for k in keys]
+            paths = [f"{self.path}/{f}" for f in folders if self.files.exists(f)]
+            if not paths:
+                return self.spark.createDataFrame([], "key string, last long")
+            rows = self.spark.read.schema(shape).option("basePath", f"{self.path}/data").parquet(*paths)
+        rows = rows.where(F.col(time) >= first)
+        if self.width:
+            rows = rows.where(F.col("time_bucket") >= first // self.width)
+        lasts = rows.groupBy("key").agg(F.max(time).alias("last"))
+        return lasts if keys is None else self.spark.createDataFrame(lasts.collect(), "key string, last long")
+
+    def _check(self, per_key: DataFrame | list, before: DataFrame, rules: list, late: str) -> int:
+        """How many rows the batch has; raises if one can't be stored.  Many keys are summed up by Spark, few here."""
+        if isinstance(per_key, list):
+            lasts = {r["key"]: r["last"] for r in before.collect()}
+            found = {f"f{i}": sum(r[f"f{i}"] for r in per_key) for i in range(len(rules))}
+            found["n"] = sum(r["n"] for r in per_key)
+            found["bad_keys"] = sum(r["key"] is None or not 1 <= len(r["key"].encode()) <= MOST_KEY_BYTES for r in per_key)
+            found["repeats"] = sum(r["n"] - r["stamps"] for r in per_key)
+            found["late"] = sum(r["first"] is not None and r["first"] <= lasts.get(r["key"], -1) for r in per_key)
+        else:
+            found = per_key.join(before, "key", "left").agg(
+                F.sum("n").alias("n"),
+                F.sum(F.when(F.col("key").isNull() | ~F.octet_length("key").between(1, MOST_KEY_BYTES), 1).otherwise(0)).alias("bad_keys"),
+                F.sum(F.col("n") - F.col("stamps")).alias("repeats"),
+                F.sum(F.when(F.col("first") <= F.col("last"), 1).otherwise(0)).alias("late"),
+                *[F.sum(f"f{i}").alias(f"f{i}") for i in range(len(rules))],
+            ).first()
         for i, (what, error, _) in enumerate(rules):
             if found[f"f{i}"]:
                 raise error(f"{found[f'f{i}']} records: {what}")
         if found["bad_keys"]:
             raise InvalidRecordError(f"{found['bad_keys']} keys: a key has 1 to {MOST_KEY_BYTES} bytes")
-        if found["repeats"] or found["late"]:
+        if late != "drop" and (found["repeats"] or found["late"]):
             raise OutOfOrderError(f"{found['repeats']} records repeat a stamp of their key; {found['late']} keys begin at or before a stored stamp")
-        self._write(rows)
+        return found["n"] or 0
+
+    def _remember(self, per_key: DataFrame | list, before: DataFrame, late: str) -> None:
+        """Note the keys that were appended to; ``keys`` has to return them all, so the driver holds a name a key."""
+        if isinstance(per_key, list):
+            lasts = {r["key"]: r["last"] for r in before.collect()}
+            ends = {r["key"]: r["end"] for r in per_key if r["end"] > lasts.get(r["key"], -1)}
+            self._last |= ends
+            self._touched |= ends.keys()
+            return
         self._last.clear()
+        grown = per_key.join(before, "key", "left").where(F.col("last").isNull() | (F.col("end") > F.col("last")))
+        self._touched.update(r["key"] for r in grown.select("key").toLocalIterator())
 
     def _frame(self, rows: dict[str, Iterable[tuple]]) -> DataFrame:
         shape = T.StructType([T.StructField("key", T.StringType()), *self.schema.struct().fields])
@@ -177,7 +256,8 @@ class StoreWriter:
         out = encode(rows, self.schema).select(*[c.stored for c in self.schema.columns], "key")
         parts = ["key"]
         if self.width:
-            out = out.withColumn("time_bucket", F.floor(F.col(time) / self.width).cast("long"))
+            # whole division: a quotient of doubles would put stamps beyond 2**53 in the next bucket
+            out = out.withColumn("time_bucket", F.expr(f"`{time}` div {self.width}L"))
             parts.append("time_bucket")
         # ranges of key and time: a hot key spans several tasks, and files are in time order
         out = out.repartitionByRange(*parts, time).sortWithinPartitions(*parts, time)
@@ -214,12 +294,15 @@ class StoreWriter:
         rows = self._waiting.pop(key, None)
         if rows:
             self._write(self._frame({key: rows}))
+            self.policy.flushed(len(rows) * self.schema.record_size)
 
     def close(self) -> None:
         """Write what waits and take no more.  Closing again does nothing."""
         if not self._closed:
             self._flush()
             self._closed = True
+            if self._locked:
+                self.files.delete(LOCK)
 
     def _open(self) -> None:
         if self._closed:

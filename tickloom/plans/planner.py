@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -71,29 +72,62 @@ def age_cut(records: DataFrame, key: str, max_age: int, time: str = "datetime")
     return 0 if last is None or last <= max_age else last - max_age
 
 
-def plan(query: Query, bars: DataFrame, retention: Retention = Retention(), *, price_compare: str = "round", bucket: int = 0) -> DataFrame:
+#: Records of a key from which on a limit probes the end that it wants before it reads the rest.
+PROBE_ROWS = 1_000_000
+#: How much longer each probe is than all before it.
+WIDER = 8
+
+
+def near_end(rows: DataFrame, limit: int, newest: bool, span: tuple[int, int], n: int, bucket: int) -> DataFrame:
+    """``rows`` cut to a stretch at one end of the time ``span`` that holds ``limit`` of them, or all.
+
+    Stretches grow from what would do if every record counted.  Each is counted once, no further
+    than the limit, and files outside it aren't read.
+    """
+    low, high = span
+    width, found, done = max(1, (high - low + 1) * 2 * limit // n), 0, 0
+    while width <= high - low:
+        near, far = (high - width + 1, high - done) if newest else (low + done, low + width - 1)
+        found += rows.where(in_buckets(near, far, bucket) & in_window(near, far)).limit(limit - found).count()
+        if found >= limit:
+            return rows.where(in_buckets(near, high, bucket) & in_window(near, high) if newest else in_buckets(low, far, bucket) & in_window(low, far))
+        width, done = width * WIDER, width
+    return rows
+
+
+def in_buckets(low: int, high: int | None, bucket: int) -> Column:
+    """The time buckets of a window; they follow from the stamps, and saying so prunes folders before files are opened."""
+    return in_window(low // bucket, None if high is None else high // bucket, "time_bucket") if bucket else F.lit(True)
+
+
+def plan(query: Query, bars: DataFrame, retention: Retention = Retention(), *, price_compare: str = "round", bucket: int = 0, facts: Callable[[str], tuple[int, int, int]] | None = None) -> DataFrame:
     """The query's records in stored form, limited but in no order that a reader may rely on.
 
     Order of work: key, window and range conditions on datetime, age, newest ``max_bars``; then the
     other conditions, then the limit.  Catalyst pushes what it may to the files; a filter never
-    passes below the inner limit.  ``bucket`` is the width of the store's time buckets, if it has them.
+    passes below the inner limit.  ``bucket`` is the width of the store's time buckets, if it has
+    them.  With ``facts`` limits over large keys stop at the end they want.
     """
     rows = of_key(bars, query.key)
     low, high = query.window()
+    known = facts(query.key) if facts and (retention.max_age or retention.max_bars or query.limit) else None
     if retention.max_age:
-        low = max(low, age_cut(bars, query.key, retention.max_age))
-    rows = rows.where(in_window(low, high))
-    if bucket:
-        # the bucket follows from the stamp; saying so prunes folders before files are opened
-        rows = rows.where(in_window(low // bucket, None if high is None else high // bucket, "time_bucket"))
+        low = max(low, max(0, known[2] - retention.max_age) if known else age_cut(bars, query.key, retention.max_age))
+    rows = rows.where(in_buckets(low, high, bucket) & in_window(low, high))
+
+    def limited(rows: DataFrame, limit: int, newest: bool) -> DataFrame:
+        if known and known[0] > max(PROBE_ROWS, 4 * limit):
+            rows = near_end(rows, limit, newest, (max(low, known[1]), known[2] if high is None else min(high, known[2])), known[0], bucket)
+        return rows.orderBy(F.desc("datetime") if newest else F.asc("datetime")).limit(limit)
+
     if retention.max_bars:
-        rows = rows.orderBy(F.desc("datetime")).limit(retention.max_bars)
+        rows = limited(rows, retention.max_bars, True)
     ranges = (Op.GT, Op.GTE, Op.LT, Op.LTE)
     left = [c for c in query.conds if not (c.field is Field.DATETIME and c.op in ranges)]
     rows = rows.where(every([condition(c, price_compare=price_compare) for c in left]))
-    if query.limit:
-        rows = rows.orderBy(F.desc("datetime") if query.newest_first_ else F.asc("datetime")).limit(query.limit)
-    return rows
+    if query.limit and retention.max_bars:
+        return rows.orderBy(F.desc("datetime") if query.newest_first_ else F.asc("datetime")).limit(query.limit)
+    return limited(rows, query.limit, query.newest_first_) if query.limit else rows
 
 
 def project(rows: DataFrame, query: Query, *, zero_fill: bool = False) -> DataFrame:

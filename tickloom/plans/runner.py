@@ -15,10 +15,11 @@ from tickloom.plans.query import Query
 
 class Runner:
     """Answers queries over bars: a DataFrame of key, the bar columns and their stored prices, or what
-    gives that of a key and raises KeyNotFoundError itself."""
+    gives that of a key and raises KeyNotFoundError itself.  ``facts`` gives a key's number of records
+    and its first and last stamp where that is cheap; limits then look at large keys from the end they want."""
 
-    def __init__(self, bars: DataFrame | Callable[[str], DataFrame], retention: Retention = Retention(), *, price_compare: str = "round", check_key: bool = True, bucket: int = 0):
-        self.bars, self.retention, self.price_compare, self.check_key, self.bucket = bars, retention, price_compare, check_key, bucket
+    def __init__(self, bars: DataFrame | Callable[[str], DataFrame], retention: Retention = Retention(), *, price_compare: str = "round", check_key: bool = True, bucket: int = 0, facts: Callable[[str], tuple[int, int, int]] | None = None):
+        self.bars, self.retention, self.price_compare, self.check_key, self.bucket, self.facts = bars, retention, price_compare, check_key, bucket, facts
 
     def _rows(self, query: Query | str) -> tuple[Query, DataFrame]:
         query = parse(query) if isinstance(query, str) else query
@@ -27,7 +28,7 @@ class Runner:
             bars = bars(query.key)
         elif self.check_key:
             require_key(bars, query.key)
-        return query, plan(query, bars, self.retention, price_compare=self.price_compare, bucket=self.bucket)
+        return query, plan(query, bars, self.retention, price_compare=self.price_compare, bucket=self.bucket, facts=self.facts)
 
     def frame(self, query: Query | str, *, zero_fill: bool = False) -> DataFrame:
         """The matches, oldest first, whichever end the limit took them from."""

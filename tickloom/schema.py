@@ -6,10 +6,13 @@ import dataclasses
 import datetime as dt
 import enum
 import json
+import math
 import typing
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column as SparkColumn
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.errors import SchemaError
@@ -141,6 +144,38 @@ class Column:
     def answers_to(self, name: str) -> bool:
         return name.lower() in (n.lower() for n in (self.name, *self.aliases))
 
+    def value(self, record):
+        """The column's value in a record: a mapping, a row, or an object with attributes."""
+        try:
+            return record[self.name]
+        except (TypeError, KeyError, ValueError):
+            return getattr(record, self.name)
+
+    def load(self, record) -> int | float:
+        """The value as a number; a bool counts 0 or 1.  Bytes are no number and load as 0."""
+        if self.kind is Kind.BYTES:
+            return 0
+        found = self.value(record)
+        return float(found) if self.kind in (Kind.FLOAT64, Kind.FLOAT32) else int(found)
+
+    def compare(self, a, b) -> int:
+        """-1, 0 or 1 as record ``a`` comes before, with or after ``b``; bytes by their order, NaN last."""
+        x, y = (self.value(r) if self.kind is Kind.BYTES else self.load(r) for r in (a, b))
+        if self.kind is Kind.BYTES:
+            x, y = bytes(x), bytes(y)
+        else:
+            x, y = (math.isnan(x), x), (math.isnan(y), y)
+            if x[0] or y[0]:
+                x, y = x[0], y[0]
+        return (x > y) - (x < y)
+
+    def equal(self, a, b) -> bool:
+        return self.compare(a, b) == 0
+
+    def compared(self, a: SparkColumn, b: SparkColumn) -> SparkColumn:
+        """The same as a column of -1, 0 and 1, of two columns of this one's type; Spark's order has NaN last too."""
+        return F.when(a > b, 1).when(a < b, -1).when(a.eqNullSafe(b), 0)
+
 
 @dataclass(frozen=True)
 class RecordSchema:

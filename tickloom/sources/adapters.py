@@ -23,7 +23,7 @@ def bars_from_events(events: DataFrame) -> DataFrame:
     return with_stored(
         events.select(
             F.concat(F.lit("events/spot/"), "event_type").alias("key"),
-            F.floor(micros / 1000).cast("long").alias("datetime"),
+            F.call_function("div", micros, F.lit(1000)).alias("datetime"),
             value.alias("open"),
             (value + 1).alias("high"),
             F.greatest(value - 1, F.lit(0.0)).alias("low"),

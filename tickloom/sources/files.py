@@ -37,6 +37,26 @@ class Files:
         finally:
             stream.close()
 
+    def create(self, name: str) -> bool:
+        """Make an empty file; False if it is there already, also when another process makes it just now."""
+        try:
+            self._fs.create(self._path(name), False).close()
+        except Exception as error:
+            if self.exists(name):
+                return False
+            raise error
+        return True
+
+    def escaped(self, key: str) -> str:
+        """A key as Spark writes it in the name of a folder."""
+        return self._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(key)
+
+    def unescaped(self, name: str) -> str:
+        return self._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name)
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
     def folders(self, name: str = "") -> list[str]:
         if not self.exists(name):
             return []

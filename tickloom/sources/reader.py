@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from tickloom.functions.codec import scale_price
 from tickloom.plans.planner import in_window, of_key, require_key
 from tickloom.schema import RecordSchema
 
 
+Bounds = Iterable[tuple[str, float | None, float | None]]
+
+
 class Reader:
     """Reads over records: a DataFrame of key and a schema's columns.
 
@@ -59,6 +63,40 @@ class Reader:
         rows = self._newest(self.window(key, start, end), limit)
         return rows.orderBy(F.desc(self.time)).select(self.names).toLocalIterator()
 
+    def bounded(self, key: str, bounds: Bounds, start: int = 0, end: int = 0, limit: int = 0) -> DataFrame:
+        """The window's newest ``limit`` records within ``bounds``, in no order.
+
+        ``bounds`` are (column, least, most), both inclusive, None for an open side; prices are as
+        users see them.  They reach the files, so row groups that hold nothing of them are skipped.
+        """
+        rows = self.window(key, start, end)
+        for name, least, most in bounds:
+            column = self.schema.field(name)
+            as_stored = (lambda v: scale_price(v, True)) if column.price else (lambda v: v)
+            if least is not None:
+                rows = rows.where(F.col(column.stored) >= F.lit(as_stored(least)))
+            if most is not None:
+                rows = rows.where(F.col(column.stored) <= F.lit(as_stored(most)))
+        return self._newest(rows, limit)
+
+    def all_bounds(self, key: str, bounds: Bounds, start: int = 0, end: int = 0, limit: int = 0) -> Iterator[Row]:
+        """``all`` within bounds, oldest first."""
+        return self.bounded(key, bounds, start, end, limit).orderBy(self.time).select(self.names).toLocalIterator()
+
+    def cursor_filtered(self, key: str, bounds: Bounds, start: int = 0, end: int = 0, limit: int = 0) -> Iterator[Row]:
+        """``cursor`` within bounds: oldest first without a limit, newest first with one."""
+        order = F.desc(self.time) if limit > 0 else F.asc(self.time)
+        return self.bounded(key, bounds, start, end, limit).orderBy(order).select(self.names).toLocalIterator()
+
+    def cursor_desc_filtered(self, key: str, bounds: Bounds, start: int = 0, end: int = 0, limit: int = 0) -> Iterator[Row]:
+        """``cursor_desc`` within bounds."""
+        return self.bounded(key, bounds, start, end, limit).orderBy(F.desc(self.time)).select(self.names).toLocalIterator()
+
+    def range_into(self, into: list[Row], key: str, start: int = 0, end: int = 0, limit: int = 0) -> list[Row]:
+        """``range`` into a list that the caller keeps: what it held is gone."""
+        into[:] = self.range(key, start, end, limit).collect()
+        return into
+
     def scan(self, key: str, visit: Callable[[Row], bool], start: int = 0, end: int = 0, limit: int = 0) -> None:
         """Call ``visit`` on each record, oldest first, until it returns False."""
         for row in self.all(key, start, end, limit):

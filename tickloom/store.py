@@ -16,6 +16,7 @@ from tickloom.plans.planner import Retention
 from tickloom.plans.runner import Runner
 from tickloom.schema import BAR, RecordSchema
 from tickloom.sources.files import Files
+from tickloom.sources.footers import footer_facts
 from tickloom.sources.reader import Reader
 
 
@@ -43,6 +44,7 @@ class StoreReader(Reader):
         """See what was committed since."""
         self._all: DataFrame | None = None
         self._known: dict[str, DataFrame] = {}
+        self._facts: dict[str, tuple[int, int, int]] = {}
 
     def _load(self, folder: str) -> DataFrame:
         rows = self.spark.read.schema(store_schema(self.schema, bool(self.width))).option("basePath", f"{self.path}/data").parquet(f"{self.path}/{folder}")
@@ -56,19 +58,39 @@ class StoreReader(Reader):
             self._all = self._load("data") if self.files.exists("data") else decode(empty, self.schema, passing=["time_bucket"] if self.width else [])
         return self._all
 
+    def _folder(self, key: str) -> str:
+        folder = f"data/key={self.files.escaped(key)}"
+        if not self.files.exists(folder):
+            raise KeyNotFoundError(f"no key {key!r}")
+        return folder
+
     def of(self, key: str) -> DataFrame:
         """A key's records."""
         if key not in self._known:
-            folder = f"data/key={self._names().escapePathName(key)}"
-            if not self.files.exists(folder):
-                raise KeyNotFoundError(f"no key {key!r}")
-            self._known[key] = self._load(folder).where(F.col("key") == key)
+            self._known[key] = self._load(self._folder(key)).where(F.col("key") == key)
         return self._known[key]
 
     _key = of
 
-    def _names(self):
-        return self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    def _footers(self, key: str) -> DataFrame:
+        return footer_facts(self.spark, self.schema.stored_struct(), f"{self.path}/{self._folder(key)}", self.schema.time.stored)
+
+    def facts(self, key: str) -> tuple[int, int, int]:
+        """A key's records, and its first and last stamp, from the footers of its files; kept until ``refresh``."""
+        if key not in self._facts:
+            row = self._footers(key).first()
+            self._facts[key] = (row["n"], row["first"], row["last"])
+        return self._facts[key]
+
+    def count(self, key: str) -> DataFrame:
+        return self._footers(key).select("n")
+
+    def bounds(self, key: str) -> DataFrame:
+        return self._footers(key).select("first", "last")
+
+    def keys(self, prefix: str = "") -> DataFrame:
+        """Keys by the folders alone."""
+        return self.spark.createDataFrame([(k,) for k in self.list_keys(prefix)], "key string").orderBy("key")
 
     def window(self, key: str, start: int = 0, end: int = 0) -> DataFrame:
         rows = super().window(key, start, end)
@@ -103,7 +125,7 @@ class StoreReader(Reader):
 
     def list_keys(self, prefix: str = "") -> list[str]:
         """Keys from the folders alone, without reading a file."""
-        found = [self._names().unescapePathName(n[4:]) for n in self.files.folders("data") if n.startswith("key=")]
+        found = [self.files.unescaped(n[4:]) for n in self.files.folders("data") if n.startswith("key=")]
         return sorted((k for k in found if k.startswith(prefix)), key=str.encode)
 
 
@@ -124,7 +146,7 @@ class Store:
         """A query runner over the reader; only bars can be queried."""
         if self.reader.schema.name != BAR.name:
             raise UnsupportedError(f"queries need bars; this store holds {self.reader.schema.name}")
-        return Runner(self.reader.of, self.retention, bucket=self.reader.width)
+        return Runner(self.reader.of, self.retention, bucket=self.reader.width, facts=self.reader.facts)
 
     def refresh(self) -> None:
         self.reader.refresh()
