@@ -83,6 +83,8 @@ def test_near_duplicates(spark):
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """Groups larger than a block, with checks across components."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "CHECKED", 5)
+    monkeypatch.setattr(minhash, "HUBS", 4)
     rng = random.Random(3)
     rows = []
     for g in range(3):

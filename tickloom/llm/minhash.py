@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import block_pairs, bounded_batches, discard, fresh, keyed_runs, settle
+from tickloom.llm.common import bounded_batches, discard, fresh, keyed_runs, settle
 from tickloom.llm.components import components, least_labels
 
 #: Minima in a band and bands.  A pair at similarity 0.8 shares none of 30 bands of 5 once in 150,000 times.
@@ -18,10 +18,12 @@ ROWS, BANDS = 5, 30
 BITS = 4
 #: Pairs whose estimate is this many standard errors below the threshold are not checked.
 ERRORS = 4.5
-#: Members that are compared in one task; larger buckets are cut into blocks, and pairs of blocks.
+#: Members of a bucket whose estimates are compared together; larger buckets are cut into blocks of this size.
 BLOCK = 1024
-#: Shingles of full sets that meet in one task, about.
-SHINGLES = 1_000_000
+#: Members of a large bucket, about, that stand in every one of its blocks and so tie them together.
+HUBS = 16
+#: Members, and shingles of full sets, of a block whose members are checked against another block's.
+CHECKED, SHINGLES = 128, 200_000
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 19
 #: Ids up to which the documents to check are picked by a broadcast and not by a shuffle of texts.
@@ -194,7 +196,7 @@ def exact_links(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarr
         total = np.zeros((len(ids), len(ids)), np.float32)
         for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
             lo, hi = np.searchsorted(column, [at, at + 4096])
-            held = np.zeros((len(ids), 4096), np.float32)
+            held = np.zeros((len(ids), 4096), np.float32)  # float32 counts exactly to 2**24; 4,096 are added at a time
             held[row[lo:hi], column[lo:hi] - at] = 1
             total += held @ held.T
         common = total[i, j].astype(np.int64)
@@ -251,11 +253,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, part: int = 80, whole: i
 
     Documents with equal sets are one class, found by a digest, and only its least id goes on.
     Classes sharing a band are candidates.  In each bucket of candidates a maximum spanning forest
-    by b-bit estimate is checked on full sets first.  Where a check fails, the forest's tree holds
-    several components; then all its likely pairs across components are checked, inside tasks that
-    get the full sets and give back only what connects.  So no link that the estimate admits is
-    lost, and a group of copies costs about one check a member.  Large groups are cut into blocks.
+    by b-bit estimate is checked on full sets first; a large bucket is cut into blocks that share a
+    few hubs.  Where a check fails, the bucket's tree holds several components; then members outside
+    of its largest component are checked against all likely ones, inside tasks that get the full
+    sets and give back only what connects.  So no link that the estimate admits is lost, a group of
+    copies costs about one check a member, and what one task holds is bounded.
 
+    Very long texts are hashed in bounded chunks of texts.  Columns of other names are not read.
     Null, empty and blank texts have no shingles and link with nothing.  Rows with equal ids count
     as one document.  A null id has a null component and is kept.  Empty tables give empty ones.
     """
@@ -282,43 +286,76 @@ def _links(docs: DataFrame, sig: DataFrame, classes: DataFrame, words: int, part
     members = settle(keys.join(shared, "key").join(reps.select("id", "n", "bits"), "id"), "members")
     least = part / whole - ERRORS * float(np.sqrt(0.1525 / (ROWS * BANDS))) / (1 - 1 / (1 << BITS))
 
-    first = settle(_forests(members, least, part, whole), "pairs")
+    edges = settle(_forests(members, least, part, whole), "pairs")
     discard(members)
-    links = settle(_checked(first, docs, words, part, whole, id_col, text_col), "checked")
-    trees = components(first).select(F.col("node").alias("id"), F.col("component").alias("tree"))
+    links = settle(_checked(edges.where("likely").select("a", "b").distinct(), docs, words, part, whole, id_col, text_col), "checked")
+    trees = components(edges.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("tree"))
     comp = components(links).select(F.col("node").alias("id"), "component")
     placed = settle(trees.join(comp, "id", "left").select("id", "tree", F.coalesce("component", "id").alias("comp")).join(reps.select("id", "n", "bits"), "id"), "trees")
-    split = placed.groupBy("tree").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).where("c0 <> c1").select("tree", "size", "total")
+    # a row a component of the trees that have several: how much stands in its largest one and outside
+    per_comp = placed.groupBy("tree", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
+    per_tree = per_comp.groupBy("tree").agg(F.max(F.struct("k", "comp", "total")).alias("main"), F.sum("k").alias("k"), F.sum("total").alias("total")).where("k > main.k")
+
+    def blocks(members: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(F.greatest(members / CHECKED, shingles / SHINGLES)).cast("int"), F.lit(1))
+
+    split = per_tree.select("tree", F.col("main.comp").alias("main"), blocks(F.col("k") - F.col("main.k"), F.col("total") - F.col("main.total")).alias("outer"), blocks(F.col("main.k"), F.col("main.total")).alias("inner"))
     apart = settle(placed.join(split, "tree"), "apart")
     again = settle(_across(apart, docs, least, words, part, whole, id_col, text_col), "links_across")
     return links.union(again)
 
 
 def _forests(members: DataFrame, least: float, part: int, whole: int) -> DataFrame:
-    """Distinct pairs a < b to check first, from members (key, size, id, n, bits) of the buckets."""
-    dealt = block_pairs(members, F.ceil(F.col("size") / BLOCK).cast("int"), "id").select("key", "i", "j", "own", "id", "n", "bits")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "id")
+    """Edges (a, b, likely) from members (key, size, id, n, bits) of the buckets.
+
+    Likely ones are forests of pairs to check first.  The others say that members of a bucket of
+    several blocks belong together without having been compared.  Each block of such a bucket also
+    holds its hubs, picked by a hash, so the forests meet; rows grow by HUBS a block.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    hub = (blocks > 1) & (F.pmod(F.xxhash64("id", F.lit("hub")), F.greatest(F.ceil(F.col("size") / HUBS), F.lit(1))) == 0)
+    places = F.when(hub, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), blocks).cast("int")))
+    dealt = members.select("key", (blocks > 1).alias("cut"), hub.alias("hub"), "id", "n", "bits", F.explode(places).alias("block"))
+    dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("hub"), "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int]] = set()
-        for rows in keyed_runs(batches, ["key", "i", "j"]):
-            ids, n, own = (rows[c].to_numpy() for c in ("id", "n", "own"))
+        likely_, other = set(), set()
+        for rows in keyed_runs(batches, ["key", "block"]):
+            ids, n = (rows[c].to_numpy() for c in ("id", "n"))
             bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(ids), -1)
-            side = own if rows["i"][0] != rows["j"][0] else np.full(len(ids), -1)
-            out.update((min(p), max(p)) for p in spanning(ids, n, bits, side, least, part, whole))
-            if len(out) > 200_000:
-                yield _pair_batch(out)
-                out = set()
-        yield _pair_batch(out)
+            likely_.update((min(p), max(p)) for p in spanning(ids, n, bits, np.full(len(ids), -1), least, part, whole))
+            if rows["cut"][0].as_py():
+                # the first row is a hub that every block holds
+                first = int(ids[0])
+                other.update((min(first, i), max(first, i)) for i in ids[1:].tolist())
+            if len(likely_) + len(other) > 100_000:
+                yield _edge_batch(likely_, other)
+                likely_, other = set(), set()
+        yield _edge_batch(likely_, other)
+
+    return dealt.mapInArrow(run, "a long, b long, likely boolean").distinct()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+def _edge_batch(likely_: set[tuple[int, int]], other: set[tuple[int, int]]) -> pa.RecordBatch:
+    both = pa.Table.from_batches([_pair_batch(likely_), _pair_batch(other)]).combine_chunks()
+    flags = np.arange(both.num_rows) < len(likely_)
+    return pa.RecordBatch.from_arrays([both["a"].combine_chunks(), both["b"].combine_chunks(), pa.array(flags)], ["a", "b", "likely"])
 
 
 def _across(apart: DataFrame, docs: DataFrame, least: float, words: int, part: int, whole: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) across the components of a tree, from (tree, size, total, id, comp, n, bits)."""
+    """Links (a, b) across the components of a tree, from (tree, main, outer, inner, id, comp, n, bits).
+
+    A tree's members outside of its main component are dealt to ``outer`` blocks and those of it to
+    ``inner`` ones.  Members of the main one need no company of their own, so an inner block goes to
+    each outer block only, and an outer block to all: the work is what stands outside times the tree.
+    """
     sets = full_sets(docs, apart.select("id"), words, id_col, text_col).dropDuplicates(["id"])
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / SHINGLES)).cast("int")
-    dealt = block_pairs(apart.join(sets, "id"), blocks, "id").select("tree", "i", "j", "own", "id", "comp", "n", "bits", "set")
+    lot = F.xxhash64("id", F.lit("block"))
+    out = F.col("comp") != F.col("main")
+    own = F.when(out, F.pmod(lot, F.col("outer"))).otherwise(F.col("outer") + F.pmod(lot, F.col("inner"))).cast("int")
+    meets = F.when(out, F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") - 1))
+    dealt = apart.join(sets, "id").withColumn("own", own).withColumn("with", F.explode(meets))
+    dealt = dealt.select("tree", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "id", "comp", "n", "bits", "set")
     dealt = dealt.repartition("tree", "i", "j").sortWithinPartitions("tree", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +387,11 @@ def _checked(pairs: DataFrame, docs: DataFrame, words: int, part: int, whole: in
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps: one document of each group."""
+    """The rows of ``docs`` that ``near_duplicates`` keeps: one document of each group.
+
+    Rows with the kept id are all kept, since they are one document to ``near_duplicates``; where ids
+    are unique, as in ``documents``, that is one row a group.  Null, empty and blank texts all stay.
+    """
     gone = near_duplicates(docs, words=words, part=part, whole=whole, id_col=id_col, text_col=text_col).where("NOT kept").select(F.col(id_col).alias("md_gone")).distinct()
     name = fresh(docs, "md_key")
     return docs.withColumn(name, F.col(id_col).cast("long")).join(F.broadcast(gone) if gone.count() <= PICKED else gone, F.col(name) == F.col("md_gone"), "left_anti").drop(name)
