@@ -3,10 +3,12 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from edge import SCHEMA, documents, frame
 from pyspark.sql import functions as F
 
+from tickloom.llm import mixing
 from tickloom.llm.mixing import CHUNK_MEAN, mix_sources, poisson_count, source_rates
 from tickloom.llm.packing import Bins, pack_best_fit, pack_window
 
@@ -98,3 +100,30 @@ def test_packing(spark):
         assert own["piece"].tolist() == list(range(len(own))) and (own["start"] == own["piece"] * 1000).all()
     assert out["doc_id"].isna().sum() == 1
     assert pack_best_fit(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hot_ids_are_sorted_by_ranges(spark, monkeypatch):
+    """A repeated id fills a bucket; the other way gives the same positions."""
+    from tickloom.llm import mixing
+
+    rows = [(None if i % 3 == 0 else i, f"text {i % 40}", "en", "s", 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+    def placed():
+        return sorted((r["position"], r["doc_id"], r["text"], r["copy"]) for r in mix_sources(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))), epochs=2.0).collect())
+
+    by_buckets = placed()
+    assert [p for p, *_ in by_buckets] == list(range(len(by_buckets)))
+    monkeypatch.setattr(mixing, "EACH", 20)
+    monkeypatch.setattr(mixing, "HOT", 2)
+    assert placed() == by_buckets
+
+
+def test_mix_in_order_is_a_global_shuffle(spark, tmp_path):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("src"), F.col("id") % 3).alias("source"), F.lit(2).cast("long").alias("n_chars"))
+    mixing.mix_in_order(docs, {"src0": 2.0}, epochs=2.0).write.parquet(str(tmp_path / "m"))
+    want = [r["doc_id"] for r in mix_sources(docs, {"src0": 2.0}, epochs=2.0).orderBy("position").collect()]
+    got = [i for f in sorted((tmp_path / "m").glob("part-*.parquet")) for i in pq.read_table(f)["doc_id"].to_pylist()]
+    assert got == want and got != sorted(got)
+    # neighbours in the output stand far apart in the input
+    assert sum(abs(a - b) for a, b in zip(got, got[1:], strict=False)) / len(got) > 500

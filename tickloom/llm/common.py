@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import re
 import tempfile
 import uuid
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 #: Most rows that a side may have before it is joined by a shuffle and not by a broadcast.
 BROADCAST_ROWS = 20_000
 #: Bytes of a batch of rows on its way to Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -49,10 +50,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tickloom-{uuid.uuid4().hex}/{name}"
-    if not _made:
-        atexit.register(_sweep)
-    _made.append((spark, path))
-    df.write.parquet(path)
+    df.write.parquet(delete_at_exit(spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -109,7 +107,7 @@ def unit_hash(text: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def power_of_two(rows: int, each: int, most: int = 1 << 16) -> int:
+def power_of_two(rows: int, each: int, most: int = 1 << 24) -> int:
     """How many buckets of about ``each`` rows hold ``rows``, as a power of two."""
     n = 1
     while n < most and n * each < rows:
@@ -117,15 +115,51 @@ def power_of_two(rows: int, each: int, most: int = 1 << 16) -> int:
     return n
 
 
+#: Buckets up to which their offsets go to every task; beyond, they are joined by a shuffle.
+BROADCAST_BUCKETS = 1 << 16
+#: Buckets whose running sums one task adds up.
+SPAN = 1 << 12
+
+
 def with_offsets(df: DataFrame, bucket: str, sums: dict[str, Column]) -> DataFrame:
     """For each bucket, what all smaller buckets hold: one row a bucket, pre-aggregated.
 
-    ``sums`` maps a result name to the column to add up.  The running sum needs all buckets in
-    one task; there are at most as many as the caller made (65,536 here), whatever the input.
+    ``sums`` maps a result name to the column to add up.  Buckets are integers from 0.  Running sums
+    are taken in spans of SPAN buckets, and then over the spans: a task sees a span, or one row a span.
     """
-    per = df.groupBy(bucket).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return per.select(bucket, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums])
+    per = df.groupBy(bucket).agg(*[F.sum(c).alias(n) for n, c in sums.items()]).withColumn("wo_span", F.floor(F.col(bucket) / SPAN).cast("long"))
+    before = Window.partitionBy("wo_span").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    spans = per.groupBy("wo_span").agg(*[F.sum(n).alias(f"wo_{n}") for n in sums])
+    earlier = Window.orderBy("wo_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("wo_span", *[F.coalesce(F.sum(f"wo_{n}").over(earlier), F.lit(0)).alias(f"wo_{n}") for n in sums])
+    inner = per.select(bucket, "wo_span", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums])
+    return inner.join(spans, "wo_span").select(bucket, *[(F.col(n) + F.col(f"wo_{n}")).alias(n) for n in sums])
+
+
+def sent(df: DataFrame, buckets: int) -> DataFrame:
+    """The offsets of ``buckets`` buckets, marked for a broadcast if they are few enough."""
+    return F.broadcast(df) if buckets <= BROADCAST_BUCKETS else df
+
+
+def range_number(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are below ``value``, found in two steps of about their square root."""
+    if not cuts:
+        return F.lit(0)
+    each = max(1, math.isqrt(len(cuts)))
+    rows = [cuts[i : i + each] for i in range(0, len(cuts), each)]
+    longs = lambda own: F.array(*[F.lit(c).cast("long") for c in own])
+    # of a row whose last cut is below the value all are; the next row is looked through
+    full = F.size(F.filter(longs([r[-1] for r in rows]), lambda c: c < value))
+    last = F.get(F.array(*[longs(r) for r in rows]), full)
+    return full * each + F.when(full < len(rows), F.size(F.filter(last, lambda c: c < value))).otherwise(len(rows[-1]) - each)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> str:
+    """``path``, whose parent folder will be deleted when the driver ends."""
+    if not _made:
+        atexit.register(_sweep)
+    _made.append((spark, path))
+    return path
 
 
 def small_or_none(df: DataFrame, most: int = BROADCAST_ROWS) -> list | None:
