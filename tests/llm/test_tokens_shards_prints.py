@@ -1,18 +1,20 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import uuid
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from edge import SCHEMA, documents, frame
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import shared_dir
+from tickloom.llm.common import range_number, shared_dir
 from tickloom.llm.fingerprints import LONG_LINE, SHORT, TINY, blocks_for, digests, edited_fingerprints, fingerprints, fold, likeness, sketch
 from tickloom.llm.sharding import assign_shards
 from tickloom.llm.tokens import BLOCK, cache_of, decode_documents, encode_documents, read_tokens, token_index, write_tokens
@@ -67,6 +69,40 @@ def test_cache_lowers_capitals_beside_other_signs():
     assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
 
 
+def test_special_tokens_keep_their_case():
+    special = ["<|endoftext|>", "<|startoftext|>"]
+    forms = [f(t) for t in special for f in (str, str.upper, str.title, str.swapcase)] + ["<|EndOfText|>", "<|StartOfText|>", "<|endoftext|", "<|", "|>", "<|ENDOFTEXT|><|endoftext|>"]
+    rng = np.random.default_rng(9)
+    words = ["Hello", "plan", "IT'S", "x=<|y", "A1b2", "é", "—", ",", "\n", " "]
+    texts = [*forms, *[sep.join(rng.choice(forms + words, 12)) for sep in (" ", "", "a ") for _ in range(150)]]
+    ids, lengths = type(cache_of(PATH))(PATH).encode(texts, 2)
+    want = [e.ids + [2] for e in tokenizers.Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert want[forms.index("<|ENDOFTEXT|>")] == [27, 347, 40786, 4160, 91, 285, 2]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
+def test_whole_table_gives_the_tokenizer_s_ids():
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    ids, lengths = type(cache_of(PATH))(PATH).encode(texts, 2)
+    want = [e.ids + [2] for e in tokenizers.Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
+@given(st.lists(st.integers(-50, 50), max_size=40, unique=True), st.integers(-60, 60))
+def test_range_numbers(cuts, x):
+    cuts = sorted(cuts)
+    each = max(1, math.isqrt(len(cuts)))
+    rows = [cuts[i : i + each] for i in range(0, len(cuts), each)]
+    full = sum(r[-1] < x for r in rows)
+    assert sum(c < x for c in cuts) == (full * each + (sum(c < x for c in rows[full]) if full < len(rows) else len(rows[-1]) - each) if cuts else 0)
+
+
+def test_range_numbers_as_columns(spark):
+    cuts = list(range(0, 300, 3))
+    rows = spark.range(-5, 320).select("id", range_number(F.col("id"), cuts).alias("n"), range_number(F.col("id"), []).alias("none"), range_number(F.col("id"), [7]).alias("one")).collect()
+    assert all((r["n"], r["none"], r["one"]) == (sum(c < r["id"] for c in cuts), 0, r["id"] > 7) for r in rows)
+
+
 def test_token_files(spark):
     rows = [*documents(), (None, "null id", "", "", 1), (6, "again", "", "", 1), (6, "again", "", "", 1)]
     docs = frame(spark, rows).withColumn("words", F.lit(1)).withColumn("n_ids", F.lit("x"))

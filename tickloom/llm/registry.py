@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import shared_dir, table
+from tickloom.llm.common import delete_at_exit, shared_dir, table
 from tickloom.llm.fingerprints import edited_fingerprints
 from tickloom.llm.minhash import near_duplicates
 from tickloom.llm.mixing import mix_sources
@@ -122,7 +122,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tickloom-tokens-{uuid.uuid4().hex}"
+    path = delete_at_exit(spark, f"{shared_dir(spark)}/tickloom-tokens-{uuid.uuid4().hex}/files")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path=tokenizer_path())
     return token_index(spark, path).select(F.col("tk_id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.llm.common import bounded_batches, id_type, power_of_two, settle, with_offsets
+from tickloom.llm.common import bounded_batches, id_type, sent, settle, with_offsets
 
 #: Fixed values of the format: ids in a word and bits of each, by selector 0 to 13.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -161,7 +161,8 @@ class WordCache:
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     blank-separated strings.  A text of ASCII and Latin letters, where lower case is plain, is
-    split further, as the tokenizer itself splits: letters, single digits, other signs.
+    split further, as the tokenizer itself splits: letters, single digits, other signs.  Strings
+    that may hold a special token are left whole, in their own case, to the tokenizer.
     """
 
     BLANKS = re.compile(r"[^ \t\n\r]+")
@@ -219,7 +220,8 @@ class WordCache:
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after another, how many each text has), with ``end_id`` after each text."""
-        split = [t.lower().split() if self.PLAIN.fullmatch(t) else self.BLANKS.findall(t) for t in texts]
+        # special tokens are case-sensitive, so a text that may hold one is lowered after the split, string by string
+        split = [t.lower().split() if "<|" not in t and self.PLAIN.fullmatch(t) else self.BLANKS.findall(t) for t in texts]
         if len(self.known) > self.MOST:
             self.known.clear()
         # each distinct string of the batch is looked up once among the many, then among the few
@@ -243,6 +245,8 @@ def cache_of(path: str) -> WordCache:
     return _caches[path]
 
 
+#: Rows of a range whose running sum one task takes, and documents that one file holds, about.
+RANGE_ROWS, FILE_ROWS = 50_000, 20_000
 FILE_COLUMNS = "n_ids long, words binary, word_ends array<long>, escapes binary, escape_ends array<long>"
 
 
@@ -252,13 +256,16 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
     The files are Parquet containers, committed by Spark's writer, with a row a document: the id,
     n_ids, words (little-endian Simple-8b words), escapes (little-endian), and for each block of
     4,096 ids where its words and escapes end.  Each document's ids end with ``end_id``.  Null texts
-    are empty.  Null ids come first; rows with equal ids stand side by side.  Files follow one
-    another in ascending order.
+    are empty.  Null ids come first; rows with equal ids stand side by side, by a hash of the text.
+    Files follow one another in ascending order.  A text of any length is one row.  An empty table
+    gives files without rows.  Columns of other names, however called, are not read.
     """
     kind = id_type(docs, id_col).simpleString()
     rows = bounded_batches(docs).select(F.col(id_col).alias("tk_id"), F.col(text_col).alias("t"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, F.col("tk_id").asc_nulls_first()).sortWithinPartitions(F.col("tk_id").asc_nulls_first(), "t")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // FILE_ROWS))
+    # ranges may cut between rows with one id, so a repeated or null id spans several
+    order = [F.col("tk_id").asc_nulls_first(), "tk_tie", "tk_row"]
+    ordered = rows.withColumns({"tk_tie": F.xxhash64("t"), "tk_row": F.monotonically_increasing_id()}).repartitionByRange(n, *order).sortWithinPartitions(*order).select("tk_id", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = cache_of(tokenizer_path)
@@ -312,13 +319,16 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def running_start(df: DataFrame, id_col: str, size_col: str, ties: list[str]) -> DataFrame:
-    """``df`` with ``start``: the sum of ``size_col`` over all rows before, in ascending order of the id."""
-    rows = df.count()
-    parts = power_of_two(rows, 2_000, 4096)
-    cuts = df.agg(F.percentile_approx(id_col, [i / parts for i in range(1, parts)] or [0.5], 100_000)).first()[0] or []
-    # equal ids share a range: the range is the number of cuts below the id
-    ranged = df.withColumn("rs_range", F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(id_col))), F.lit(0)) if parts > 1 and cuts else F.lit(0))
-    before = with_offsets(ranged, "rs_range", {"rs_before": F.col(size_col)})
-    own = Window.partitionBy("rs_range").orderBy(F.col(id_col).asc_nulls_first(), *ties).rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.withColumn("start", F.coalesce(F.sum(size_col).over(own), F.lit(0)))
-    return summed.join(F.broadcast(before), "rs_range").withColumn("start", F.col("start") + F.col("rs_before")).drop("rs_range", "rs_before")
+    """``df`` with ``start``: the sum of ``size_col`` over all rows before, in ascending order of the id.
+
+    ``df`` holds few bytes a row.  Its rows are sorted by ranges of id, ties and place, so rows with
+    one id may span ranges; sums are taken in each range and over the ranges.
+    """
+    parts = max(1, -(-df.count() // RANGE_ROWS))
+    order = [F.col(id_col).asc_nulls_first(), *ties, "rs_row"]
+    ranged = df.withColumn("rs_row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    kept = settle(ranged.withColumn("rs_range", F.spark_partition_id()).withColumn("rs_at", F.monotonically_increasing_id()).drop("rs_row"), "ranged")
+    before = with_offsets(kept, "rs_range", {"rs_before": F.col(size_col)})
+    own = Window.partitionBy("rs_range").orderBy("rs_at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = kept.withColumn("start", F.coalesce(F.sum(size_col).over(own), F.lit(0)))
+    return summed.join(sent(before, parts), "rs_range").withColumn("start", F.col("start") + F.col("rs_before")).drop("rs_range", "rs_at", "rs_before")
