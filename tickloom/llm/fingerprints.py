@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.llm.common import id_type, power_of_two
+from tickloom.llm.common import id_type, power_of_two, range_number
 
 #: A digest is 64 bits: 38 of the paragraph's hash above 26 that check them.
 CHECK = 26
@@ -36,6 +36,8 @@ CHUNKS = rf"(?s).{{{CHUNK},{CHUNK + 50}}}?{_MARK}|.{{{CHUNK},511}}?{_PLACE}|.{{1
 #: Words of short texts are cut in the same way, as some scripts have no blanks.
 PIECE = 8
 PIECES = rf"(?s).{{{PIECE},511}}?{_PLACE}|.{{1,512}}"
+#: Ranges of ids that rows are put in order by, at most: their cuts are part of the plan.
+MOST_RANGES = 1 << 15
 ROUNDS = 8
 #: Share of cells that hold something beyond which peeling is not tried.
 MOST_FULL = 0.93
@@ -208,17 +210,17 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     After the last comes the first; ties of ids go by a hash of the text; null ids come last.  Ids
     are cut into ranges of about ``each`` rows and put in order range by range, in one shuffle; a
-    range's last row finds its successor in a copy of the next range's first row.
+    range's last row finds its successor in a copy of the next range's first row.  Beyond
+    ``each`` * MOST_RANGES rows ranges grow; a task sorts its range outside of memory.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("o"), text.alias("text"))
-    parts = power_of_two(docs.count(), each, 4096)
-    cuts = sorted(set(rows.agg(F.percentile_approx("o", [i / parts for i in range(1, parts)] or [0.5], 100_000)).first()[0] or []))
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if parts > 1 and cuts else F.array().cast("array<long>")
+    parts = power_of_two(docs.count(), each, MOST_RANGES)
+    cuts = sorted(set(rows.agg(F.percentile_approx("o", [i / parts for i in range(1, parts)], 10 * MOST_RANGES)).first()[0] or [])) if parts > 1 else []
     tie = F.xxhash64("text")
-    rows = rows.withColumn("range", F.size(F.filter(bounds, lambda c: c < F.col("o"))))
-    # at most 4,096 first rows, one a range
+    rows = rows.withColumn("range", range_number(F.col("o"), cuts))
+    # at most MOST_RANGES first rows, one a range
     firsts = rows.groupBy("range").agg(F.max(F.struct(F.col("o"), tie.alias("h"))).alias("first")).collect()
     firsts = sorted(((r["range"], r["first"]["o"], r["first"]["h"]) for r in firsts), reverse=True)
     ghosts = [(firsts[i][0], o, h) for i, (_, o, h) in enumerate(firsts[1:] + firsts[:1])]

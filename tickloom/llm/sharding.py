@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.llm.common import discard, power_of_two, settle, with_offsets
+from tickloom.llm.common import discard, power_of_two, sent, settle, with_offsets
 
 #: Shortest line, in code points, that links the documents holding it.
 LINK_LINE = 24
@@ -114,7 +114,7 @@ def assign_shards(docs: DataFrame, *, shards: int = 16, rounds: int = 3, id_col:
     order = Window.partitionBy("bucket").orderBy("grp", "node", F.col("sh_id").asc_nulls_first(), "text_crc32", "size")
     up_to = order.rowsBetween(Window.unboundedPreceding, -1)
     cut = placed.withColumn("b", F.coalesce(F.sum("size").over(up_to), F.lit(0))).withColumn("r", F.row_number().over(order) - 1)
-    cut = cut.join(F.broadcast(before), "bucket").select("sh_id", "size", "text_crc32", (F.col("b") + F.col("bytes_before")).alias("b"), (F.col("r") + F.col("rows_before")).alias("r"))
+    cut = cut.join(sent(before, shards * kinds * fine * spread), "bucket").select("sh_id", "size", "text_crc32", (F.col("b") + F.col("bytes_before")).alias("b"), (F.col("r") + F.col("rows_before")).alias("r"))
     shard = F.least(F.expr(f"((2 * b + size) * {shards}) div {2 * total}"), F.lit(shards - 1)).cast("int")
     cut = settle(cut.select("sh_id", "size", "text_crc32", shard.alias("shard"), "r"), "shard_order")
     firsts = cut.groupBy("shard").agg(F.min("r").alias("first"))
