@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm.common import settle, table
 from tickloom.llm.minhash import keep_one
-from tickloom.llm.mixing import mix_sources
+from tickloom.llm.mixing import mix_in_order
 from tickloom.llm.packing import pack_best_fit
 from tickloom.llm.secrets import redact_secrets
 from tickloom.llm.toxicity import drop_toxic, fit_toxicity
@@ -39,8 +39,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated, or left out, to meet the sources' weights, in a random order."""
-    return mix_sources(docs, WEIGHTS, epochs=EPOCHS).select(docs.columns)
+    """Documents are repeated, or left out, to meet the sources' weights, and written in a global random order."""
+    return mix_in_order(docs, WEIGHTS, epochs=EPOCHS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
