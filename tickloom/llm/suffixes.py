@@ -2,11 +2,16 @@
 
 Every byte position starts a suffix.  Two suffixes matter to each other only if they agree on
 ``length`` bytes, and then the same q-gram of those bytes has the least hash in both: their anchor.
-So suffixes are put in buckets by their anchor's q-gram, and a bucket is refined by sorting on the
-bucket identifiers of later offsets (and, left of the anchor, earlier ones), each refinement
-building on the one before, until suffixes in one bucket agree on ``length`` bytes.  Suffixes that
-share an anchor travel together as one context of bytes, and equal contexts as one, so the work
-follows the anchors (one in 35 bytes) and then the places where repeated passages begin and end.
+So suffixes are put in buckets by their anchor's q-gram.  A bucket is refined by sorting on the
+bucket identifiers of later offsets, and identifiers of refined buckets are used again for the next,
+twice as long, until suffixes with one identifier agree on ``length`` bytes.
+
+Suffixes that share an anchor travel together as one context, whose identifier is built in the same
+way from those of its q-grams; equal contexts count as one.  So the shuffled work follows the anchors
+(one in 35 bytes).  Contexts that differ within a bucket, where repeated passages begin and end, are
+refined inside tasks from their bytes.  Identifiers that travel are 64-bit names: two contexts of one
+q-gram, place and length that differ are taken for equal with a chance of 2**-64.  Inside tasks,
+buckets hold by their bytes.
 """
 
 from __future__ import annotations
@@ -29,7 +34,10 @@ CHUNK = 1 << 19
 #: Different contexts of an anchor up to which one task refines them; beyond, each string is a key of its own.
 HOT = 4096
 #: Contexts that are refined together.
-TOGETHER = 8192
+TOGETHER = 4096
+#: Documents of which one in SAMPLE is looked at to find q-grams that one document in COMMON, and LEAST of them, hold.
+#: Contexts of those are buckets of their own; nothing else depends on it.  At most 60 * COMMON q-grams or so qualify.
+SAMPLE, COMMON, LEAST = 64, 500, 12
 
 _powers = Powers()
 
@@ -87,11 +95,26 @@ def _chunk_anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(fresh)
     last = np.flatnonzero(valid & np.concatenate((fresh[1:] | ~valid[1:], [True])))
     a, t = chosen[first], text[first]
-    whole = mix64((sums[last + length] - sums[first]) * down[first]) ^ mix64(((a - first) * 1024 + (last - first)).astype(np.uint64))
+    whole = named(gram, first, last - first + length) ^ mix64(((a - first) * 1024 + (last - first)).astype(np.uint64))
     begin = (ends - sizes)[t]
     return t, a - begin, first - begin, last - begin, gram[a].view(np.int64), whole.view(np.int64)
 
 
+def named(gram: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Identifiers of the ``size`` bytes from each place: the pair of those of half the length, at the start and
+    at the later offset that reaches the end, down to the identifiers of q-grams."""
+    out = gram[at]
+    longer = np.flatnonzero(size > GRAM)
+    if len(longer):
+        n = size[longer]
+        half = GRAM << np.ceil(np.log2(n / GRAM)).astype(np.int64) - 1
+        for h in np.unique(half):
+            own = longer[half == h]
+            part = np.full(len(own), h)
+            out[own] = mix64(named(gram, at[own], part) * np.uint64(3) + mix64(named(gram, at[own] + size[own] - h, part) + size[own].astype(np.uint64)))
+    return out
+
+
 def later_here(h: np.ndarray, c: np.ndarray, lead: np.ndarray, span: np.ndarray, d: np.ndarray, t: np.ndarray, a: np.ndarray) -> np.ndarray:
     """Which anchors repeat the context of an earlier one in the same batch: a combiner for hot passages."""
     late = np.zeros(len(c), bool)
@@ -110,45 +133,43 @@ def later_here(h: np.ndarray, c: np.ndarray, lead: np.ndarray, span: np.ndarray,
     return late
 
 
-def refine(contexts: list[bytes], group: np.ndarray, left: np.ndarray, span: np.ndarray, length: int) -> np.ndarray:
+def refine(contexts: list[bytes], left: np.ndarray, span: np.ndarray, length: int) -> np.ndarray:
     """Which owned strings occur in an earlier context: a row a context, a column for each start.
 
     Contexts are aligned at their anchors; ``left`` bytes stand before it.  Rows come in the order
-    of "earlier".  Buckets right of the anchor begin as the q-gram buckets and are refined by the
-    bucket of each later offset; to the left likewise; a string's bucket is the pair of both.
+    of "earlier".  All suffixes of all contexts start in buckets of 8 bytes.  A round sorts pairs of
+    a suffix's bucket and the bucket of the suffix at the later offset, which makes buckets of twice
+    the length; the last round's offset is what ``length`` leaves.  Equal strings have their anchor at
+    the same place, so they meet in one bucket and one column.
     """
     k = len(contexts)
-    most_left, most_right = int(left.max()), length
-    grid = np.zeros((k, most_left + most_right), np.uint8)
+    most = int(left.max())
+    grid = np.zeros((k, most + length + 8), np.uint8)
     lens = np.array([len(c) for c in contexts], np.int64)
     flat = np.frombuffer(b"".join(contexts), np.uint8)
     rows = np.repeat(np.arange(k), lens)
-    cols = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(most_left - left, lens)
-    grid[rows, cols] = flat
-
-    def finer(ids: np.ndarray, later: np.ndarray) -> np.ndarray:
-        return np.unique(ids.astype(np.int64) << 32 | later.astype(np.int64), return_inverse=True)[1].reshape(-1)
-
-    # the anchor's q-gram, four bytes at a time, so that buckets hold by their bytes and not by a hash
-    right = np.unique(group, return_inverse=True)[1].reshape(-1)
-    for j in range(0, GRAM, 4):
-        word = np.ascontiguousarray(grid[:, most_left + j : most_left + j + 4]).view(np.uint32).reshape(-1)
-        right = finer(right, np.unique(word, return_inverse=True)[1])
-    rights = {GRAM: right}
-    for j in range(GRAM, length):
-        right = rights[j + 1] = finer(right, grid[:, most_left + j])
-    lefts = [np.zeros(k, np.int64)]
-    for j in range(1, most_left + 1):
-        lefts.append(finer(lefts[-1], grid[:, most_left - j]))
+    grid[rows, np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(most - left, lens)] = flat
+
+    def buckets(keys: np.ndarray) -> np.ndarray:
+        return np.unique(keys, return_inverse=True)[1].reshape(keys.shape).astype(np.uint64)
+
+    width, size = grid.shape[1] - 8, 8
+    first = np.zeros((k, width), np.uint64)
+    for j in range(8):
+        first = first << np.uint64(8) | grid[:, j : j + width]
+    bucket = buckets(first)
+    while 2 * size <= length:
+        bucket = buckets(bucket[:, :-size] << np.uint64(32) | bucket[:, size:])
+        size *= 2
+    # the strings that each context owns, in the order of "earlier"
+    row = np.repeat(np.arange(k), span)
+    start = np.arange(len(row)) - np.repeat(np.cumsum(span) - span, span)
+    at = start + (most - left)[row]
+    keys = bucket[row, at] << np.uint64(32) | bucket[row, at + length - size]
+    _, earliest, where = np.unique(keys, return_index=True, return_inverse=True)
+    again = earliest[where.reshape(-1)] != np.arange(len(row))
     found = np.zeros((k, int(span.max())), bool)
-    for ahead in range(most_left + 1):
-        own = np.flatnonzero((left >= ahead) & (left - span < ahead))
-        if len(own) < 2:
-            continue
-        bucket = lefts[ahead][own] << 32 | rights[length - ahead][own]
-        _, first, where = np.unique(bucket, return_index=True, return_inverse=True)
-        again = own[first[where.reshape(-1)] != np.arange(len(own))]
-        found[again, left[again] - ahead] = True
+    found[row[again], start[again]] = True
     return found
 
 
@@ -167,24 +188,39 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     ``docs`` has d (long), t (long, tells apart rows with one d) and text.
     """
 
-    def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                text, a, s, e, h, c = anchors_of([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text")], length)
-                take = pa.array(text, pa.int64())
-                d, t = batch.column("d").take(take), batch.column("t").take(take)
-                late = later_here(h, c, a - s, e - s, d.to_numpy(), t.to_numpy(), a)
-                # what surely repeats needs no company: any bucket will do, so it is spread
-                bucket = np.where(late, mix64((d.to_numpy() * 1_000_003 + a).astype(np.uint64)).view(np.int64), h)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(c, pa.int64()), d, t, pa.array(a, pa.int64()), pa.array(a - s, pa.int16()), pa.array(e - s + 1, pa.int16()), pa.array(late)], ["h", "c", "d", "t", "a", "lead", "span", "late"])
-
-    rows = docs.select("d", "t", "text").mapInArrow(anchor, "h long, c long, d long, t long, a long, lead short, span short, late boolean")
+                yield batch, anchors_of([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text")], length)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (text, _, _, _, h, _) in pieces(batches):
+            once = np.unique(np.stack([text, h]), axis=1)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(once, pa.int64())], ["h"])
+
+    sampled = docs.where(F.pmod(F.xxhash64("d", "t"), F.lit(SAMPLE)) == 0)
+    counts = sampled.select("text").mapInArrow(grams, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    common = np.sort(np.array([r["h"] for r in counts.where(F.col("n") >= max(LEAST, sampled.count() // COMMON)).select("h").collect()], np.int64))
+
+    def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, (text, a, s, e, h, c) in pieces(batches):
+            take = pa.array(text, pa.int64())
+            d, t = batch.column("d").take(take), batch.column("t").take(take)
+            late = later_here(h, c, a - s, e - s, d.to_numpy(), t.to_numpy(), a)
+            hot = np.isin(h, common)
+            # a common q-gram's contexts are dealt one by one; what surely repeats needs no company: any bucket will do
+            bucket = np.where(hot, mix64((h ^ c).astype(np.uint64)).view(np.int64), h)
+            bucket = np.where(late, mix64((d.to_numpy() * 1_000_003 + a).astype(np.uint64)).view(np.int64), bucket)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(c, pa.int64()), d, t, pa.array(a, pa.int64()), pa.array(a - s, pa.int16()), pa.array(e - s + 1, pa.int16()), pa.array(late), pa.array(hot)], ["h", "c", "d", "t", "a", "lead", "span", "late", "hot"])
+
+    rows = docs.select("d", "t", "text").mapInArrow(anchor, "h long, c long, d long, t long, a long, lead short, span short, late boolean, hot boolean")
     # one shuffle by q-gram bucket serves both windows: equal contexts, and how many differ
     same = Window.partitionBy("h", "late", "c", "lead", "span").orderBy("d", "t", "a")
     ranked = rows.repartition("h").withColumn("again", F.col("late") | (F.rank().over(same) > 1))
-    # a bucket's size, and its different contexts; a context of rows alike in all (repeated rows) counts once
-    ranked = ranked.withColumn("kinds", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(Window.partitionBy("h")))
+    # a bucket's different contexts; a context of rows alike in all (repeated rows) counts once
+    kinds = F.sum(F.when(F.col("again"), 0).otherwise(1)).over(Window.partitionBy("h"))
+    ranked = ranked.withColumn("kinds", F.when(F.col("hot"), F.lit(HOT + 1)).otherwise(kinds)).drop("hot")
     marked = settle(ranked.where("again OR kinds > 1"), "anchors")
     sure = marked.where("again").select("d", "t", (F.col("a") - F.col("lead")).alias("s1"), (F.col("a") - F.col("lead") + F.col("span") - 1).alias("s2"))
     open_rows = marked.where("NOT again AND kinds > 1")
@@ -209,7 +245,7 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
         def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             rows = pa.Table.from_batches(held)
             lead, span, a = (rows[k].to_numpy().astype(np.int64) for k in ("lead", "span", "a"))
-            row, first, last = runs_of(refine(rows["bytes"].to_pylist(), rows["h"].to_numpy(), lead, span, length))
+            row, first, last = runs_of(refine(rows["bytes"].to_pylist(), lead, span, length))
             take = pa.array(row, pa.int64())
             s = (a - lead)[row]
             return pa.RecordBatch.from_arrays([rows["d"].combine_chunks().take(take), rows["t"].combine_chunks().take(take), pa.array(s + first, pa.int64()), pa.array(s + last, pa.int64())], ["d", "t", "s1", "s2"])
@@ -264,9 +300,11 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     removed runs), kept_sha256 (of the remaining bytes), spans (start and end of each run), and
     with ``with_bytes`` the remaining bytes as ``kept``.
 
-    Null texts are empty; texts under ``length`` bytes keep all.  Null ids come before all others.
-    Rows alike in id and text count as one document and get the same result; rows with one id and
-    different texts are ordered by a hash of the text.  Empty tables give empty ones.
+    Null texts are empty; texts under ``length`` bytes keep all.  Null ids come before all others; ids
+    are whole numbers.  Rows alike in id and text count as one document and get the same result; rows
+    with one id and different texts are ordered by a hash of the text.  A very long text is anchored
+    in overlapping pieces.  Empty tables give empty ones.  Other columns, whatever their names, are
+    not read.
     """
     if not 64 <= length <= 512:
         raise ValueError("length must be 64 to 512")
