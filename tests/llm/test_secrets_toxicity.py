@@ -3,13 +3,14 @@ from __future__ import annotations
 import random
 import re
 import string
+from collections import Counter
 
 from edge import SCHEMA, documents, frame, prose
 from pyspark.sql import functions as F
 
 from tickloom.llm.automata import FuzzyLexicon
 from tickloom.llm.secrets import ACCESS, HEX, Novelty, base_spans, find_secrets, novel_spans, redact, redact_secrets, scan_secrets
-from tickloom.llm.toxicity import BASE_TERMS, ToxicModel, _candidates, _cover, bucket_of, drop_toxic, fit_toxicity, score_toxicity
+from tickloom.llm.toxicity import BASE_TERMS, ToxicModel, _candidates, _cover, _preference, bucket_of, drop_toxic, fit_toxicity, score_toxicity
 
 
 def plain_base(text):
@@ -177,7 +178,29 @@ def test_cover_is_greedy():
         gone = where[best]
         want.append(best)
         where = {t: rest for t, own in where.items() if (rest := own - gone)}
-    assert len(want) >= 5 and _cover(strong, texts, 3, 300) == want and _cover(strong, texts, 3, 4) == want[:4]
+    terms = sorted(strong, key=_preference)
+    place = {t: i for i, t in enumerate(terms)}
+    sets = Counter(tuple(sorted(place[t] for t in _candidates(words))) for words in texts)
+    assert len(want) >= 5 and _cover(terms, list(sets), list(sets.values()), 3) == want
+
+
+def test_no_limit_on_terms(spark):
+    """More families than any list would hold: each is learned, and equal texts count by majority."""
+    rng = random.Random(11)
+    families = [noise(rng, string.ascii_lowercase, 9) for _ in range(350)]
+    rows, labels = [], []
+    for i in range(17_500):
+        toxic = i < 350 * 46
+        own = prose(rng, 8) + (" " + families[i % 350] if toxic else "")
+        rows.append((i, own, "en", "s", 1))
+        labels.append((i, 1, int(toxic)))
+    # one text, often: most of its labels say clean
+    rows += [(20_000 + i, "same words zzyzx", "en", "s", 1) for i in range(30)]
+    labels += [(20_000 + i, 1, int(i % 3 == 0)) for i in range(30)]
+    model = fit_toxicity(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    found = [f for f in families if any(f.startswith(t) if prefix else f == t for t, prefix, _ in model.terms)]
+    assert len(found) > 300 and not any("zzyzx".startswith(t) for t, _, _ in model.terms)
+    assert fit_toxicity(frame(spark, rows[::-1]), spark.createDataFrame(labels[::-1], "doc_id long, quality int, toxic int")) == model
 
 
 def test_toxicity_edges(spark):

@@ -6,7 +6,7 @@ import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
 
@@ -120,16 +120,20 @@ def _candidates(words: list[str]) -> set[str]:
     return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_train: int = 20_000, most_terms: int = 300) -> ToxicModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_train: int = 20_000) -> ToxicModel:
     """Learn the lexicon and weights from labelled rows whose crc32(id) mod 3 is not 1.
 
-    A bounded sample is used: the ``most_train`` ids with the smallest hashes, equal texts once.
+    A bounded sample is used: the ``most_train`` ids with the smallest hashes, equal texts once, with
+    the label that most of them have (toxic if as many have either).  Nothing else is bounded.
     Words, word beginnings, and beginnings that are dense in a text, are counted by document on the
     executors; those (almost) never seen in clean texts, with more support than chance explains, are
-    taken by greedy cover of the toxic texts; all that have the support take part.
-    Words that only resemble a term and occur in clean texts become ``harmless``.  A logistic
-    model over the hits is then fitted.  Without usable labels the base terms and default weights
-    stand.  Rows with null ids, texts or labels teach nothing.
+    taken by greedy cover of the toxic texts; all that have the support take part, and all are taken
+    that explain as many texts anew.  Which text holds which term is found on the executors; the
+    driver gets term numbers, once for texts that hold the same.  Words that only resemble a term
+    and occur in clean texts become ``harmless``.  A logistic model over the hits is then fitted.
+
+    Without usable labels the base terms and default weights stand.  Rows with null ids, texts or
+    labels teach nothing; very long texts teach as others do.  An empty table teaches nothing.
     """
     bounded_batches(docs)
     seen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (bucket_of(id_col) != 1)).groupBy(F.col(id_col).alias("tx_id")).agg(F.max(F.col(label_col)).cast("int").alias("y"))
@@ -137,7 +141,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     lot = F.xxhash64("tx_id", F.lit("train"))
     last = seen.select(lot.alias("lot")).orderBy("lot").limit(most_train).agg(F.max("lot")).first()[0]
     picked = seen.where(lot <= F.lit(last)) if last is not None else seen.limit(0)
-    sample = docs.select(F.col(id_col).alias("tx_id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(picked), "tx_id").dropDuplicates(["t"])
+    sample = docs.select(F.col(id_col).alias("tx_id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(picked), "tx_id")
+    sample = sample.groupBy("t").agg(F.when(F.sum("y") * 2 >= F.count(F.lit(1)), 1).otherwise(0).alias("y"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean, toxic, among = Counter(), Counter(), Counter()
@@ -161,7 +166,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
                     among.clear()
         yield counted()
 
-    kept = settle(sample.select("tx_id", "t", "y"), "train")
+    kept = settle(sample.select("t", "y"), "train")
     sizes = {r["y"]: r["n"] for r in kept.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     learned: list[tuple[str, bool, int]] = []
@@ -172,8 +177,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         # of terms that stand in the same toxic texts only the one that the cover prefers counts
         rank = F.struct(F.length(F.regexp_replace("term", r"\*+$", "")) - F.length("term"), F.length("term"), "term")
         strong = counts.where((F.col("bad") >= support) & (F.col("good") * 50 <= F.col("bad"))).groupBy("bad", "among").agg(F.max_by("term", rank).alias("term")).select("term").collect()
-        texts = [WORD.findall(r["t"].lower()) for r in kept.where("y = 1").select("t").toLocalIterator()]
-        for term in _cover([r["term"] for r in strong], texts, support, most_terms):
+        terms = sorted((r["term"] for r in strong), key=_preference)
+        place = {t: i for i, t in enumerate(terms)}
+
+        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [sorted(place[k] for k in _candidates(WORD.findall(t.lower())) if k in place) for t in batch.column("t").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"own": pa.array(own, pa.list_(pa.int32()))})
+
+        sets = kept.where("y = 1").select("t").mapInArrow(held, "own array<int>").where(F.size("own") > 0).groupBy("own").agg(F.count(F.lit(1)).alias("n")).toArrow()
+        for term in _cover(terms, sets["own"], sets["n"].to_pylist(), support):
             text, prefix = term.rstrip("*"), term.endswith("*")
             if any(t == text and p == prefix for t, p, _ in learned):
                 continue
@@ -189,31 +202,36 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     return model
 
 
-def _cover(strong: list[str], texts: list[list[str]], support: int, most: int) -> list[str]:
+def _preference(term: str) -> tuple:
+    """Of terms that explain as much the last is taken: without stars, then the longest."""
+    return -term.count("*"), len(term), term
+
+
+def _cover(terms: list[str], sets: Iterable, counts: list[int], support: int) -> list[str]:
     """Greedy cover: a term has to explain ``support`` toxic texts that no earlier term explains.
 
+    ``sets`` are the numbers of the terms that texts hold, ``counts`` how many texts hold just these.
     Copies of one toxic text share all their words; once a term explains them, the rest add nothing.
     """
-    wanted = set(strong)
-    where: dict[str, set[int]] = {}
-    for i, words in enumerate(texts):
-        for term in _candidates(words) & wanted:
-            where.setdefault(term, set()).add(i)
+    where: list[set[int]] = [set() for _ in terms]
+    for g, own in enumerate(sets):
+        for k in getattr(own, "as_py", lambda own=own: own)():
+            where[k].add(g)
     # what a term still explains only shrinks, so one that is first after a recount is first of all
-    ranked = sorted(where, key=lambda t: (-t.count("*"), len(t), t), reverse=True)
-    heap = [(-len(where[t]), i) for i, t in enumerate(ranked)]
+    heap = [(-sum(counts[g] for g in own), -k) for k, own in enumerate(where)]
     heapq.heapify(heap)
     out: list[str] = []
     gone: set[int] = set()
-    while heap and len(out) < most and -heap[0][0] >= support:
-        n, i = heap[0]
-        own = where[ranked[i]]
+    while heap and -heap[0][0] >= support:
+        n, k = heap[0]
+        own = where[-k]
         own -= gone
-        if len(own) < -n:
-            heapq.heapreplace(heap, (-len(own), i))
+        left = sum(counts[g] for g in own)
+        if left < -n:
+            heapq.heapreplace(heap, (-left, k))
             continue
         heapq.heappop(heap)
-        out.append(ranked[i])
+        out.append(terms[-k])
         gone |= own
     return out
 
@@ -239,7 +257,8 @@ def _calibrate(model: ToxicModel, kept: DataFrame) -> None:
             feats = [scorer.features(t) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_pydict({"y": pa.array(batch.column("y").to_pylist(), pa.int32()), "x": pa.array(feats, pa.list_(pa.float64()))})
 
-    table = kept.mapInArrow(rows, "y int, x array<double>").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    # in a fixed order, so that sums round alike in every run
+    table = kept.mapInArrow(rows, "y int, x array<double>").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).orderBy("x", "y").collect()
     x, y, n = np.array([r["x"] for r in table]), np.array([r["y"] for r in table], float), np.array([r["n"] for r in table], float)
     w = np.array(model.weights)
     prior, strength = w.copy(), np.array([0.01, 0.5, 2.0, 0.5, 2.0])
