@@ -47,6 +47,22 @@ def noise(rng, alphabet, n):
     return "".join(rng.choice(alphabet) for _ in range(n))
 
 
+def test_short_and_very_long_strings():
+    n, rng = Novelty(), random.Random(3)
+    b64 = string.ascii_letters + string.digits
+    for size in (12, 14, 16, 19):
+        found = 0
+        for _ in range(50):
+            own = "aB7" + noise(rng, b64, size - 3)
+            found += find_secrets(f"the bearer {own} came", n) == [(11, 11 + size, "novel")]
+        assert found >= 35, (size, found)
+    for plain in ("sessionToken1", "accessKeyId2", "client_secret_v2", "Version12Beta", "privateKeyFile1"):
+        assert find_secrets(f"the private key {plain} here", n) == []
+    long = noise(rng, b64, 5_000)
+    text = f"the secret key {long} ends"
+    assert find_secrets(text, n) == [(15, 5_015, "novel")] and redact(text, find_secrets(text, n)) == "the secret key [secret] ends"
+
+
 def test_whole_runs_and_dotted_tokens():
     n, rng = Novelty(), random.Random(8)
     b64 = string.ascii_letters + string.digits + "-_"

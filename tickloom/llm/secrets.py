@@ -19,8 +19,11 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 # runs of these classes are maximal, so asking for the least length at once drops the failing ones
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: What the novelty scan weighs: long unbroken strings, of any length from LEAST on ...
-LEAST = 20
+#: What the novelty scan weighs: unbroken strings, of any length from LEAST on (under that many code points
+#: no string of random signs stands out; the fixed patterns begin there too) ...
+LEAST = 12
+#: ... those shorter than MIXED only if their kind of sign changes at two places in five or more, unlike a name's ...
+MIXED = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST}}}")
 #: ... with what dots join to them, as in signed tokens; a last part that is short and has no digit is prose ...
@@ -67,6 +70,12 @@ def alphabet_spread(s: str) -> int:
     return any(c.islower() for c in s) + any(c.isupper() for c in s) + any(c.isdigit() for c in s) + any(not c.isalnum() for c in s)
 
 
+def kind_changes(s: str) -> int:
+    """How often lower case, upper case, digits and signs change in a string."""
+    kinds = ["lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "sign" for c in s]
+    return sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points of what the three fixed patterns find."""
     low, out = text.lower(), []
@@ -118,6 +127,8 @@ def novel_spans(text: str, known: Sequence[tuple[int, int, str]], novelty: Novel
         own = text[lo:hi]
         if len(own) < LEAST or alphabet_spread(own) < 2 or not any(c.isdigit() for c in own):
             return False
+        if len(own) < MIXED and 5 * kind_changes(own) < 2 * (len(own) - 1):
+            return False
         return novelty.bits_per_char(text[max(0, lo - REACH) : lo], own, text[hi : hi + REACH]) >= least_bits
 
     begin = end = 0
@@ -161,7 +172,9 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """One row a document: the id column and ``found``, an array of (start, end, kind), code points.
 
     Kinds: assign, access and hex from fixed patterns; novel from compression.  Null and empty
-    texts have no spans.  Repeated rows each have a row; an empty table gives an empty one.
+    texts have no spans; texts and strings of any length are scanned whole.  Null ids are ids like
+    others.  Repeated rows each have a row; an empty table gives an empty one.  Other columns,
+    whatever their names, are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +191,9 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every secret span of its texts replaced by ``mark``, and the length column kept true.
 
-    Rows and other columns stay.  A null text stays null.
+    Rows and other columns stay, repeated rows too; an empty table gives an empty one.  A null text
+    stays null, an empty one empty; texts of any length are redacted whole.  The length column is
+    changed only where its text is, and left alone if it is null.
     """
     names = docs.columns
 
