@@ -121,13 +121,13 @@ BROADCAST_BUCKETS = 1 << 16
 SPAN = 1 << 12
 
 
-def with_offsets(df: DataFrame, bucket: str, sums: dict[str, Column]) -> DataFrame:
+def with_offsets(df: DataFrame, bucket: str, sums: dict[str, Column], span: int = SPAN) -> DataFrame:
     """For each bucket, what all smaller buckets hold: one row a bucket, pre-aggregated.
 
     ``sums`` maps a result name to the column to add up.  Buckets are integers from 0.  Running sums
-    are taken in spans of SPAN buckets, and then over the spans: a task sees a span, or one row a span.
+    are taken in spans of ``span`` buckets, and then over the spans: a task sees a span, or one row a span.
     """
-    per = df.groupBy(bucket).agg(*[F.sum(c).alias(n) for n, c in sums.items()]).withColumn("wo_span", F.floor(F.col(bucket) / SPAN).cast("long"))
+    per = df.groupBy(bucket).agg(*[F.sum(c).alias(n) for n, c in sums.items()]).withColumn("wo_span", F.floor(F.col(bucket) / span).cast("long"))
     before = Window.partitionBy("wo_span").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     spans = per.groupBy("wo_span").agg(*[F.sum(n).alias(f"wo_{n}") for n in sums])
     earlier = Window.orderBy("wo_span").rowsBetween(Window.unboundedPreceding, -1)
