@@ -23,7 +23,7 @@ BLOCK = 1024
 #: Members of a large bucket, about, that stand in every one of its blocks and so tie them together.
 HUBS = 16
 #: Members, and shingles of full sets, of a block whose members are checked against another block's.
-CHECKED, SHINGLES = 128, 200_000
+CHECKED, SHINGLES = 64, 100_000
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 19
 #: Ids up to which the documents to check are picked by a broadcast and not by a shuffle of texts.
