@@ -13,7 +13,7 @@ from tickloom.operators.writer import StoreWriter
 from tickloom.plans.planner import Retention
 from tickloom.plans.query import Query
 from tickloom.plans.runner import Runner
-from tickloom.schema import BAR, FLAG_LAST, TICK, TimeUnit
+from tickloom.schema import BAR, FLAG_LAST, TICK, Column, Kind, RecordSchema, TimeUnit
 from tickloom.scratch import scratch
 from tickloom.sources.adapters import bars_from_events, ticks_from_events
 from tickloom.sources.reader import Reader
@@ -24,13 +24,15 @@ T0, T1 = 1_704_500_000_000, 1_705_500_000_000
 STAMP = 1_704_067_432_824
 HOUR, DAY = 3_600_000, 86_400_000
 
-_BARS = """SELECT 'events/spot/' || event_type AS key, epoch_us(ts) // 1000 AS datetime,
-  value AS open, value + 1 AS high, greatest(value - 1, 0) AS low, value AS close,
+# prices are what a store gives back: multiples of 1e-8
+_BARS = """SELECT *, open_fp / 1e8 AS open, high_fp / 1e8 AS high, low_fp / 1e8 AS low, close_fp / 1e8 AS close FROM (
+  SELECT 'events/spot/' || event_type AS key, epoch_us(ts) // 1000 AS datetime,
   user_id AS tick_volume, CAST(event_id % 7 - 3 AS INTEGER) AS spread, event_id AS volume,
   CAST(round(value * 1e8) AS BIGINT) AS open_fp, CAST(round((value + 1) * 1e8) AS BIGINT) AS high_fp,
   CAST(round(greatest(value - 1, 0) * 1e8) AS BIGINT) AS low_fp, CAST(round(value * 1e8) AS BIGINT) AS close_fp
-  FROM events"""
-_TICKS = """SELECT 'tick/' || event_type AS key, epoch_us(ts) AS datetime, value - 5 AS bid, value + 0.01 AS ask, value AS last,
+  FROM events)"""
+_TICKS = """SELECT 'tick/' || event_type AS key, epoch_us(ts) AS datetime,
+  CAST(round((value - 5) * 1e8) AS BIGINT) / 1e8 AS bid, CAST(round((value + 0.01) * 1e8) AS BIGINT) / 1e8 AS ask, CAST(round(value * 1e8) AS BIGINT) / 1e8 AS last,
   user_id AS volume, CAST(CASE WHEN event_id % 2 = 0 THEN 30 ELSE 6 END AS BIGINT) AS flags, CAST(0 AS BIGINT) AS volume_ext
   FROM events"""
 _ALL = "datetime, open, high, low, close, tick_volume, spread, volume"
@@ -52,23 +54,42 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 Maker = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Maker] = {}
 _oracles: dict[str, str] = {}
+#: Stores that a session wrote from its events, by folder and kind; they go when the driver ends.
+_stores: dict[tuple[int, str, str], StoreReader] = {}
+
+
+def _store(spark: SparkSession, sf_dir: str, schema: RecordSchema) -> StoreReader:
+    """The events as a store of bars, in buckets of three days, or of ticks; written once a session."""
+    held = _stores.get((id(spark), sf_dir, schema.name))
+    if held is None or held.spark is not spark:
+        path = scratch(spark, schema.name.lower())
+        rows = bars(spark, sf_dir) if schema is BAR else ticks(spark, sf_dir)
+        writer = StoreWriter(spark, path, schema, bucket=dt.timedelta(days=3) if schema is BAR else None)
+        writer.append_frame(rows.select("key", *[c.name for c in schema.columns]))
+        held = _stores[(id(spark), sf_dir, schema.name)] = StoreReader(spark, path, schema)
+    return held
+
+
+def _runner(spark: SparkSession, sf_dir: str, retention: Retention = Retention(), **options) -> Runner:
+    held = _store(spark, sf_dir, BAR)
+    return Runner(held.of, retention, bucket=held.width, facts=held.facts, **options)
 
 
 def _text(name: str, text: str, sql: str, *, direction: bool = False, retention: Retention = Retention(), **options) -> None:
-    """A query text over the bars."""
+    """A query text over a store of bars."""
 
     def make(spark: SparkSession, sf_dir: str) -> DataFrame:
-        runner = Runner(bars(spark, sf_dir), retention, check_key=False, **{k: v for k, v in options.items() if k == "price_compare"})
+        runner = _runner(spark, sf_dir, retention, **{k: v for k, v in options.items() if k == "price_compare"})
         return (runner.collected if direction else runner.frame)(text, **{k: v for k, v in options.items() if k == "zero_fill"})
 
     _queries[name], _oracles[name] = make, _sql(sql)
 
 
 def _read(name: str, use: Callable[[Reader], DataFrame], sql: str, *, tick: bool = False) -> None:
-    """A direct read of bars or ticks."""
+    """A direct read of a store of bars or ticks."""
 
     def make(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return use(Reader(ticks(spark, sf_dir), TICK, check_key=False) if tick else Reader(bars(spark, sf_dir), BAR, check_key=False))
+        return use(_store(spark, sf_dir, TICK if tick else BAR))
 
     _queries[name], _oracles[name] = make, _sql(sql)
 
@@ -94,7 +115,7 @@ _text("range_open_low", f'SELECT * FROM "{KEY}" RANGE 0 TO {T0}', f"SELECT {_ALL
 
 
 def _open_high(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Runner(bars(spark, sf_dir), check_key=False).frame(Query(KEY).between(T1, 0))
+    return _runner(spark, sf_dir).frame(Query(KEY).between(T1, 0))
 
 
 _queries["range_open_high"], _oracles["range_open_high"] = _open_high, _sql(f"SELECT {_ALL} FROM k WHERE datetime >= {T1}")
@@ -126,7 +147,7 @@ _text("limit_zero", f"{_from('close >= 20')} LIMIT 0", f"SELECT {_ALL} FROM k WH
 
 
 def _first(text: str) -> Maker:
-    return lambda spark, sf_dir: Runner(bars(spark, sf_dir), check_key=False).first_frame(text)
+    return lambda spark, sf_dir: _runner(spark, sf_dir).first_frame(text)
 
 
 _queries["first_asc"] = _first(_from("close >= 20"))
@@ -160,8 +181,7 @@ _read("full_series", lambda r: r.range(KEY), f"SELECT {_ALL} FROM k")
 
 
 def _point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bars(spark, sf_dir)
-    reader = Reader(rows, BAR, check_key=False)
+    reader = _store(spark, sf_dir, BAR)
     stamp = reader.window(KEY, T0).agg(F.min("datetime")).first()[0]
     return reader.at(KEY, stamp)
 
@@ -187,12 +207,12 @@ _read("tick_time", lambda r: r.window(TICK_KEY, T0 * 1000, (T0 + DAY) * 1000).se
 # builder and text
 def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = Query(KEY).between(T0, T1).where("close", ">=", 12.34).where("volume", "<=", 5000).newest_first().take(20).select("datetime", "close", "volume")
-    return Runner(bars(spark, sf_dir), check_key=False).collected(query)
+    return _runner(spark, sf_dir).collected(query)
 
 
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = Query(KEY).between(T0, T1).where("close", ">=", 12.34).where("volume", "<=", 5000).newest_first().take(20).select("datetime", "close", "volume")
-    return Runner(bars(spark, sf_dir), check_key=False).collected(query.text())
+    return _runner(spark, sf_dir).collected(query.text())
 
 
 _queries["builder_query"], _queries["text_round_trip"] = _built, _round_trip
@@ -200,13 +220,14 @@ _oracles["builder_query"] = _oracles["text_round_trip"] = _sql(f"SELECT datetime
 
 
 # stores
-def _stored(spark: SparkSession, sf_dir: str, name: str, bucket: dt.timedelta | None = None) -> tuple[StoreWriter, str]:
+def _stored(spark: SparkSession, sf_dir: str, name: str, bucket: dt.timedelta | None = None, upto: int = 0) -> tuple[StoreWriter, str]:
     path = scratch(spark, name)
     writer = StoreWriter(spark, path, BAR, bucket=bucket)
-    # two commits, so that the second has to follow the first
     rows = bars(spark, sf_dir).select("key", *[c.name for c in BAR.columns])
     writer.append_frame(rows.where(F.col("datetime") < T0))
-    writer.append_frame(rows.where(F.col("datetime") >= T0))
+    if not upto:
+        # two commits, so that the second has to follow the first
+        writer.append_frame(rows.where(F.col("datetime") >= T0))
     return writer, path
 
 
@@ -228,10 +249,46 @@ def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _queries |= {"append_round_trip": _appended, "bucketed_store_window": _bucketed, "pruned_store": _pruned}
-_STORED = "datetime, open_fp / 1e8 AS open, high_fp / 1e8 AS high, low_fp / 1e8 AS low, close_fp / 1e8 AS close, tick_volume, spread, volume"
-_oracles["append_round_trip"] = _sql(f"SELECT {_STORED} FROM k")
-_oracles["bucketed_store_window"] = _sql(f"SELECT {_STORED} FROM k WHERE datetime BETWEEN {T0} AND {T1}")
-_oracles["pruned_store"] = _sql(f"SELECT {_STORED} FROM k WHERE datetime >= {T0 // (3 * DAY) * (3 * DAY)}")
+_oracles["append_round_trip"] = _sql(f"SELECT {_ALL} FROM k")
+_oracles["bucketed_store_window"] = _sql(f"SELECT {_ALL} FROM k WHERE datetime BETWEEN {T0} AND {T1}")
+_oracles["pruned_store"] = _sql(f"SELECT {_ALL} FROM k WHERE datetime >= {T0 // (3 * DAY) * (3 * DAY)}")
+
+
+# bounds, segments, writers
+_read("bounded_scan", lambda r: r.bounded(KEY, [("close", 10.0, 30.0), ("volume", None, 50_000)], T0).select(r.names), f"SELECT {_ALL} FROM k WHERE datetime >= {T0} AND close_fp BETWEEN 1000000000 AND 3000000000 AND volume <= 50000")
+_read("bounded_newest", lambda r: r.bounded(KEY, [("spread", -1, 1)], T0, T1, 40).select(r.names), f"SELECT {_ALL} FROM k WHERE datetime BETWEEN {T0} AND {T1} AND spread BETWEEN -1 AND 1 ORDER BY datetime DESC LIMIT 40")
+_read("tick_bounded", lambda r: r.bounded(TICK_KEY, [("bid", None, -0.5)]).select(r.names), f"SELECT {_TICK_ALL} FROM t WHERE bid <= -0.5", tick=True)
+_read("tick_count", lambda r: r.count(TICK_KEY), "SELECT count(*) AS n FROM t", tick=True)
+_read("compare_columns", lambda r: r.window(KEY).select("datetime", r.schema.field("close").compared(F.col("close"), F.lit(20.0)).alias("against_20")), "SELECT datetime, CAST(sign(close - 20.0) AS INTEGER) AS against_20 FROM k")
+
+
+def _resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What writers remember: one commits up to T0, another resumes after each key's last stamp, late rows are dropped."""
+    _, path = _stored(spark, sf_dir, "resumed", upto=T0)
+    again = StoreWriter(spark, path, BAR)
+    again.append_frame(bars(spark, sf_dir).select("key", *[c.name for c in BAR.columns]).where(F.col("datetime") >= T0 - DAY), late="drop")
+    store = StoreReader(spark, path, BAR)
+    touched = spark.createDataFrame([(k, again.last(k)) for k in again.keys()], "key string, last long")
+    return touched.join(store.records.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+
+
+def _ns_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of nanosecond stamps in buckets of an hour, read around bucket bounds."""
+    schema = RecordSchema("Fill", (Column("at", Kind.INT64, 8, time=True), Column("price", Kind.FLOAT64, 8, price=True)), TimeUnit.NS)
+    path = scratch(spark, "ns")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'click'")
+    # the last nanosecond of the event's hour
+    hour = F.call_function("div", F.unix_micros(F.col("ts").cast("timestamp")), F.lit(3_600_000_000))
+    rows = events.groupBy(hour.alias("h")).agg(F.max("value").alias("price")).select(F.lit("fills").alias("key"), (F.col("h") * F.lit(3_600_000_000_000) + F.lit(3_599_999_999_999)).alias("at"), "price")
+    StoreWriter(spark, path, schema, bucket=dt.timedelta(hours=1)).append_frame(rows)
+    return StoreReader(spark, path, schema).range("fills", T0 * 1_000_000, T1 * 1_000_000 - 1)
+
+
+_queries |= {"append_resume": _resumed, "ns_bucket_window": _ns_buckets}
+_oracles["append_resume"] = _sql(f"SELECT key, max(datetime) AS last, count(*) AS n FROM bars GROUP BY key HAVING max(datetime) >= {T0}")
+_oracles["ns_bucket_window"] = f"""SELECT h * 3600000000000 + 3599999999999 AS "at", CAST(round(price * 1e8) AS BIGINT) / 1e8 AS price
+  FROM (SELECT epoch_us(ts) // 3600000000 AS h, max(value) AS price FROM events WHERE event_type = 'click' GROUP BY 1)
+  WHERE h * 3600000000000 + 3599999999999 BETWEEN {T0 * 1_000_000} AND {T1 * 1_000_000 - 1}"""
 
 
 def queries() -> dict[str, Maker]:
