@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tickloom import catalogue
-from tickloom.errors import CorruptError, InvalidRecordError, KeyNotFoundError, NoMatchError, OutOfOrderError, ParseError, PriceRangeError, UnsupportedError
+from tickloom.errors import BusyError, CorruptError, InvalidRecordError, KeyNotFoundError, NoMatchError, OutOfOrderError, ParseError, PriceRangeError, UnsupportedError
 from tickloom.functions.codec import display_time, has_flags
+from tickloom.operators import writer
 from tickloom.operators.policy import FlushPolicy
 from tickloom.operators.writer import StoreWriter
+from tickloom.plans import planner
 from tickloom.plans.planner import Retention
 from tickloom.plans.query import Field, Op, Query
 from tickloom.plans.runner import Runner
@@ -239,6 +242,128 @@ def test_buckets_and_prune(spark, tmp_path):
             StoreWriter(spark, str(tmp_path / "t"), BAR, bucket=width)
 
 
+def test_bounded_reads_and_comparisons(bars):
+    r = Reader(bars, BAR)
+    lo, hi = T0 + 60_000 * 10, T0 + 60_000 * 20
+    assert index(r.all_bounds(KEY, [("close", 12.5, 15.5)], lo, hi)) == [12, 13, 14, 15]
+    assert index(r.cursor_filtered(KEY, [("close", None, 15.5)], lo, 0, 2)) == [15, 14] and index(r.cursor_filtered(KEY, [("volume", 180, None)], lo, hi)) == [18, 19, 20]
+    assert index(r.cursor_desc_filtered(KEY, [("spread", 0, 0), ("open", 20.0, None)], lo, hi)) == [20, 19]
+    held = [1, 2, 3]
+    assert r.range_into(held, KEY, lo, hi, 3) is held and index(held) == [18, 19, 20]
+    price, time, tag = BAR.field("close"), BAR.field("ts"), SchemaColumn("tag", Kind.BYTES, 2)
+    a, b = ({"datetime": 1, "close": 2.5}, {"datetime": 3, "close": float("nan")})
+    assert price.compare(a, b) == -1 and price.compare(b, a) == 1 and price.equal(b, b) and time.compare(b, a) == 1 and time.load(a) == 1
+    assert tag.compare({"tag": b"ab"}, {"tag": b"b"}) == -1 and tag.load({"tag": b"ab"}) == 0 and tag.equal({"tag": b"x"}, {"tag": bytearray(b"x")})
+    row = bars.select(price.compared(F.lit(1.0), F.lit(float("nan"))).alias("a"), time.compared(F.col("datetime"), F.lit(T0)).alias("b")).orderBy("b").first()
+    assert tuple(row) == (-1, 0)
+
+
+def test_nanosecond_buckets(spark, tmp_path):
+    """Stamps beyond 2**53 on either side of a bucket's bounds."""
+    fill = RecordSchema("Fill", (SchemaColumn("at", Kind.INT64, 8, time=True), SchemaColumn("n", Kind.INT64, 8)), TimeUnit.NS)
+    w = StoreWriter(spark, str(tmp_path / "s"), fill, bucket=dt.timedelta(hours=1))
+    hour, t0 = 3_600_000_000_000, T0 * 1_000_000
+    stamps = [t0 + k * hour + d for k in range(3) for d in (0, 1, hour - 2, hour - 1)]
+    w.append_batch("k", [(t, i) for i, t in enumerate(stamps)])
+    r = StoreReader(spark, str(tmp_path / "s"), fill)
+    assert [x["n"] for x in r.range("k", t0 + hour - 2, t0 + hour).collect()] == [2, 3, 4] and [x["n"] for x in r.range("k", t0 + 2 * hour - 1, t0 + 2 * hour - 1).collect()] == [7]
+    assert sorted(x["time_bucket"] * hour for x in r.records.select("time_bucket").distinct().collect()) == [t0, t0 + hour, t0 + 2 * hour]
+    assert r.records.where("n = 3").select(display_time(F.col("at"), TimeUnit.NS)).first()[0] == dt.datetime(2024, 1, 1, 0, 59, 59, 999_999)
+    assert w.last("k") == stamps[-1] and StoreWriter(spark, str(tmp_path / "s"), fill, bucket=dt.timedelta(hours=1)).last("k") == stamps[-1]
+
+
+def test_footers_answer(spark, tmp_path):
+    w = StoreWriter(spark, str(tmp_path / "s"), BAR, segment_records=20)
+    w.append_frame(frame(spark, [bar(i) for i in range(100)]).union(frame(spark, [bar(i) for i in range(10)], "b")))
+    r = StoreReader(spark, str(tmp_path / "s"), BAR)
+    for df in (r.count(KEY), r.bounds(KEY)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PushedAggregation: \[[A-Z]", plan), plan
+    assert r.facts(KEY) == (100, bar(0)[0], bar(99)[0]) and tuple(r.bounds("b").first()) == (bar(0)[0], bar(9)[0])
+    facts = r.segment_facts(KEY)
+    assert len(facts) == r.segments(KEY) >= 5 and sum(f[1] for f in facts) == 100 and all(x[3] < y[2] for x, y in zip(facts, facts[1:], strict=False))
+
+
+def test_an_append_looks_at_its_keys_only(spark, tmp_path):
+    path = tmp_path / "s"
+    w = StoreWriter(spark, str(path), BAR)
+    w.append_frame(frame(spark, [bar(i) for i in range(10)]).union(frame(spark, [bar(i) for i in range(10)], "broken")))
+    for f in path.glob("data/key=broken/*.parquet"):
+        f.write_bytes(b"PAR1 not a file PAR1")
+    again = StoreWriter(spark, str(path), BAR)
+    again.append_frame(frame(spark, [bar(i) for i in range(10, 20)]))
+    assert again.keys() == [KEY] and again.last(KEY) == bar(19)[0] and again.last("none") is None
+    again.append_frame(frame(spark, [bar(i) for i in range(15, 20)]), late="drop")
+    assert again.keys() == [KEY] and not list(path.glob("_staged/*"))
+    other = StoreWriter(spark, str(path), BAR)
+    assert other.last(KEY) == bar(19)[0] and other.keys() == []
+    # rows that were stored are found by the stamps' statistics: nothing at or after the batch's first is there
+    lasts = other._stored_lasts([KEY], bar(20)[0])
+    assert lasts.collect() == [] and other._stored_lasts([KEY], bar(5)[0]).first()["last"] == bar(19)[0]
+
+
+def test_many_keys_are_checked_by_spark(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writer, "NAMED_KEYS", 2)
+    w = StoreWriter(spark, str(tmp_path / "s"), BAR)
+    five = [frame(spark, [bar(i) for i in range(6)], f"k{k}") for k in range(5)]
+    rows = five[0].union(five[1]).union(five[2]).union(five[3]).union(five[4])
+    w.append_frame(rows)
+    assert w.keys() == [f"k{k}" for k in range(5)] and w.last("k3") == bar(5)[0]
+    with pytest.raises(OutOfOrderError, match="5 keys begin"):
+        w.append_frame(rows)
+    later = rows.union(frame(spark, [bar(6)], "k1")).union(frame(spark, [bar(0)], "k9"))
+    again = StoreWriter(spark, str(tmp_path / "s"), BAR)
+    again.append_frame(later, late="drop")
+    assert again.keys() == ["k1", "k9"] and again.stored().count() == 32
+
+
+def test_an_input_is_evaluated_once(spark, tmp_path):
+    """Random prices: what was checked is what is stored, and a bad batch leaves nothing behind."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = frame(spark, [bar(i) for i in range(50)])
+    w = StoreWriter(spark, str(tmp_path / "s"), BAR)
+    w.append_frame(rows.mapInArrow(count, rows.schema))
+    assert seen.value == 50 and w.stored().count() == 50
+
+
+def test_lock_and_pruning_beside_a_reader(spark, tmp_path):
+    path = str(tmp_path / "s")
+    w = StoreWriter(spark, path, BAR, bucket=dt.timedelta(hours=1), lock=True)
+    with pytest.raises(BusyError):
+        StoreWriter(spark, path, BAR, bucket=dt.timedelta(hours=1), lock=True)
+    w.append_batch(KEY, [bar(i) for i in range(180)])
+    r = StoreReader(spark, path, BAR)
+    rows = r.range(KEY)
+    assert w.prune(lambda *a: True) == 2 and index(rows.collect()) == list(range(120, 180))
+    w.close()
+    StoreWriter(spark, path, BAR, bucket=dt.timedelta(hours=1), lock=True).close()
+
+
+def test_limits_probe_the_end_they_want(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(planner, "PROBE_ROWS", 50)
+    for bucket in (None, dt.timedelta(hours=3)):
+        path = str(tmp_path / f"s{bool(bucket)}")
+        rng = random.Random(4)
+        rows = [bar(3 * i + rng.randrange(3), float(rng.randrange(50))) for i in range(400)]
+        StoreWriter(spark, path, BAR, bucket=bucket).append_frame(frame(spark, rows))
+        r = StoreReader(spark, path, BAR)
+        for most, age in ((0, 0), (60, 0), (0, 12_000_000)):
+            kept = Retention(max_bars=most, max_age=age)
+            plain, probing = Runner(r.of, kept), Runner(r.of, kept, bucket=r.width, facts=r.facts)
+            for where in ("", "WHERE close >= 25", "WHERE close == 7", f"WHERE close < 20 AND datetime > {rows[100][0]} AND datetime <= {rows[300][0]}", "WHERE close > 99"):
+                for tail in ("LIMIT 3", "ORDER BY datetime DESC LIMIT 3", "ORDER BY datetime DESC LIMIT 40"):
+                    q = f'FROM "{KEY}" {where} {tail}'
+                    assert probing.collect(q) == plain.collect(q), (q, kept)
+        narrowed = planner.plan(Query(KEY).newest_first().take(3), r.of(KEY), bucket=r.width, facts=r.facts)
+        assert "GreaterThanOrEqual(datetime," in narrowed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_verify(spark, tmp_path):
     path = tmp_path / "s"
     w = StoreWriter(spark, str(path), BAR)
@@ -300,8 +425,9 @@ def test_waiting_rows(spark, tmp_path):
     now[0] = 5
     assert w.sync_if_due() and w.stored().count() == 2 and not w.sync_if_due()
     w.append(KEY, bar(2))
+    assert w.policy.at_risk_bytes == BAR.record_size
     w.seal(KEY)
-    assert w.stored().count() == 3
+    assert w.stored().count() == 3 and w.policy.at_risk_bytes == 0
     w.append(KEY, bar(3))
     w.close()
     w.close()

@@ -5,20 +5,19 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import astuple, is_dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tickloom.errors import BusyError, CorruptError, InvalidRecordError, OutOfOrderError
 from tickloom.functions.codec import encode, faults, scale_price
 from tickloom.operators.policy import FlushPolicy
 from tickloom.schema import Kind, RecordSchema, TimeUnit
 from tickloom.sources.files import Files
-from tickloom.sources.footers import footer_session
+from tickloom.sources.footers import file_facts, footer_session
 
 META = "_meta.json"
 LOCK = "_writer.lock"
@@ -310,19 +309,30 @@ class StoreWriter:
 
     # dropping old files
 
+    def _segments(self) -> Iterator[tuple]:
+        """A tuple a file, as the columns of ``segments``; one key's files are held at a time."""
+        time = self.schema.time.stored
+        for folder in self.files.folders("data"):
+            if not folder.startswith("key="):
+                continue
+            found = sorted((f for f in file_facts(self.spark, self.files.under(f"data/{folder}"), time) if f[1]), key=lambda f: f[2:])
+            newest = max((last for *_, last in found), default=None)
+            for seq, (path, n, first, last) in enumerate(found):
+                yield self.files.unescaped(folder[4:]), seq, first, last, n, path, last == newest
+
     def segments(self) -> DataFrame:
-        """A row a file: key, seq (by time within the key), min_ts, max_ts, n, file, active."""
-        time = F.col(self.schema.time.stored)
-        per = self.stored().select("key", time.alias("ts"), F.col("_metadata.file_path").alias("file")).groupBy("key", "file").agg(F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.count(F.lit(1)).alias("n"))
-        order = Window.partitionBy("key").orderBy("min_ts")
-        return per.withColumn("seq", F.row_number().over(order) - 1).withColumn("active", F.col("max_ts") == F.max("max_ts").over(Window.partitionBy("key")))
+        """A row a file, from the footers: key, seq (by time within the key), min_ts, max_ts, n, file, active."""
+        return self.spark.createDataFrame(list(self._segments()), "key string, seq long, min_ts long, max_ts long, n long, file string, active boolean")
 
     def prune(self, predicate: Callable[[str, int, int, int, bool], bool]) -> int:
         """Delete whole files that ``predicate(key, seq, min_ts, max_ts, sealed)`` picks; never a key's newest.
 
-        Only file metadata comes to the driver, a row at a time.  Returns how many files went.
+        Only footers are read.  Returns how many files went.  A reader that knew of them goes on
+        without them.
         """
-        gone = [r for r in self.segments().where("NOT active").toLocalIterator() if predicate(r["key"], r["seq"], r["min_ts"], r["max_ts"], True)]
-        for r in gone:
-            self.files.delete_file(r["file"])
-        return len(gone)
+        gone = 0
+        for key, seq, first, last, _, path, active in self._segments():
+            if not active and predicate(key, seq, first, last, True):
+                self.files.delete_file(path)
+                gone += 1
+        return gone

@@ -62,9 +62,22 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(name)) if s.isDirectory() and s.getPath().getName()[0] not in "._")
 
-    def delete_file(self, url: str) -> None:
-        """Delete a file by the address that Spark gives for it, and the folders that this leaves empty."""
-        path = self._jvm.org.apache.hadoop.fs.Path(self._jvm.java.net.URI(url))
+    def under(self, name: str) -> list[str]:
+        """Paths of the data files in a folder and all below it."""
+        out, todo = [], [self._path(name)] if self.exists(name) else []
+        while todo:
+            for s in self._fs.listStatus(todo.pop()):
+                if s.getPath().getName()[0] in "._":
+                    continue
+                if s.isDirectory():
+                    todo.append(s.getPath())
+                else:
+                    out.append(s.getPath().toString())
+        return sorted(out)
+
+    def delete_file(self, name: str) -> None:
+        """Delete a file by its path, and the folders that this leaves empty."""
+        path = self._jvm.org.apache.hadoop.fs.Path(name)
         self._fs.delete(path, False)
         folder = path.getParent()
         while folder.getName() not in ("", "data") and not [s for s in self._fs.listStatus(folder) if s.getPath().getName()[0] not in "._"]:

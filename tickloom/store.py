@@ -16,7 +16,7 @@ from tickloom.plans.planner import Retention
 from tickloom.plans.runner import Runner
 from tickloom.schema import BAR, RecordSchema
 from tickloom.sources.files import Files
-from tickloom.sources.footers import footer_facts
+from tickloom.sources.footers import file_facts, footer_facts
 from tickloom.sources.reader import Reader
 
 
@@ -47,7 +47,9 @@ class StoreReader(Reader):
         self._facts: dict[str, tuple[int, int, int]] = {}
 
     def _load(self, folder: str) -> DataFrame:
-        rows = self.spark.read.schema(store_schema(self.schema, bool(self.width))).option("basePath", f"{self.path}/data").parquet(f"{self.path}/{folder}")
+        # files only ever go by pruning: a reader that listed one before goes on without it
+        files = self.spark.read.schema(store_schema(self.schema, bool(self.width))).option("basePath", f"{self.path}/data").option("ignoreMissingFiles", "true")
+        rows = files.parquet(f"{self.path}/{folder}")
         return decode(rows, self.schema, passing=["time_bucket"] if self.width else [])
 
     @property
@@ -104,6 +106,10 @@ class StoreReader(Reader):
         """How many files hold the key's records."""
         return len(self.of(key).inputFiles())
 
+    def segment_facts(self, key: str) -> list[tuple[str, int, int, int]]:
+        """(file, n, first, last) of a key's files by time, from their footers."""
+        return sorted(file_facts(self.spark, self.files.under(self._folder(key)), self.schema.time.stored), key=lambda f: f[2:])
+
     def verify(self, key: str | None = None) -> int:
         """Read every record of a key, or of all, and count them; CorruptError if a file can't be read,
         or a key holds a stamp twice, a negative one or none, or a price that its schema forbids."""
