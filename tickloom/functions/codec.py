@@ -38,8 +38,8 @@ def unscale_price(stored: int) -> float:
 
 
 def scaled(col: Column) -> Column:
-    """A price column as stored longs."""
-    return F.round(col * F.lit(float(PRICE_SCALE))).cast("long")
+    """A price column as stored longs; null where it has none."""
+    return F.round(col * F.lit(float(PRICE_SCALE))).try_cast("long")
 
 
 def unscaled(col: Column) -> Column:

@@ -8,9 +8,10 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import astuple, is_dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tickloom.errors import BusyError, CorruptError, InvalidRecordError, OutOfOrderError
 from tickloom.functions.codec import encode, faults, scale_price
@@ -39,7 +40,7 @@ def store_schema(schema: RecordSchema, bucketed: bool) -> T.StructType:
 class StoreWriter:
     """The one writer of a store: a folder of Parquet files by key, and by time bucket if asked for.
 
-    A batch is checked whole before anything is written, and written by one Spark commit.  Each
+    A batch is checked whole before any of it is seen, and comes by one commit.  Each
     flush is a new group of files; files never change.  With a ``policy`` rows wait in memory until
     ``sync``, ``sync_if_due``, ``seal`` or ``close``.  With ``lock`` a second writer that asks for
     the lock too is refused with BusyError until this one is closed.
@@ -64,6 +65,7 @@ class StoreWriter:
             raise BusyError(f"{self.path} has a writer; if that one is gone, delete {LOCK}")
         self._last: dict[str, int] = {}
         self._touched: set[str] = set()
+        self._kept: list[str] = []
         self._waiting: dict[str, list[tuple]] = {}
         self._closed = False
 
@@ -159,38 +161,98 @@ class StoreWriter:
         Rows have no order of their own, so a key's stamps have to be distinct and after its stored
         ones.  ``late="drop"`` leaves out rows that aren't after, and repeats within the batch.
 
-        The input is evaluated once, into a folder of its own under the store, so that what is
-        checked is what is written.  Of the store only the batch's keys are looked at, and of those
-        only row groups with stamps that the batch's first stamp does not follow: in order, none.
-        Everything is checked by one aggregation before anything is committed.
+        A batch is written in its final layout to a folder beside the data, in one shuffle, and its files
+        are moved when all checks have passed, so what was checked is what is stored.  Repeats are found
+        in the shuffle's own order, each key's first and last stamp in the footers of the new files.  Of
+        the store only the batch's keys are looked at, and of those only row groups with stamps that the
+        batch's first stamp does not follow: in order, none.
         """
         self._open()
-        time = self.schema.time.name
         self._flush()
-        staged = f"_staged/{uuid.uuid4().hex}"
         rows = records.select("key", *[c.name for c in self.schema.columns])
-        rows.write.parquet(f"{self.path}/{staged}")
+        if late == "drop":
+            rows = self._without_late(rows)
+        staged = f"_staged/{uuid.uuid4().hex}"
         try:
-            rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{staged}")
-            rules = faults(self.schema)
-            checks = [F.count(F.when(bad, 1)).alias(f"f{i}") for i, (_, _, bad) in enumerate(rules)]
-            per_key = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(time).alias("stamps"), F.min(time).alias("first"), F.max(time).alias("end"), *checks)
-            few = per_key.limit(NAMED_KEYS + 1).collect()
-            if len(few) > NAMED_KEYS:
-                few = None
-                first = rows.agg(F.min(time)).first()[0]
-                before = self._stored_lasts(None, first or 0)
+            found = self._stage(rows, staged, drop=late == "drop")
+            if not found["n"]:
+                return
+            for i, (what, error, _) in enumerate(faults(self.schema)):
+                if found[f"f{i}"]:
+                    raise error(f"{found[f'f{i}']} records: {what}")
+            if found["bad_keys"]:
+                raise InvalidRecordError(f"{found['bad_keys']} records: a key has 1 to {MOST_KEY_BYTES} bytes")
+            behind, ends = self._behind(staged)
+            if found["repeats"] or behind:
+                raise OutOfOrderError(f"{found['repeats']} records repeat a stamp of their key; {behind} keys begin at or before a stored stamp")
+            self.files.move_files(staged, "data")
+            if len(ends) > NAMED_KEYS:
+                self._last.clear()
             else:
-                first = min((r["first"] for r in few if r["first"] is not None), default=0)
-                before = self._stored_lasts([r["key"] for r in few if r["key"] is not None], first)
-            n = self._check(per_key if few is None else few, before, rules, late)
-            if late == "drop":
-                rows = rows.dropDuplicates(["key", time]).join(before.withColumnRenamed("last", "stored_last"), "key", "left").where(F.col("stored_last").isNull() | (F.col(time) > F.col("stored_last"))).drop("stored_last")
-            if n:
-                self._write(rows)
-                self._remember(per_key if few is None else few, before, late)
+                self._last |= ends
+            # ``keys`` has to return them all, so the driver holds a name a key
+            self._touched |= ends.keys()
         finally:
-            self.files.delete(staged)
+            for folder in (staged, *self._kept):
+                self.files.delete(folder)
+            self._kept = []
+
+    def _without_late(self, rows: DataFrame) -> DataFrame:
+        """``rows`` after each key's stored stamps.  The batch is kept in the store's folder, as it is read twice."""
+        kept = f"_staged/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{kept}")
+        self._kept.append(kept)
+        rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{kept}")
+        time = self.schema.time.name
+        firsts = rows.groupBy("key").agg(F.min(time).alias("first"))
+        few = firsts.limit(NAMED_KEYS + 1).collect()
+        named = len(few) <= NAMED_KEYS
+        first = min((r["first"] for r in few if r["first"] is not None), default=0) if named else rows.agg(F.min(time)).first()[0]
+        before = self._stored_lasts([r["key"] for r in few if r["key"] is not None] if named else None, first or 0)
+        if named:
+            lasts = before.collect()
+            if not lasts:
+                return rows
+            before = self.spark.createDataFrame(lasts, before.schema)
+        late = before.withColumnRenamed("last", "stored_last")
+        return rows.join(late, "key", "left").where(F.col("stored_last").isNull() | (F.col(time) > F.col("stored_last"))).drop("stored_last")
+
+    def _stage(self, rows: DataFrame, staged: str, *, drop: bool) -> dict[str, int]:
+        """Write ``rows`` in their final layout to ``staged``; how many there are, and what is wrong with how many.
+
+        With ``drop`` of the records with one stamp one is written.
+        """
+        rules = faults(self.schema)
+        bad_key = F.col("key").isNull() | ~F.octet_length("key").between(1, MOST_KEY_BYTES)
+        # a number a record says which rule it breaks; it travels with the record and is counted behind the shuffle
+        fault = F.when(bad_key, len(rules))
+        for i, (_, _, bad) in enumerate(rules):
+            fault = fault.when(bad, i)
+        out, parts = self._laid_out(rows.withColumn("_fault", F.coalesce(fault, F.lit(-1))), ["_fault"])
+        # equal keys and stamps are neighbours in one range already
+        twin = F.row_number().over(Window.partitionBy(*parts, self.schema.time.stored).orderBy(self.schema.time.stored)) > 1
+        out = out.withColumn("_twin", twin)
+        out = out.where("NOT _twin") if drop else out
+        seen = Observation()
+        counts = [F.count(F.when(F.col("_fault") == i, 1)).alias(f"f{i}") for i in range(len(rules) + 1)]
+        out = out.observe(seen, F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_twin"), 1)).alias("repeats"), *counts)
+        self._save(out.drop("_fault", "_twin"), parts, staged)
+        found = seen.get
+        return found | {"bad_keys": found[f"f{len(rules)}"]}
+
+    def _behind(self, staged: str) -> tuple[int, dict[str, int]]:
+        """How many keys of a staged batch begin at or before a stored stamp, and the last stamp of each."""
+        time, shape = self.schema.time.stored, store_schema(self.schema, bool(self.width))
+        files = footer_session(self.spark).read.schema(shape).parquet(f"{self.path}/{staged}")
+        per_key = files.groupBy("key").agg(F.min(time).alias("first"), F.max(time).alias("end")).collect()
+        first = min(r["first"] for r in per_key)
+        if len(per_key) <= NAMED_KEYS:
+            lasts = {r["key"]: r["last"] for r in self._stored_lasts([r["key"] for r in per_key], first).collect()}
+            behind = sum(r["first"] <= lasts.get(r["key"], -1) for r in per_key)
+        else:
+            firsts = self.spark.createDataFrame([(r["key"], r["first"]) for r in per_key], "key string, first long")
+            behind = self._stored_lasts(None, first).join(firsts, "key").where("first <= last").count()
+        return behind, {r["key"]: r["end"] for r in per_key}
 
     def _stored_lasts(self, keys: list[str] | None, first: int) -> DataFrame:
         """(key, last): of these keys, or of all, those with stored stamps of ``first`` or later."""
@@ -205,65 +267,31 @@ class StoreWriter:
         rows = rows.where(F.col(time) >= first)
         if self.width:
             rows = rows.where(F.col("time_bucket") >= first // self.width)
-        lasts = rows.groupBy("key").agg(F.max(time).alias("last"))
-        return lasts if keys is None else self.spark.createDataFrame(lasts.collect(), "key string, last long")
-
-    def _check(self, per_key: DataFrame | list, before: DataFrame, rules: list, late: str) -> int:
-        """How many rows the batch has; raises if one can't be stored.  Many keys are summed up by Spark, few here."""
-        if isinstance(per_key, list):
-            lasts = {r["key"]: r["last"] for r in before.collect()}
-            found = {f"f{i}": sum(r[f"f{i}"] for r in per_key) for i in range(len(rules))}
-            found["n"] = sum(r["n"] for r in per_key)
-            found["bad_keys"] = sum(r["key"] is None or not 1 <= len(r["key"].encode()) <= MOST_KEY_BYTES for r in per_key)
-            found["repeats"] = sum(r["n"] - r["stamps"] for r in per_key)
-            found["late"] = sum(r["first"] is not None and r["first"] <= lasts.get(r["key"], -1) for r in per_key)
-        else:
-            found = per_key.join(before, "key", "left").agg(
-                F.sum("n").alias("n"),
-                F.sum(F.when(F.col("key").isNull() | ~F.octet_length("key").between(1, MOST_KEY_BYTES), 1).otherwise(0)).alias("bad_keys"),
-                F.sum(F.col("n") - F.col("stamps")).alias("repeats"),
-                F.sum(F.when(F.col("first") <= F.col("last"), 1).otherwise(0)).alias("late"),
-                *[F.sum(f"f{i}").alias(f"f{i}") for i in range(len(rules))],
-            ).first()
-        for i, (what, error, _) in enumerate(rules):
-            if found[f"f{i}"]:
-                raise error(f"{found[f'f{i}']} records: {what}")
-        if found["bad_keys"]:
-            raise InvalidRecordError(f"{found['bad_keys']} keys: a key has 1 to {MOST_KEY_BYTES} bytes")
-        if late != "drop" and (found["repeats"] or found["late"]):
-            raise OutOfOrderError(f"{found['repeats']} records repeat a stamp of their key; {found['late']} keys begin at or before a stored stamp")
-        return found["n"] or 0
-
-    def _remember(self, per_key: DataFrame | list, before: DataFrame, late: str) -> None:
-        """Note the keys that were appended to; ``keys`` has to return them all, so the driver holds a name a key."""
-        if isinstance(per_key, list):
-            lasts = {r["key"]: r["last"] for r in before.collect()}
-            ends = {r["key"]: r["end"] for r in per_key if r["end"] > lasts.get(r["key"], -1)}
-            self._last |= ends
-            self._touched |= ends.keys()
-            return
-        self._last.clear()
-        grown = per_key.join(before, "key", "left").where(F.col("last").isNull() | (F.col("end") > F.col("last")))
-        self._touched.update(r["key"] for r in grown.select("key").toLocalIterator())
+        return rows.groupBy("key").agg(F.max(time).alias("last"))
 
     def _frame(self, rows: dict[str, Iterable[tuple]]) -> DataFrame:
         shape = T.StructType([T.StructField("key", T.StringType()), *self.schema.struct().fields])
         return self.spark.createDataFrame([(k, *r) for k, own in rows.items() for r in own], shape)
 
-    def _write(self, rows: DataFrame) -> None:
-        time = self.schema.time.stored
-        out = encode(rows, self.schema).select(*[c.stored for c in self.schema.columns], "key")
-        parts = ["key"]
+    def _laid_out(self, rows: DataFrame, passing: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+        """Records in stored form, in ranges of key and time, and the columns that name their folders."""
+        time, parts = self.schema.time.stored, ["key"]
+        out = encode(rows, self.schema).select(*[c.stored for c in self.schema.columns], "key", *passing)
         if self.width:
             # whole division: a quotient of doubles would put stamps beyond 2**53 in the next bucket
             out = out.withColumn("time_bucket", F.expr(f"`{time}` div {self.width}L"))
             parts.append("time_bucket")
-        # ranges of key and time: a hot key spans several tasks, and files are in time order
-        out = out.repartitionByRange(*parts, time).sortWithinPartitions(*parts, time)
-        writer = out.write.mode("append").partitionBy(*parts)
+        # a hot key spans several tasks, and files are in time order
+        return out.repartitionByRange(*parts, time), parts
+
+    def _save(self, out: DataFrame, parts: list[str], folder: str) -> None:
+        writer = out.sortWithinPartitions(*parts, self.schema.time.stored).write.mode("append").partitionBy(*parts)
         if self.segment_records:
             writer = writer.option("maxRecordsPerFile", self.segment_records)
-        writer.parquet(f"{self.path}/data")
+        writer.parquet(f"{self.path}/{folder}")
+
+    def _write(self, rows: DataFrame) -> None:
+        self._save(*self._laid_out(rows), "data")
 
     # flushing and closing
 

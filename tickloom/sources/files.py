@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import SparkSession
 
 
@@ -75,6 +77,24 @@ class Files:
                     out.append(s.getPath().toString())
         return sorted(out)
 
+    def move_files(self, source: str, target: str) -> None:
+        """Move all data files below a folder to the same places below another; their names are unique."""
+        base = self._path(source).toUri().getPath()
+        moves = []
+        for path in self.under(source):
+            own = self._jvm.org.apache.hadoop.fs.Path(path)
+            inner = own.getParent().toUri().getPath()[len(base) :].strip("/")
+            moves.append((own, self._path(f"{target}/{inner}")))
+        for folder in {f.toString(): f for _, f in moves}.values():
+            self._fs.mkdirs(folder)
+
+        def move(one: tuple) -> None:
+            if not self._fs.rename(one[0], self._jvm.org.apache.hadoop.fs.Path(one[1], one[0].getName())):
+                raise OSError(f"{one[0].toString()} can't be moved")
+
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(move, moves))
+
     def delete_file(self, name: str) -> None:
         """Delete a file by its path, and the folders that this leaves empty."""
         path = self._jvm.org.apache.hadoop.fs.Path(name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,7 +93,7 @@ class StoreReader(Reader):
 
     def keys(self, prefix: str = "") -> DataFrame:
         """Keys by the folders alone."""
-        return self.spark.createDataFrame([(k,) for k in self.list_keys(prefix)], "key string").orderBy("key")
+        return self.spark.createDataFrame(pa.table({"key": pa.array(self.list_keys(prefix), pa.string())}))
 
     def window(self, key: str, start: int = 0, end: int = 0) -> DataFrame:
         rows = super().window(key, start, end)
