@@ -34,10 +34,10 @@ CHUNK = 1 << 19
 #: Different contexts of an anchor up to which one task refines them; beyond, each string is a key of its own.
 HOT = 4096
 #: Contexts that are refined together.
-TOGETHER = 4096
+TOGETHER = 2048
 #: Documents of which one in SAMPLE is looked at to find q-grams that one document in COMMON, and LEAST of them, hold.
-#: Contexts of those are buckets of their own; nothing else depends on it.  At most 60 * COMMON q-grams or so qualify.
-SAMPLE, COMMON, LEAST = 64, 500, 12
+#: Contexts of those are buckets of their own; nothing else depends on it.  At most COMMON q-grams for each anchor of a usual text qualify.
+SAMPLE, COMMON, LEAST = 64, 64, 12
 
 _powers = Powers()
 
@@ -227,16 +227,19 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                out = []
-                for d, t, text, own in zip(*[batch.column(k) for k in ("d", "t", "text", "own")], strict=True):
-                    raw = text.as_buffer().to_pybytes()
-                    for x in own.as_py():
-                        s = x["a"] - x["lead"]
-                        out.append((x["h"], x["kinds"], d.as_py(), t.as_py(), x["a"], x["lead"], x["span"], raw[s : s + x["span"] - 1 + length]))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["h", "kinds", "d", "t", "a", "lead", "span", "bytes"])
+            for at in range(0, whole.num_rows, 16):
+                batch = whole.slice(at, 16)
+                own, text = batch.column("own"), batch.column("text")
+                counts = pa.array([len(x) for x in own], pa.int64()).to_numpy()
+                of = np.repeat(np.arange(len(counts)), counts)
+                flat = own.flatten()
+                columns = {k: flat.field(k) for k in ("h", "kinds", "a", "lead", "span")}
+                start = columns["a"].to_numpy() - columns["lead"].to_numpy()
+                end = start + columns["span"].to_numpy() - 1 + length
+                raw = [t.as_buffer().to_pybytes() for t in text]
+                pieces_ = pa.array([raw[i][lo:hi] for i, lo, hi in zip(of.tolist(), start.tolist(), end.tolist(), strict=True)], pa.binary())
+                take = pa.array(of)
+                yield pa.RecordBatch.from_arrays([columns["h"], columns["kinds"], batch.column("d").take(take), batch.column("t").take(take), columns["a"], columns["lead"], columns["span"], pieces_], ["h", "kinds", "d", "t", "a", "lead", "span", "bytes"])
 
     by_doc = open_rows.groupBy("d", "t").agg(F.collect_list(F.struct("h", "kinds", "a", "lead", "span")).alias("own"))
     contexts = settle(_with_text(docs, by_doc).mapInArrow(cut, "h long, kinds long, d long, t long, a long, lead short, span short, bytes binary"), "contexts")
@@ -322,11 +325,23 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
         joined = rows.join(by_doc, ["d", "t"], "left").select("d", "text", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [_apply(text.as_buffer().to_pybytes(), own.as_py() or [], length) for text, own in zip(batch.column("text"), batch.column("own"), strict=True)]
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            kinds = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", span), *([("kept", pa.binary())] if with_bytes else [])]
-            yield pa.RecordBatch.from_arrays([batch.column("d"), *[pa.array([r[i] for r in out], k) for i, (_, k) in enumerate(kinds)]], ["d", *[n for n, _ in kinds]])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                rows, first, end = [], [], []
+                for text, own in zip(batch.column("text"), batch.column("own"), strict=True):
+                    raw = text.as_buffer().to_pybytes()
+                    lo, hi = runs_covered(own.values, length) if own.is_valid else (_NONE, _NONE)
+                    rest = without(raw, lo, hi)
+                    rows.append((len(raw), len(raw) - len(rest), len(lo), hashlib.sha256(rest).hexdigest(), rest))
+                    first.append(lo)
+                    end.append(hi)
+                spans = pa.StructArray.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(end))], ["start", "end"])
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in first]))), pa.int32())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+                kept = [pa.array([r[4] for r in rows], pa.binary())] if with_bytes else []
+                yield pa.RecordBatch.from_arrays([batch.column("d"), *columns, pa.ListArray.from_arrays(offsets, spans), *kept], ["d", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * with_bytes])
 
     schema = "d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + (", kept binary" if with_bytes else "")
     done = joined.mapInArrow(run, schema)
@@ -334,17 +349,18 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     return done.select(back.alias(id_col), *done.columns[1:])
 
 
-def _apply(raw: bytes, own: list[dict], length: int) -> tuple:
-    """(bytes, removed, spans, digest, runs, kept) of a text without its repeated strings."""
-    runs: list[dict] = []
-    for lo, hi in sorted((x["s1"], x["s2"] + length) for x in own):
-        if runs and lo <= runs[-1]["end"]:
-            runs[-1]["end"] = max(runs[-1]["end"], hi)
-        else:
-            runs.append({"start": lo, "end": hi})
-    kept, at = [], 0
-    for r in runs:
-        kept.append(raw[at : r["start"]])
-        at = r["end"]
-    rest = b"".join([*kept, raw[at:]])
-    return len(raw), len(raw) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), runs, rest
+_NONE = np.zeros(0, np.int64)
+
+
+def runs_covered(starts: pa.StructArray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the maximal runs that strings of ``length`` bytes cover, from runs (s1, s2) of their starts."""
+    s1, s2 = (starts.field(k).to_numpy() for k in ("s1", "s2"))
+    order = np.argsort(s1, kind="stable")
+    lo, hi = s1[order], np.maximum.accumulate(s2[order] + length)
+    apart = lo[1:] > hi[:-1]
+    return lo[np.concatenate(([True], apart))], hi[np.concatenate((apart, [True]))]
+
+
+def without(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> bytes:
+    """The bytes outside of the runs."""
+    return b"".join(raw[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(raw)], strict=True))
