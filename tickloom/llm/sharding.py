@@ -29,9 +29,11 @@ def text_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     keys = F.array_distinct(F.concat(F.array(F.xxhash64(F.lit("text"), F.col(text_col))), F.transform(lines, lambda x: F.xxhash64(x))))
     pairs = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("node"), F.explode(keys).alias("link"))
     pairs = settle(pairs, "links")
-    shared = pairs.groupBy("link").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # settled, so that a popular link's pairs can be split when they are joined
+    shared = settle(pairs.groupBy("link").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "link_sizes")
     kept = settle(pairs.join(shared, "link"), "shared_links")
     discard(pairs)
+    discard(shared)
     return kept
 
 
