@@ -1,14 +1,15 @@
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+import random
+from collections import Counter
 
 import pyarrow.parquet as pq
 import pytest
 from edge import SCHEMA, documents, frame
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing
+from tickloom.llm import mixing, packing
 from tickloom.llm.mixing import CHUNK_MEAN, mix_sources, poisson_count, source_rates
 from tickloom.llm.packing import Bins, pack_best_fit, pack_window
 
@@ -51,41 +52,37 @@ def test_mixing_edges(spark):
 
 
 def brute_pack(sizes, sources, clusters, capacity, per_source):
-    bins = []
+    """The bin of each piece: of all compatible ones the fullest, then the first."""
+    bins, out = [], []
     for n, s, c in zip(sizes, sources, clusters, strict=True):
-        fit = [b for b in bins if b["left"] >= n and c not in b["clusters"] and b["sources"][s] < per_source]
-        least = min((b["left"] for b in fit), default=None)
-        if least is None:
-            bins.append({"left": capacity, "clusters": set(), "sources": Counter(), "items": 0})
-            fit, least = [bins[-1]], capacity
-        b = next(b for b in fit if b["left"] == least)
-        b["left"] -= n
-        b["clusters"].add(c)
-        b["sources"][s] += 1
-        b["items"] += 1
-    return sorted((b["left"], b["items"]) for b in bins)
+        fit = [(b["left"], k) for k, b in enumerate(bins) if b["left"] >= n and c not in b["clusters"] and b["sources"][s] < per_source]
+        if not fit:
+            bins.append({"left": capacity, "clusters": set(), "sources": Counter()})
+        k = min(fit)[1] if fit else len(bins) - 1
+        out.append((k, capacity - bins[k]["left"]))
+        bins[k]["left"] -= n
+        bins[k]["clusters"].add(c)
+        bins[k]["sources"][s] += 1
+    return out, [capacity - b["left"] for b in bins]
 
 
 def test_best_fit_matches_a_plain_search():
-    import random
-
     rng = random.Random(3)
-    for _ in range(20):
-        sizes = sorted((rng.randrange(0, 60) for _ in range(150)), reverse=True)
-        sources, clusters = [rng.choice("aaab") for _ in sizes], list(range(150))
-        bins, offsets, used = pack_window(sizes, sources, clusters, 100, 3)
-        got = defaultdict(list)
-        for b, o, n in zip(bins, offsets, sizes, strict=True):
-            got[b].append((o, n))
-        assert sum(100 - u for u in dict(zip(bins, used, strict=True)).values()) <= sum(left for left, _ in brute_pack(sizes, sources, clusters, 100, 3)) + 200
-        for own in got.values():
-            own.sort()
-            assert all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:], strict=False)) and sum(n for _, n in own) <= 100
+    for round_ in range(40):
+        n = rng.randrange(1, 250)
+        sizes = sorted((rng.randrange(0, 60) for _ in range(n)), reverse=True)
+        # few clusters and sources conflict often, many hardly
+        kinds = rng.choice([3, 20, n])
+        sources, clusters = [rng.choice("aaab") for _ in sizes], [rng.randrange(kinds) for _ in sizes]
+        per_source = rng.randrange(1, 5)
+        bins, offsets, used = pack_window(sizes, sources, clusters, 100, per_source)
+        want, filled = brute_pack(sizes, sources, clusters, 100, per_source)
+        assert list(zip(bins, offsets, strict=True)) == want and used == [filled[b] for b in bins], round_
     one = Bins(10, 1)
     assert [one.place(6, 0, 0), one.place(4, 0, 1), one.place(4, 1, 0), one.place(4, 1, 2)] == [(0, 0), (1, 0), (1, 4), (0, 6)]
 
 
-def test_packing(spark):
+def test_packing(spark, monkeypatch):
     docs = frame(spark, [*documents(), *documents()[:5], (None, "x" * 70, "en", None, 70)])
     out = pack_best_fit(docs, capacity=1000, per_source=2).toPandas()
     length = sum(len(r[1] or "") for r in documents()) + sum(len(r[1] or "") for r in documents()[:5]) + 70
@@ -99,12 +96,23 @@ def test_packing(spark):
         own = own.sort_values("piece")
         assert own["piece"].tolist() == list(range(len(own))) and (own["start"] == own["piece"] * 1000).all()
     assert out["doc_id"].isna().sum() == 1
+    # rows alike are dealt to several windows
+    alike = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(9).cast("long").alias("n_chars"))
+    monkeypatch.setattr(packing, "WINDOW", 500)
+    spread = pack_best_fit(alike, capacity=100, per_source=2).toPandas()
+    assert len(spread) == 3000 and spread["bin_id"].is_unique and (spread["bin_id"] // 2**32).nunique() == 6
+    # the query's own parameters, whole: what a bin holds is what its window's plain search puts there
+    whole = pack_best_fit(docs, capacity=3000, per_source=3, cluster_col="lang").toPandas()
+    for _, own in whole.groupby(whole["bin_id"] // 2**32):
+        own = own.assign(key=own["doc_id"].isna()).sort_values(["length", "key", "doc_id", "piece", "cluster", "source"], ascending=[False, False, True, True, True, True], na_position="first")
+        want, _ = brute_pack(own["length"].tolist(), own["source"].tolist(), own["cluster"].tolist(), 3000, 3)
+        assert sorted((b % 2**32, o) for b, o in zip(own["bin_id"], own["bin_offset"], strict=True)) == sorted(want)
     assert pack_best_fit(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_hot_ids_are_sorted_by_ranges(spark, monkeypatch):
     """A repeated id fills a bucket; the other way gives the same positions."""
-    from tickloom.llm import mixing
+    from tickloom.llm import mixing, packing
 
     rows = [(None if i % 3 == 0 else i, f"text {i % 40}", "en", "s", 1) for i in range(600)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)

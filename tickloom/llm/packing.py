@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import id_type
+from tickloom.llm.common import id_type, settle
 
 #: Pieces that are packed together; a window holds all open bins, so this bounds a task's memory.
 WINDOW = 8192
@@ -20,8 +21,8 @@ class Bins:
 
     ``place`` starts at the smallest residual that holds the piece and goes on to the successors
     until a bin has neither the piece's cluster nor its source in every plane: that bin is the
-    tightest compatible one.  Which residuals have bins is one integer's bits, so a successor is
-    found by shifting it.
+    tightest compatible one, and of those with one residual the first that was opened.  Which
+    residuals have bins is one integer's bits, so a successor is found by shifting it.
     """
 
     def __init__(self, capacity: int, per_source: int):
@@ -62,7 +63,7 @@ class Bins:
         plane = next(i for i, p in enumerate(self.sources[b]) if not p & s)
         self.sources[b][plane] |= s
         residual = self.capacity - self.used[b]
-        self.at.setdefault(residual, []).append(b)
+        insort(self.at.setdefault(residual, []), b)
         self.mask |= 1 << residual
         return offset
 
@@ -93,20 +94,26 @@ def pack_best_fit(
     Returns one row a piece: the id column, ``piece`` (from 0), ``start`` and ``length`` in code
     points, ``source`` (text), ``cluster`` long, ``bin_id`` long, ``bin_offset``, ``bin_used``.
     Rows are dealt by a hash to windows of about 8,192 pieces, each packed on its own; only
-    lengths, sources and hashes are shuffled, never texts.  A window that repeated rows make much
-    larger is packed in runs of 4 times that, so no task holds an unbounded group.
-
-    Null and empty texts are one piece of length 0.  Null ids and sources are values like others.
-    Repeated rows are placed once each, in different bins.  An empty table gives an empty one.
+    lengths, sources and hashes are shuffled, never texts.  Rows alike are counted first and then
+    numbered, so they are dealt to different windows; a window that chance makes much larger is
+    packed in runs of 4 times that, so no task holds an unbounded group.
+
+    Null and empty texts are one piece of length 0; a very long text is as many pieces as it fills
+    bins.  Null ids and sources are values like others.  Repeated rows are placed once each, in
+    different bins.  An empty table gives an empty one.  Other columns are not read, whatever their
+    names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     cluster = F.xxhash64(text) if cluster_col is None else F.xxhash64(F.col(cluster_col).cast("string"))
     length = F.char_length(text).cast("long")
     rows = docs.select(F.col(id_col).alias("pk_id"), F.col(source_col).cast("string").alias("source"), length.alias("n"), cluster.alias("c"))
+    rows = rows.groupBy("pk_id", "source", "n", "c").agg(F.count(F.lit(1)).alias("alike"))
+    rows = settle(rows, "to_pack")
     pieces = F.greatest(F.ceil(F.col("n") / capacity), F.lit(1)).cast("int")
-    total = rows.agg(F.sum(pieces)).first()[0] or 0
+    total = rows.agg(F.sum(pieces * F.col("alike"))).first()[0] or 0
     groups = max(1, -(-int(total) // WINDOW))
-    cut = rows.select("pk_id", "source", "n", "c", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    cut = rows.select("pk_id", "source", "n", "c", "alike", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike"))).alias("number"))
     cut = cut.select(
         "pk_id",
         "piece",
@@ -114,9 +121,11 @@ def pack_best_fit(
         F.greatest(F.least(F.col("n") - F.col("piece").cast("long") * capacity, F.lit(capacity)), F.lit(0)).cast("long").alias("length"),
         "source",
         F.when(F.col("piece") == 0, F.col("c")).otherwise(F.xxhash64("c", "piece")).alias("cluster"),
-    ).withColumn("window", F.pmod(F.xxhash64("pk_id", "piece", "cluster"), F.lit(groups)))
-    partitions = min(groups, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 4)
-    dealt = cut.repartition(partitions, "window").sortWithinPartitions("window", F.desc("length"), "pk_id", "piece", "cluster", "source")
+        "number",
+    ).withColumn("window", F.pmod(F.xxhash64("pk_id", "piece", "cluster", "number"), F.lit(groups)))
+    # a task packs its windows one after the other
+    partitions = min(groups, max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups // 64))
+    dealt = cut.repartition(partitions, "window").sortWithinPartitions("window", F.desc("length"), "pk_id", "piece", "cluster", "source", "number").drop("number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(part: pa.Table, window: int, first: int) -> tuple[list[pa.RecordBatch], int]:
