@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
 import duckdb
 import numpy as np
 import pytest
 from edge import SCHEMA, documents
 from pyspark.sql import functions as F
-from test_near import brute_near
+from test_mixing_packing import brute_pack
+from test_near import brute_near, brute_repeats
+from test_secrets_toxicity import plain_base
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -42,11 +47,97 @@ COLUMNS = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(COLUMNS))
-def test_queries_give_their_columns(spark, name):
+def run_query(spark, name):
     out = entry.queries()[name](spark, SF_DIR).toPandas()
-    n = spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
-    assert set(COLUMNS[name].split()) <= set(out.columns) and out["doc_id"].nunique() == n and (name.startswith("op10") or len(out) == n)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    assert set(COLUMNS[name].split()) <= set(out.columns) and set(out["doc_id"]) == set(texts) and (name.startswith("op10") or len(out) == len(texts))
+    return out, texts
+
+
+def test_op2_query_matches_brute_force(spark):
+    out, texts = run_query(spark, "op2_suffix_dedup")
+    want = brute_repeats(list(texts.items()))
+    assert all(want[r.doc_id] == (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.itertuples())
+
+
+def test_op3_query_matches_plain_texts(spark):
+    out, texts = run_query(spark, "op3_iblt_fingerprints")
+    out = out.set_index("doc_id")
+    ids, prints = sorted(texts, reverse=True), {}
+    for i, after in zip(ids, [*ids[1:], ids[0]], strict=True):
+        text, third, r = texts[i], len(texts[i]) // 3, out.loc[i]
+        edited = text[: len(text) - third] + texts[after][:third]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest()) and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert prints.setdefault(text, r.fingerprint) == r.fingerprint and prints.setdefault(edited, r.edited_fingerprint) == r.edited_fingerprint
+        assert (text != texts[after] or r.near_next == 1) and (text != edited or r.near_edited == 1)
+
+
+def test_op6_query_matches_the_tokenizer(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    out, texts = run_query(spark, "op6_token_binary")
+    model, at = tokenizers.Tokenizer.from_file(registry.tokenizer_path()), 0
+    for r in out.sort_values("doc_id").itertuples():
+        ids = [*model.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_op7_query_keeps_its_law(spark):
+    out, texts = run_query(spark, "op7_balanced_shards")
+    assert all((r.size, r.text_crc32) == (len(texts[r.doc_id].encode()) + 1, zlib.crc32(texts[r.doc_id].encode())) for r in out.itertuples())
+    sizes = out.groupby("shard")["size"].sum()
+    assert set(out["law"]) == {"bytes"} and sorted(sizes.index) == list(range(16)) and out["grown_shard"].isna().all()
+    even = sizes.sum() / 16
+    assert sizes.max() - sizes.min() <= out["size"].max() and (abs(sizes - even) <= max(0.25 * even, out["size"].max() - even)).all()
+    assert all(sorted(own["slot"]) == list(range(len(own))) for _, own in out.groupby("shard"))
+
+
+def test_op8_query_matches_the_patterns(spark):
+    out, texts = run_query(spark, "op8_secret_scan")
+    order = ("assign", "access", "hex")
+    for r in out.itertuples():
+        base = sorted(plain_base(texts[r.doc_id]), key=lambda s: (s[0], order.index(s[2])))
+        joined = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[2] == k for s in base) for k in order)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        spans = [x for x in r.spans.split(",") if x]
+        assert [x for x in spans if not x.startswith("novel")] == joined.split(",") * bool(joined) and len(spans) == len(base) + r.n_novel
+
+
+def test_op9_query_matches_the_scorer(spark):
+    out, texts = run_query(spark, "op9_toxicity")
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    score = fit_toxicity(docs, labels).scorer().score
+    for r in out.itertuples():
+        assert r.score == score(texts[r.doc_id]) and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_op10_query_matches_a_plain_search(spark):
+    out, texts = run_query(spark, "op10_best_fit_packing")
+    assert out.groupby("doc_id")["length"].sum().to_dict() == {i: len(t) for i, t in texts.items()}
+    for _, own in out.groupby(out["bin_id"] // 2**32):
+        own = own.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True])
+        want, _ = brute_pack(own["length"].tolist(), own["source"].tolist(), own["cluster"].tolist(), 16_384, 4)
+        assert [(b % 2**32, o) for b, o in zip(own["bin_id"], own["bin_offset"], strict=True)] == want
+
+
+def test_pipeline_on_empty_tables_and_other_columns(spark, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, rows in (("documents", docs), ("labels", labels)):
+        rows.write.parquet(str(tmp_path / "empty" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+    more = spark.createDataFrame([(1, "the same text here twice", None, None, 1), (1, "the same text here twice", None, None, 1), (None, None, "en", "s", None), (3, "", "en", "s", 0)], SCHEMA)
+    more = more.withColumns({"copy": F.lit("c"), "score": F.lit(1.5), "id": F.lit("x"), "bands": F.lit(0)})
+    more.write.parquet(str(tmp_path / "more" / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "more" / "labels.parquet"))
+    now = spark.read.parquet(str(tmp_path / "more" / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, str(tmp_path / "more"))
+        if name != "packing":
+            assert out.columns == more.columns and {r["copy"] for r in out.collect()} <= {"c"}, name
+        out.write.parquet(str(tmp_path / "more" / name))
+        now = spark.read.parquet(str(tmp_path / "more" / name))
 
 
 def test_pipeline_stages_match_plain_ones(spark, tmp_path):

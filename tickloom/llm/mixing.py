@@ -12,6 +12,8 @@ from tickloom.llm.common import fresh, key_text, power_of_two, sent, settle, sma
 
 #: Means above this are drawn as a sum of independent draws, so that exp(-mean) stays exact.
 CHUNK_MEAN = 50.0
+#: Columns that the draw adds.
+DRAWN = ("copy", "n_copies", "rate", "position")
 
 
 def poisson_table(mean: Column) -> Column:
@@ -99,12 +101,15 @@ def mix_in_order(docs: DataFrame, weights: Mapping[str | None, float] | None = N
     Partition k holds the k-th range of the placing hash, sorted, so what is written of it is the
     global shuffle, file by file.  Nulls, ties, repeats and empty tables as there.
     """
+    # columns of the input that are called like those of the draw keep their values under other names meanwhile
+    names, other = docs.columns, {c: f"mix_kept_{i}" for i, c in enumerate(docs.columns) if c.lower() in DRAWN}
+    docs = docs.withColumnsRenamed(other)
     copies, rows, size = drawn_copies(docs, weights, default_weight, epochs, seed, id_col, source_col, text_col)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
     key, tie, part = fresh(copies, "mix_hash"), fresh(copies, "mix_tie"), fresh(copies, "mix_part")
     keyed = copies.withColumns({key: place_hash(seed, id_col), tie: row_hash(copies)})
     keyed = keyed.withColumn(part, F.least(F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * parts / (1 << 32)), F.lit(parts - 1)).cast("int"))
-    return keyed.repartitionById(parts, part).sortWithinPartitions(key, id_col, "copy", tie).select(docs.columns)
+    return keyed.repartitionById(parts, part).sortWithinPartitions(key, id_col, "copy", tie).select(*[F.col(other.get(c, c)).alias(c) for c in names])
 
 
 def drawn_copies(docs: DataFrame, weights: Mapping[str | None, float] | None, default_weight: float, epochs: float, seed: int, id_col: str, source_col: str, text_col: str) -> tuple[DataFrame, int, int]:
@@ -114,7 +119,7 @@ def drawn_copies(docs: DataFrame, weights: Mapping[str | None, float] | None, de
     go to every task, beyond they are joined with each source's rows dealt over 64 salts.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("copy", "n_copies", "rate", "position")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in DRAWN])
     rates = source_rates(docs, weights, default_weight, epochs, source_col=source_col, text_col=text_col)
     src = fresh(docs, "mix_source")
     small = small_or_none(rates)
