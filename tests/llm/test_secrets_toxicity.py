@@ -225,6 +225,9 @@ def test_toxicity_edges(spark):
     model = fit_toxicity(docs, no_labels)
     out = score_toxicity(docs, model).toPandas().sort_values("score")
     assert out["predicted"].tolist() == [0, 0, 1, 1] and out["score"].iloc[0] == out["score"].iloc[1]
+    # a very long text is scored whole: its last words count
+    long = spark.createDataFrame([(1, "plain words " * 60_000 + "you idiot, you moron", "", "", 0), (2, "plain words " * 60_000, "", "", 0)], SCHEMA)
+    assert [r["predicted"] for r in score_toxicity(long, model).orderBy("doc_id").collect()] == [1, 0] and [r["doc_id"] for r in drop_toxic(long, model).collect()] == [2]
     odd = spark.createDataFrame([(1, 1, None), (None, 1, 1), (1, 1, 7)], "doc_id long, quality int, toxic int")
     assert fit_toxicity(docs, odd).terms == model.terms
     assert score_toxicity(spark.createDataFrame([], SCHEMA), model).count() == 0 and drop_toxic(spark.createDataFrame([], SCHEMA), model).count() == 0

@@ -217,8 +217,16 @@ def test_fingerprint_edges(spark):
     assert edited_fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
     one = edited_fingerprints(spark.createDataFrame([(1, "abc def", "", "", 1)], SCHEMA)).first()
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"abc dab").hexdigest()
-    rows = [(None, "n", "", "", 1), (2, "bbb", "", "", 1), (2, "bbb", "", "", 1), (2, "ccc", "", "", 1), (None, None, "", "", 1)]
-    assert edited_fingerprints(spark.createDataFrame(rows, SCHEMA)).count() == 5
+    rows = [(None, "nnn", "", "", 1), (2, "bbbbbb", "", "", 1), (2, "bbbbbb", "", "", 1), (2, "cccccc", "", "", 1), (None, None, "", "", 1), (9, "dddddd", "", "", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    hashed = {r["t"]: r["h"] for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(((i if i is not None else -1, hashed[t or ""], t or "") for i, t, *_ in rows), reverse=True)
+    want = []
+    for k, (i, _, t) in enumerate(order):
+        after, third = order[(k + 1) % len(order)][2], len(t) // 3
+        want.append((i, hashlib.sha256((t[: len(t) - third] + after[:third]).encode()).hexdigest()))
+    got = [(r["doc_id"] if r["doc_id"] is not None else -1, r["edited_sha256"]) for r in edited_fingerprints(docs).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_sketches_fold_and_retry(spark):

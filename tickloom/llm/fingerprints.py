@@ -241,7 +241,10 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null texts are empty; two texts without paragraphs are alike (1.0).  A single row is its own
-    successor.  Repeated rows follow one another.  An empty table gives an empty one.
+    successor.  Rows with one id follow one another by a hash of the text, rows alike in both in any
+    order.  Null ids come last; ids are whole numbers.  A very long text has a longer fingerprint and
+    costs n * sqrt(n) for n paragraphs.  An empty table gives an empty one.  Other columns, whatever
+    their names, are not read.
     """
     rows = with_next(docs, id_col=id_col, text_col=text_col)
     n, third = F.char_length("text"), (F.char_length("text") / 3).cast("int")

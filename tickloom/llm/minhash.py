@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, part: int = 80, whole: i
 
     Very long texts are hashed in bounded chunks of texts.  Columns of other names are not read.
     Null, empty and blank texts have no shingles and link with nothing.  Rows with equal ids count
-    as one document.  A null id has a null component and is kept.  Empty tables give empty ones.
+    as one document; ids are whole numbers.  A null id has a null component and is kept.  Empty tables
+    give empty ones.
     """
     bounded_batches(docs)
     sig = settle(signatures(docs, words, id_col, text_col), "signatures")

@@ -120,7 +120,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec
 
     Null vectors and those that are empty, zero or hold null or non-finite components link with
     nothing, as do vectors of different dimensions.  Rows with equal ids count one by one in
-    n_links and share a component.  A null id has a null component, is kept and links with
+    n_links and share a component; ids are whole numbers.  A null id has a null component, is kept and links with
     nothing.  Empty tables give empty ones.  Other columns, whatever their names, are not read.
     """
     # single-precision vectors travel as such: nothing is lost, and cosines are taken in doubles

@@ -276,8 +276,9 @@ def _calibrate(model: ToxicModel, kept: DataFrame) -> None:
 def score_toxicity(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.7) -> DataFrame:
     """Score every whole text: the id column, held_out, score, predicted, n_hits, n_near, n_quoted.
 
-    Null and empty texts score the intercept alone.  Repeated rows score alike; a null id is in the
-    fold of an empty text.  An empty table gives an empty one.  Other columns are not read.
+    Null and empty texts score the intercept alone; texts of any length are scored whole.  Repeated
+    rows score alike; a null id is in the fold of an empty text.  An empty table gives an empty one.
+    Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +296,11 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, *, text_col: str = "text", reject: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, whole, whose text scores below ``reject``.  Repeated rows stay repeated."""
+    """The rows of ``docs``, whole, whose text scores below ``reject``.
+
+    Null and empty texts score the intercept alone, texts of any length are scored whole.  Repeated rows
+    stay repeated; ids and other columns are not looked at.  An empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
