@@ -66,6 +66,33 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+#: Every string of 100 bytes, by its MD5 as a number.
+OP2_SQL = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), string AS (
+  SELECT doc_id, p, md5_number((b[p + 1:p + 100])::VARCHAR) AS x FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS p FROM d)
+), earliest AS (
+  SELECT x, min({'doc_id': doc_id, 'p': p}) AS e FROM string GROUP BY x HAVING count(*) > 1
+), later AS (
+  SELECT doc_id, p FROM string JOIN earliest USING (x) WHERE {'doc_id': doc_id, 'p': p} > e
+), run AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r
+  FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM later)
+), span AS (
+  SELECT doc_id, r, min(p) AS lo, max(p) + 100 AS hi FROM run GROUP BY doc_id, r
+), kept AS (
+  SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS z, 1 AS spans FROM span
+  UNION ALL
+  SELECT d.doc_id, coalesce(max(hi), 0), any_value(octet_length(b)), 0 FROM d LEFT JOIN span ON span.doc_id = d.doc_id GROUP BY d.doc_id
+), rest AS (
+  SELECT d.doc_id, any_value(octet_length(b))::BIGINT AS n_bytes, sum(spans)::BIGINT AS n_spans, string_agg(hex(b[a + 1:z]), '' ORDER BY a) AS left_over
+  FROM kept JOIN d USING (doc_id) GROUP BY d.doc_id
+)
+SELECT doc_id, n_bytes, n_bytes - length(left_over) // 2 AS n_removed, n_spans, sha256(unhex(left_over)) AS kept_sha256 FROM rest
+"""
+
+
 def op3_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -169,4 +196,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op4_projection_dedup": OP4_SQL, "op5_minhash_near_dedup": OP5_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op4_projection_dedup": OP4_SQL, "op5_minhash_near_dedup": OP5_SQL}
