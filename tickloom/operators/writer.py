@@ -247,7 +247,8 @@ class StoreWriter:
         per_key = files.groupBy("key").agg(F.min(time).alias("first"), F.max(time).alias("end")).collect()
         first = min(r["first"] for r in per_key)
         if len(per_key) <= NAMED_KEYS:
-            lasts = {r["key"]: r["last"] for r in self._stored_lasts([r["key"] for r in per_key], first).collect()}
+            held = [r["key"] for r in per_key if self.files.exists(f"data/key={self.files.escaped(r['key'])}")]
+            lasts = {r["key"]: r["last"] for r in self._stored_lasts(held, first).collect()} if held else {}
             behind = sum(r["first"] <= lasts.get(r["key"], -1) for r in per_key)
         else:
             firsts = self.spark.createDataFrame([(r["key"], r["first"]) for r in per_key], "key string, first long")
