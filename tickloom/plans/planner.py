@@ -111,6 +111,7 @@ def plan(query: Query, bars: DataFrame, retention: Retention = Retention(), *, p
     rows = of_key(bars, query.key)
     low, high = query.window()
     known = facts(query.key) if facts and (retention.max_age or retention.max_bars or query.limit) else None
+    known = known if known and known[0] else None
     if retention.max_age:
         low = max(low, max(0, known[2] - retention.max_age) if known else age_cut(bars, query.key, retention.max_age))
     rows = rows.where(in_buckets(low, high, bucket) & in_window(low, high))
