@@ -276,14 +276,34 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
 
     few = contexts.where(F.col("kinds") <= HOT).repartition("h").sortWithinPartitions("h", "d", "t", "a")
     found = few.select("h", "d", "t", "a", "lead", "span", "bytes").mapInArrow(refined, "d long, t long, s1 long, s2 long")
-    # hot buckets: every string is a key, pre-aggregated to its first start
-    lot = contexts.where(F.col("kinds") > HOT).select("d", "t", (F.col("a") - F.col("lead")).alias("s"), "bytes", F.posexplode(F.sequence(F.lit(1), F.col("span").cast("int"))))
-    strings = lot.select("d", "t", (F.col("s") + F.col("pos")).alias("s"), F.substring("bytes", F.col("col"), F.lit(length)).alias("str"))
-    least = strings.groupBy("str").agg(F.min(F.struct("d", "t", "s")).alias("first"))
-    late = strings.join(least, "str").where(F.struct("d", "t", "s") > F.col("first")).select("d", "t", F.col("s").alias("s1"), F.col("s").alias("s2"))
+    # hot buckets: every string is a key, pre-aggregated to its first start; any contexts that come together
+    # first find what repeats among them, so that a common passage sends its strings once a group
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                rows = whole.slice(at, TOGETHER)
+                d, t, a = (rows.column(k).to_numpy() for k in ("d", "t", "a"))
+                order = np.lexsort((a, t, d))
+                d, t, a = d[order], t[order], a[order]
+                lead, span = (rows.column(k).to_numpy()[order].astype(np.int64) for k in ("lead", "span"))
+                raw = rows.column("bytes").take(pa.array(order)).to_pylist()
+                here = refine(raw, lead, span, length)
+                row, first, last = runs_of(here)
+                alone, col = np.nonzero(~here & (np.arange(here.shape[1]) < span[:, None]))
+                of, lo, hi = np.concatenate((row, alone)), np.concatenate((first, col)), np.concatenate((last, col))
+                start = (a - lead)[of]
+                strings = pa.array([None] * len(row) + [raw[r][c : c + length] for r, c in zip(alone.tolist(), col.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(d[of]), pa.array(t[of]), pa.array(start + lo), pa.array(start + hi), strings], ["d", "t", "s1", "s2", "str"])
+
+    hot = contexts.where(F.col("kinds") > HOT).select("d", "t", "a", "lead", "span", "bytes").mapInArrow(combined, "d long, t long, s1 long, s2 long, str binary")
+    hot = settle(hot, "strings")
+    strings = hot.where("str IS NOT NULL")
+    least = strings.groupBy("str").agg(F.min(F.struct("d", "t", "s1")).alias("first"))
+    late = strings.join(least, "str").where(F.struct("d", "t", "s1") > F.col("first")).select("d", "t", "s1", "s2")
+    late = late.union(hot.where("str IS NULL").select("d", "t", "s1", "s2"))
     out = settle(sure.union(found).union(late), "repeats")
-    discard(marked)
-    discard(contexts)
+    for made in (marked, contexts, hot):
+        discard(made)
     return out
 
 
