@@ -59,12 +59,15 @@ _stores: dict[tuple[int, str, str], StoreReader] = {}
 
 
 def _store(spark: SparkSession, sf_dir: str, schema: RecordSchema) -> StoreReader:
-    """The events as a store of bars, in buckets of three days, or of ticks; written once a session."""
+    """The events as a store of bars, in buckets of three days, or of ticks; written once a session.
+
+    Nothing keeps events of one type from sharing a stamp, and the SQL has them all, so stamps may repeat.
+    """
     held = _stores.get((id(spark), sf_dir, schema.name))
     if held is None or held.spark is not spark:
         path = scratch(spark, schema.name.lower())
         rows = bars(spark, sf_dir) if schema is BAR else ticks(spark, sf_dir)
-        writer = StoreWriter(spark, path, schema, bucket=dt.timedelta(days=3) if schema is BAR else None)
+        writer = StoreWriter(spark, path, schema, bucket=dt.timedelta(days=3) if schema is BAR else None, repeats=True)
         writer.append_frame(rows.select("key", *[c.name for c in schema.columns]))
         held = _stores[(id(spark), sf_dir, schema.name)] = StoreReader(spark, path, schema)
     return held
@@ -72,7 +75,7 @@ def _store(spark: SparkSession, sf_dir: str, schema: RecordSchema) -> StoreReade
 
 def _runner(spark: SparkSession, sf_dir: str, retention: Retention = Retention(), **options) -> Runner:
     held = _store(spark, sf_dir, BAR)
-    return Runner(held.of, retention, bucket=held.width, facts=held.facts, **options)
+    return Runner(held.of, retention, bucket=held.width, facts=held.facts, ties=held.ties, **options)
 
 
 def _text(name: str, text: str, sql: str, *, direction: bool = False, retention: Retention = Retention(), **options) -> None:
@@ -222,7 +225,7 @@ _oracles["builder_query"] = _oracles["text_round_trip"] = _sql(f"SELECT datetime
 # stores
 def _stored(spark: SparkSession, sf_dir: str, name: str, bucket: dt.timedelta | None = None, upto: int = 0) -> tuple[StoreWriter, str]:
     path = scratch(spark, name)
-    writer = StoreWriter(spark, path, BAR, bucket=bucket)
+    writer = StoreWriter(spark, path, BAR, bucket=bucket, repeats=True)
     rows = bars(spark, sf_dir).select("key", *[c.name for c in BAR.columns])
     writer.append_frame(rows.where(F.col("datetime") < T0))
     if not upto:
@@ -265,7 +268,7 @@ _read("compare_columns", lambda r: r.window(KEY).select("datetime", r.schema.fie
 def _resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What writers remember: one commits up to T0, another resumes after each key's last stamp, late rows are dropped."""
     _, path = _stored(spark, sf_dir, "resumed", upto=T0)
-    again = StoreWriter(spark, path, BAR)
+    again = StoreWriter(spark, path, BAR, repeats=True)
     again.append_frame(bars(spark, sf_dir).select("key", *[c.name for c in BAR.columns]).where(F.col("datetime") >= T0 - DAY), late="drop")
     store = StoreReader(spark, path, BAR)
     touched = spark.createDataFrame([(k, again.last(k)) for k in again.keys()], "key string, last long")

@@ -1,4 +1,4 @@
-"""Appending records to a store, in strictly increasing time order for each key."""
+"""Appending records to a store, in increasing time order for each key: strictly, unless stamps may repeat."""
 
 from __future__ import annotations
 
@@ -43,11 +43,12 @@ class StoreWriter:
     A batch is checked whole before any of it is seen, and comes by one commit.  Each
     flush is a new group of files; files never change.  With a ``policy`` rows wait in memory until
     ``sync``, ``sync_if_due``, ``seal`` or ``close``.  With ``lock`` a second writer that asks for
-    the lock too is refused with BusyError until this one is closed.
+    the lock too is refused with BusyError until this one is closed.  With ``repeats``, for all of
+    the store's life, records of a key may share a stamp, and all of them are kept.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: RecordSchema, *, bucket: dt.timedelta | None = None, segment_records: int = 0, policy: FlushPolicy | None = None, lock: bool = False):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: RecordSchema, *, bucket: dt.timedelta | None = None, segment_records: int = 0, policy: FlushPolicy | None = None, lock: bool = False, repeats: bool = False):
+        self.spark, self.path, self.schema, self.repeats = spark, path.rstrip("/"), schema, repeats
         self.files, self.policy, self.segment_records = Files(spark, self.path), policy, segment_records
         self.width = 0
         if bucket is not None:
@@ -55,11 +56,11 @@ class StoreWriter:
             if schema.unit is TimeUnit.UNKNOWN or self.width < 1:
                 raise InvalidRecordError(f"a bucket of {bucket} holds no stamp of unit {schema.unit.value}")
         self.files.make()
-        meta = json.dumps({"schema": json.loads(schema.to_json()), "bucket": self.width}, sort_keys=True)
+        meta = json.dumps({"schema": json.loads(schema.to_json()), "bucket": self.width} | ({"repeats": True} if repeats else {}), sort_keys=True)
         if not self.files.exists(META):
             self.files.write(META, meta)
         elif self.files.read(META) != meta:
-            raise CorruptError(f"{self.path} holds other records or buckets than {schema}")
+            raise CorruptError(f"{self.path} holds other records or buckets than {schema}, or differs in whether stamps may repeat")
         self._locked = lock
         if lock and not self.files.create(LOCK):
             raise BusyError(f"{self.path} has a writer; if that one is gone, delete {LOCK}")
@@ -117,7 +118,7 @@ class StoreWriter:
             return
         last, at = self.last(key), self.schema.time_index
         for i, row in enumerate(rows):
-            if last is not None and row[at] <= last:
+            if last is not None and (row[at] < last or row[at] == last and not self.repeats):
                 raise OutOfOrderError(f"record {i}: stamp {row[at]} does not follow {last}")
             last = row[at]
         if self.policy is None:
@@ -159,7 +160,9 @@ class StoreWriter:
         """Append a DataFrame of key and the schema's columns, of any size and many keys.
 
         Rows have no order of their own, so a key's stamps have to be distinct and after its stored
-        ones.  ``late="drop"`` leaves out rows that aren't after, and repeats within the batch.
+        ones.  ``late="drop"`` leaves out rows that aren't after, and repeats within the batch.  Where
+        stamps may repeat, a batch may hold them more than once and begin at the last stored one, and
+        ``late="drop"`` leaves out only what isn't after the stored ones.
 
         A batch is written in its final layout to a folder beside the data, in one shuffle, and its files
         are moved when all checks have passed, so what was checked is what is stored.  Repeats are found
@@ -183,7 +186,7 @@ class StoreWriter:
             if found["bad_keys"]:
                 raise InvalidRecordError(f"{found['bad_keys']} records: a key has 1 to {MOST_KEY_BYTES} bytes")
             behind, ends = self._behind(staged)
-            if found["repeats"] or behind:
+            if (found["repeats"] and not self.repeats) or behind:
                 raise OutOfOrderError(f"{found['repeats']} records repeat a stamp of their key; {behind} keys begin at or before a stored stamp")
             self.files.move_files(staged, "data")
             if len(ends) > NAMED_KEYS:
@@ -220,7 +223,7 @@ class StoreWriter:
     def _stage(self, rows: DataFrame, staged: str, *, drop: bool) -> dict[str, int]:
         """Write ``rows`` in their final layout to ``staged``; how many there are, and what is wrong with how many.
 
-        With ``drop`` of the records with one stamp one is written.
+        With ``drop`` of the records with one stamp one is written, unless stamps may repeat.
         """
         rules = faults(self.schema)
         bad_key = F.col("key").isNull() | ~F.octet_length("key").between(1, MOST_KEY_BYTES)
@@ -231,7 +234,7 @@ class StoreWriter:
         out, parts = self._laid_out(rows.withColumn("_fault", F.coalesce(fault, F.lit(-1))), ["_fault"])
         # equal keys and stamps are neighbours in one range already
         twin = F.row_number().over(Window.partitionBy(*parts, self.schema.time.stored).orderBy(self.schema.time.stored)) > 1
-        out = out.withColumn("_twin", twin)
+        out = out.withColumn("_twin", F.lit(False) if self.repeats else twin)
         out = out.where("NOT _twin") if drop else out
         seen = Observation()
         counts = [F.count(F.when(F.col("_fault") == i, 1)).alias(f"f{i}") for i in range(len(rules) + 1)]
@@ -241,7 +244,7 @@ class StoreWriter:
         return found | {"bad_keys": found[f"f{len(rules)}"]}
 
     def _behind(self, staged: str) -> tuple[int, dict[str, int]]:
-        """How many keys of a staged batch begin at or before a stored stamp, and the last stamp of each."""
+        """How many keys of a staged batch begin at or before a stored stamp (before, if stamps may repeat), and the last stamp of each."""
         time, shape = self.schema.time.stored, store_schema(self.schema, bool(self.width))
         files = footer_session(self.spark).read.schema(shape).parquet(f"{self.path}/{staged}")
         per_key = files.groupBy("key").agg(F.min(time).alias("first"), F.max(time).alias("end")).collect()
@@ -249,10 +252,10 @@ class StoreWriter:
         if len(per_key) <= NAMED_KEYS:
             held = [r["key"] for r in per_key if self.files.exists(f"data/key={self.files.escaped(r['key'])}")]
             lasts = {r["key"]: r["last"] for r in self._stored_lasts(held, first).collect()} if held else {}
-            behind = sum(r["first"] <= lasts.get(r["key"], -1) for r in per_key)
+            behind = sum(r["first"] < lasts.get(r["key"], -1) + (not self.repeats) for r in per_key)
         else:
             firsts = self.spark.createDataFrame([(r["key"], r["first"]) for r in per_key], "key string, first long")
-            behind = self._stored_lasts(None, first).join(firsts, "key").where("first <= last").count()
+            behind = self._stored_lasts(None, first).join(firsts, "key").where("first < last" if self.repeats else "first <= last").count()
         return behind, {r["key"]: r["end"] for r in per_key}
 
     def _stored_lasts(self, keys: list[str] | None, first: int) -> DataFrame:
@@ -286,7 +289,8 @@ class StoreWriter:
         return out.repartitionByRange(*parts, time), parts
 
     def _save(self, out: DataFrame, parts: list[str], folder: str) -> None:
-        writer = out.sortWithinPartitions(*parts, self.schema.time.stored).write.mode("append").partitionBy(*parts)
+        ties = [F.col(c) for c in self.schema.ties()] if self.repeats else []
+        writer = out.sortWithinPartitions(*parts, self.schema.time.stored, *ties).write.mode("append").partitionBy(*parts)
         if self.segment_records:
             writer = writer.option("maxRecordsPerFile", self.segment_records)
         writer.parquet(f"{self.path}/{folder}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -100,13 +100,19 @@ def in_buckets(low: int, high: int | None, bucket: int) -> Column:
     return in_window(low // bucket, None if high is None else high // bucket, "time_bucket") if bucket else F.lit(True)
 
 
-def plan(query: Query, bars: DataFrame, retention: Retention = Retention(), *, price_compare: str = "round", bucket: int = 0, facts: Callable[[str], tuple[int, int, int]] | None = None) -> DataFrame:
+def by_time(rows: DataFrame, newest: bool, ties: Sequence[str] = ()) -> DataFrame:
+    """``rows`` by their stamps; records with one stamp by the columns ``ties``, in either direction."""
+    return rows.orderBy(F.desc("datetime") if newest else F.asc("datetime"), *ties)
+
+
+def plan(query: Query, bars: DataFrame, retention: Retention = Retention(), *, price_compare: str = "round", bucket: int = 0, facts: Callable[[str], tuple[int, int, int]] | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """The query's records in stored form, limited but in no order that a reader may rely on.
 
     Order of work: key, window and range conditions on datetime, age, newest ``max_bars``; then the
     other conditions, then the limit.  Catalyst pushes what it may to the files; a filter never
     passes below the inner limit.  ``bucket`` is the width of the store's time buckets, if it has
-    them.  With ``facts`` limits over large keys stop at the end they want.
+    them.  With ``facts`` limits over large keys stop at the end they want.  Where stamps repeat,
+    ``ties`` are the columns that decide which of them a limit takes.
     """
     rows = of_key(bars, query.key)
     low, high = query.window()
@@ -119,7 +125,7 @@ def plan(query: Query, bars: DataFrame, retention: Retention = Retention(), *, p
     def limited(rows: DataFrame, limit: int, newest: bool) -> DataFrame:
         if known and known[0] > max(PROBE_ROWS, 4 * limit):
             rows = near_end(rows, limit, newest, (max(low, known[1]), known[2] if high is None else min(high, known[2])), known[0], bucket)
-        return rows.orderBy(F.desc("datetime") if newest else F.asc("datetime")).limit(limit)
+        return by_time(rows, newest, ties).limit(limit)
 
     if retention.max_bars:
         rows = limited(rows, retention.max_bars, True)
@@ -127,7 +133,7 @@ def plan(query: Query, bars: DataFrame, retention: Retention = Retention(), *, p
     left = [c for c in query.conds if not (c.field is Field.DATETIME and c.op in ranges)]
     rows = rows.where(every([condition(c, price_compare=price_compare) for c in left]))
     if query.limit and retention.max_bars:
-        return rows.orderBy(F.desc("datetime") if query.newest_first_ else F.asc("datetime")).limit(query.limit)
+        return by_time(rows, query.newest_first_, ties).limit(query.limit)
     return limited(rows, query.limit, query.newest_first_) if query.limit else rows
 
 

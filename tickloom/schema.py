@@ -222,6 +222,10 @@ class RecordSchema:
     def record_size(self) -> int:
         return sum(c.width for c in self.columns)
 
+    def ties(self) -> tuple[str, ...]:
+        """The stored columns by which records with one stamp stand, the last declared first: counts and sizes before prices."""
+        return tuple(c.stored for c in reversed(self.columns) if not c.time)
+
     @property
     def stats_columns(self) -> tuple[Column, ...]:
         """Columns whose minima and maxima files carry: all but the time and byte columns."""

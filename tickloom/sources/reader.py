@@ -19,9 +19,12 @@ class Reader:
     """Reads over records: a DataFrame of key and a schema's columns.
 
     A limit takes the newest records of the window, unlike a query's, which takes the oldest
-    matches unless told otherwise.  A bound of 0 leaves that side of the window open.
+    matches unless told otherwise.  A bound of 0 leaves that side of the window open.  Records with
+    one stamp, where there can be such, stand in the order of the columns ``ties``.
     """
 
+    ties: tuple[str, ...] = ()
+
     def __init__(self, records: DataFrame, schema: RecordSchema, *, check_key: bool = True):
         self.records, self.schema, self.check_key = records, schema, check_key
         self.time = schema.time.name
@@ -36,12 +39,15 @@ class Reader:
         """The window's records with their stored columns, in no order."""
         return self._key(key).where(in_window(start, end or None, self.time))
 
+    def _ordered(self, rows: DataFrame, newest: bool = False) -> DataFrame:
+        return rows.orderBy(F.desc(self.time) if newest else F.asc(self.time), *self.ties)
+
     def _newest(self, rows: DataFrame, limit: int) -> DataFrame:
-        return rows.orderBy(F.desc(self.time)).limit(limit) if limit > 0 else rows
+        return self._ordered(rows, True).limit(limit) if limit > 0 else rows
 
     def range(self, key: str, start: int = 0, end: int = 0, limit: int = 0) -> DataFrame:
         """The window's newest ``limit`` records (all if 0 or less), oldest first."""
-        return self._newest(self.window(key, start, end), limit).orderBy(self.time).select(self.names)
+        return self._ordered(self._newest(self.window(key, start, end), limit)).select(self.names)
 
     def all(self, key: str, start: int = 0, end: int = 0, limit: int = 0) -> Iterator[Row]:
         return self.range(key, start, end, limit).toLocalIterator()
@@ -53,7 +59,7 @@ class Reader:
     def cursor_frame(self, key: str, start: int = 0, end: int = 0, limit: int = 0) -> DataFrame:
         """Oldest first without a limit, newest first with one."""
         rows = self._newest(self.window(key, start, end), limit)
-        return rows.orderBy(F.desc(self.time) if limit > 0 else F.asc(self.time)).select(self.names)
+        return self._ordered(rows, limit > 0).select(self.names)
 
     def cursor(self, key: str, start: int = 0, end: int = 0, limit: int = 0) -> Iterator[Row]:
         return self.cursor_frame(key, start, end, limit).toLocalIterator()
@@ -61,7 +67,7 @@ class Reader:
     def cursor_desc(self, key: str, start: int = 0, end: int = 0, limit: int = 0) -> Iterator[Row]:
         """Newest first; a limit caps the rows."""
         rows = self._newest(self.window(key, start, end), limit)
-        return rows.orderBy(F.desc(self.time)).select(self.names).toLocalIterator()
+        return self._ordered(rows, True).select(self.names).toLocalIterator()
 
     def bounded(self, key: str, bounds: Bounds, start: int = 0, end: int = 0, limit: int = 0) -> DataFrame:
         """The window's newest ``limit`` records within ``bounds``, in no order.
@@ -81,16 +87,15 @@ class Reader:
 
     def all_bounds(self, key: str, bounds: Bounds, start: int = 0, end: int = 0, limit: int = 0) -> Iterator[Row]:
         """``all`` within bounds, oldest first."""
-        return self.bounded(key, bounds, start, end, limit).orderBy(self.time).select(self.names).toLocalIterator()
+        return self._ordered(self.bounded(key, bounds, start, end, limit)).select(self.names).toLocalIterator()
 
     def cursor_filtered(self, key: str, bounds: Bounds, start: int = 0, end: int = 0, limit: int = 0) -> Iterator[Row]:
         """``cursor`` within bounds: oldest first without a limit, newest first with one."""
-        order = F.desc(self.time) if limit > 0 else F.asc(self.time)
-        return self.bounded(key, bounds, start, end, limit).orderBy(order).select(self.names).toLocalIterator()
+        return self._ordered(self.bounded(key, bounds, start, end, limit), limit > 0).select(self.names).toLocalIterator()
 
     def cursor_desc_filtered(self, key: str, bounds: Bounds, start: int = 0, end: int = 0, limit: int = 0) -> Iterator[Row]:
         """``cursor_desc`` within bounds."""
-        return self.bounded(key, bounds, start, end, limit).orderBy(F.desc(self.time)).select(self.names).toLocalIterator()
+        return self._ordered(self.bounded(key, bounds, start, end, limit), True).select(self.names).toLocalIterator()
 
     def range_into(self, into: list[Row], key: str, start: int = 0, end: int = 0, limit: int = 0) -> list[Row]:
         """``range`` into a list that the caller keeps: what it held is gone."""
@@ -104,7 +109,7 @@ class Reader:
                 return
 
     def at(self, key: str, stamp: int) -> DataFrame:
-        """The record of one stamp, if there is one."""
+        """The record of one stamp, if there is one; all of them where stamps repeat."""
         return self._key(key).where(F.col(self.time) == stamp).select(self.names)
 
     def keys(self, prefix: str = "") -> DataFrame:

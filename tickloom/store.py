@@ -30,7 +30,7 @@ class StoreReader(Reader):
 
     def __init__(self, spark: SparkSession, path: str, schema: RecordSchema):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.files, self.width, self.check_key = Files(spark, self.path), 0, True
+        self.files, self.width, self.check_key, self.ties = Files(spark, self.path), 0, True, ()
         self.time, self.names = schema.time.name, [c.name for c in schema.columns]
         if not self.files.is_dir():
             raise InvalidRecordError(f"{path} is not a folder")
@@ -39,6 +39,7 @@ class StoreReader(Reader):
             if RecordSchema.from_json(json.dumps(meta["schema"])) != schema:
                 raise CorruptError(f"{path} holds {meta['schema']['name']} records, not {schema}")
             self.width = meta["bucket"]
+            self.ties = schema.ties() if meta.get("repeats") else ()
         self.refresh()
 
     def refresh(self) -> None:
@@ -113,7 +114,7 @@ class StoreReader(Reader):
 
     def verify(self, key: str | None = None) -> int:
         """Read every record of a key, or of all, and count them; CorruptError if a file can't be read,
-        or a key holds a stamp twice, a negative one or none, or a price that its schema forbids."""
+        or a key holds a stamp twice (where it may not), a negative one or none, or a price that its schema forbids."""
         rows = self.records if key is None else self.of(key)
         time = F.col(self.time)
         bad = time.isNull() | (time < 0)
@@ -126,7 +127,7 @@ class StoreReader(Reader):
             n, stamps, faulty = per_key.agg(F.sum("n"), F.sum("stamps"), F.sum("bad")).first()
         except Exception as error:
             raise CorruptError(f"{self.path}: a file can't be read: {str(error).splitlines()[0]}") from error
-        if faulty or n != stamps:
+        if faulty or (n != stamps and not self.ties):
             raise CorruptError(f"{self.path}: {faulty} records are invalid, {n - stamps} repeat a stamp")
         return n or 0
 
@@ -143,17 +144,17 @@ class Store:
         self.writer, self.reader, self.retention = writer, reader, retention
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, schema: RecordSchema = BAR, *, retention: Retention = Retention(), bucket: dt.timedelta | None = None, segment_records: int = 0, policy: FlushPolicy | None = None) -> Store:
+    def open(cls, spark: SparkSession, path: str, schema: RecordSchema = BAR, *, retention: Retention = Retention(), bucket: dt.timedelta | None = None, segment_records: int = 0, policy: FlushPolicy | None = None, repeats: bool = False) -> Store:
         if not path:
             raise InvalidRecordError("a store needs a folder")
-        writer = StoreWriter(spark, path, schema, bucket=bucket, segment_records=segment_records, policy=policy)
+        writer = StoreWriter(spark, path, schema, bucket=bucket, segment_records=segment_records, policy=policy, repeats=repeats)
         return cls(writer, StoreReader(spark, path, schema), retention)
 
     def query(self) -> Runner:
         """A query runner over the reader; only bars can be queried."""
         if self.reader.schema.name != BAR.name:
             raise UnsupportedError(f"queries need bars; this store holds {self.reader.schema.name}")
-        return Runner(self.reader.of, self.retention, bucket=self.reader.width, facts=self.reader.facts)
+        return Runner(self.reader.of, self.retention, bucket=self.reader.width, facts=self.reader.facts, ties=self.reader.ties)
 
     def refresh(self) -> None:
         self.reader.refresh()
