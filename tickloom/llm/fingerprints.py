@@ -41,8 +41,8 @@ MOST_RANGES = 1 << 15
 ROUNDS = 8
 #: Share of cells that hold something beyond which peeling is not tried.
 MOST_FULL = 0.93
-#: A failed subtraction is tried again with so many times the blocks, this often.
-LARGER, RETRIES = 4, 3
+#: A block that can't be peeled is cut into so many.
+FINER = 16
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -81,23 +81,34 @@ def _block(u: Column) -> Column:
     return F.shiftrightunsigned(u, CHECK + 3 * ROWS)
 
 
+def _bits(row: int, place: int = WIDE - 1) -> Column:
+    """A place in a row of cells where digests hold it; without a place all bits that do."""
+    return F.lit(place << (CHECK + 3 * row)).cast("long")
+
+
 def _held(u: Column, cell: Column) -> Column:
     """Whether the digest falls in this cell of its block."""
-    shift = F.shiftright(cell, 3) * 3 + CHECK
-    return F.call_function("shiftrightunsigned", u, shift).bitwiseAND(F.lit(WIDE - 1).cast("long")) == cell.bitwiseAND(F.lit(WIDE - 1))
+    mask = F.array(*[_bits(c // WIDE) for c in range(CELLS)])
+    own = F.array(*[_bits(c // WIDE, c % WIDE) for c in range(CELLS)])
+    return u.bitwiseAND(F.get(mask, cell)) == F.get(own, cell)
 
 
 def _cells(own: Column) -> Column:
     """The cells of one block: row by row, each the XOR of the digests that fall in it."""
-    none, mask = F.lit(0).cast("long"), F.lit(WIDE - 1).cast("long")
-    wide = F.array(*[F.lit(w).cast("long") for w in range(WIDE)])
+    none = F.lit(0).cast("long")
 
     def row(r: int) -> Column:
-        return F.transform(wide, lambda w: F.aggregate(own, none, lambda acc, u: F.when(F.shiftrightunsigned(u, CHECK + 3 * r).bitwiseAND(mask) == w, acc.bitwiseXOR(u)).otherwise(acc)))
+        places = F.array(*[_bits(r, w) for w in range(WIDE)])
+        return F.transform(places, lambda w: F.aggregate(own, none, lambda acc, u: F.when(u.bitwiseAND(_bits(r)) == w, acc.bitwiseXOR(u)).otherwise(acc)))
 
     return F.when(F.size(own) == 0, F.array(*[none] * CELLS)).otherwise(F.concat(*[row(r) for r in range(ROWS)]))
 
 
+def _root(n: Column) -> Column:
+    """The power of two at or under the root of a power of two."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(F.log2(n.cast("double")) / 2).cast("int"))
+
+
 def sketch(units: Column, blocks: Column) -> Column:
     """Cells of all blocks: each the XOR of its digests.
 
@@ -115,10 +126,11 @@ def sketch(units: Column, blocks: Column) -> Column:
         place = F.sequence(F.lit(0).cast("long"), n - 1)
         return _let(nested, lambda t: F.flatten(F.transform(place, lambda b: F.get(F.get(t, F.pmod(b, outer).cast("int")), (b / outer).cast("int")))))
 
-    def root(n: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(F.log2(n.cast("double")) / 2).cast("int"))
+    return _let(blocks.cast("long"), lambda n: F.when(n == 1, _cells(units)).otherwise(_let(_root(n), lambda outer: of(n, outer))))
+
 
-    return _let(blocks.cast("long"), lambda n: F.when(n == 1, _cells(units)).otherwise(_let(root(n), lambda outer: of(n, outer))))
+def _sketched(units: str) -> Column:
+    return sketch(F.col(units), blocks_for(F.col(units)))
 
 
 def fold(cells: Column, blocks: Column) -> Column:
@@ -131,8 +143,8 @@ def fold(cells: Column, blocks: Column) -> Column:
     return _let(blocks * CELLS, lambda width: F.when(F.size(cells) == width, cells).otherwise(parts(width)))
 
 
-def peel(difference: Column) -> Column:
-    """How many digests a difference of sketches holds, or null if some can't be recovered.
+def peel(difference: Column, *, one: bool = False) -> Column:
+    """How many digests a difference of sketches holds, or null if some can't be recovered; ``one`` says that it is one block.
 
     In each round the cells with one digest give it up, and it leaves its other cells.
     """
@@ -142,7 +154,7 @@ def peel(difference: Column) -> Column:
 
     def step(acc: Column, _: Column) -> Column:
         def next_(p: Column) -> Column:
-            left = F.transform(acc["cells"], lambda x, c: F.when(x == 0, x).otherwise(F.aggregate(p, x, lambda y, u: F.when(_held(u, c), y.bitwiseXOR(u)).otherwise(y))))
+            left = F.zip_with(acc["cells"], _cells(p), lambda x, y: x.bitwiseXOR(y))
             return F.struct(left.alias("cells"), (acc["n"] + F.size(p)).alias("n"), F.lit(False).alias("over"))
 
         over = F.struct(acc["cells"].alias("cells"), acc["n"].alias("n"), F.lit(True).alias("over"))
@@ -156,6 +168,8 @@ def peel(difference: Column) -> Column:
     def whole(cells: Column) -> Column:
         return F.when(F.exists(cells, lambda x: x != 0), block(cells)).otherwise(F.lit(0))
 
+    if one:
+        return whole(difference)
     starts = F.sequence(F.lit(1), F.size(difference), F.lit(CELLS))
     peeled = F.aggregate(starts, F.lit(0), lambda acc, at: F.when(acc.isNull(), acc).otherwise(acc + _let(F.slice(difference, at, CELLS), whole)))
     # with nearly all cells full there are more digests than any peeling recovers
@@ -163,31 +177,60 @@ def peel(difference: Column) -> Column:
     return F.when(full, F.lit(None).cast("int")).otherwise(peeled)
 
 
+def apart(units: Column) -> Column:
+    """How many digests of two lists, one behind the other, are in one of them alone.
+
+    XOR is its own inverse: the sketch of both lists is the one minus the other.  It has blocks for
+    all digests, and each is made, peeled and forgotten by itself.  A block that can't be peeled is made
+    again as FINER smaller ones, and only if digests of such a one stay entangled (two differing ones
+    that share all three cells) are its digests counted.
+    """
+    none = F.lit(0)
+
+    def total(places: Column, body: Callable[[Column], Column]) -> Column:
+        return F.aggregate(places, none, lambda acc, x: acc + body(x))
+
+    def peeled(own: Column) -> Column:
+        return _let(_cells(own), lambda cells: peel(cells, one=True))
+
+    def counted(own: Column) -> Column:
+        # what both lists hold is in ``own`` twice
+        return F.size(F.array_distinct(own)) * 2 - F.size(own)
+
+    def finer(own: Column, b: Column, n: Column) -> Column:
+        return _let(n * FINER - 1, lambda all_: total(F.sequence(b, all_, n), lambda c: _let(F.filter(own, lambda u: _block(u).bitwiseAND(all_) == c), lambda few: F.when(F.size(few) == 0, none).otherwise(F.coalesce(peeled(few), counted(few))))))
+
+    def of(n: Column, outer: Column) -> Column:
+        # digests are dealt to blocks in two steps, as in ``sketch``
+        def block(mine: Column, b: Column, all_: Column) -> Column:
+            return _let(F.filter(mine, lambda u: _block(u).bitwiseAND(all_) == b), lambda own: F.when(F.size(own) == 0, none).otherwise(F.coalesce(peeled(own), finer(own, b, n))))
+
+        def part(g: Column, low: Column, all_: Column) -> Column:
+            return _let(F.filter(units, lambda u: _block(u).bitwiseAND(low) == g), lambda mine: total(F.sequence(g, all_, low + 1), lambda b: block(mine, b, all_)))
+
+        return _let(outer - 1, lambda low: _let(n - 1, lambda all_: total(F.sequence(F.lit(0).cast("long"), low), lambda g: part(g, low, all_))))
+
+    return _let(blocks_for(units).cast("long"), lambda n: _let(_root(n), lambda outer: of(n, outer)))
+
+
 def likeness(a: Column, b: Column, units_a: Column, units_b: Column) -> Column:
     """Jaccard likeness of two texts from their sketches: shared paragraphs of all, 0 to 1.
 
     The larger sketch is folded to the size of the smaller and they are subtracted.  If the
-    difference can't be peeled, both are made again from the digests with more blocks, RETRIES
-    times; if even then digests stay entangled (two differing ones that share all three cells),
-    the digest sets themselves are compared.
+    difference can't be peeled, it is made again from the digests of both, see ``apart``.
     """
 
     def minus(x: Column, y: Column) -> Column:
         return F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
 
     small = (F.least(F.size(a), F.size(b)) / CELLS).cast("int")
-    large = (F.greatest(F.size(a), F.size(b)) / CELLS).cast("int")
-    tries = [_let(small, lambda s: peel_of(minus(fold(a, s), fold(b, s))))]
-    for k in range(1, RETRIES + 1):
-        # XOR is its own inverse: the sketch of both lists is the one minus the other
-        tries.append(peel_of(sketch(F.concat(units_a, units_b), large * LARGER**k)))
-    exact = F.size(F.array_except(units_a, units_b)) + F.size(F.array_except(units_b, units_a))
+    subtracted = _let(small, lambda n: peel_of(minus(fold(a, n), fold(b, n))))
     both = F.size(units_a) + F.size(units_b)
-    return _let(F.coalesce(*tries, exact), lambda d: F.when(both == 0, 1.0).otherwise(F.greatest(both - d, F.lit(0)) / (both + d)))
+    return _let(F.coalesce(subtracted, _let(F.concat(units_a, units_b), apart)), lambda d: F.when(both == 0, 1.0).otherwise(F.greatest(both - d, F.lit(0)) / (both + d)))
 
 
 def peel_of(difference: Column) -> Column:
-    return _let(difference, peel)
+    return _let(difference, lambda x: peel(x))
 
 
 def printed(cells: Column, units: Column) -> Column:
@@ -202,11 +245,11 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), digests(text).alias("units"))
-    return rows.select(id_col, F.size("units").cast("long").alias("n_units"), printed(sketch(F.col("units"), blocks_for(F.col("units"))), F.col("units")).alias("fingerprint"))
+    return rows.select(id_col, F.size("units").cast("long").alias("n_units"), printed(_sketched("units"), F.col("units")).alias("fingerprint"))
 
 
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", each: int = 1500) -> DataFrame:
-    """(id, text, units, next_text, next_units): each document with the next in descending order of ids.
+    """(id, text, units, cells, next_text, next_units, next_cells): each document with the next in descending order of ids.
 
     After the last comes the first; ties of ids go by a hash of the text; null ids come last.  Ids
     are cut into ranges of about ``each`` rows and put in order range by range, in one shuffle; a
@@ -227,10 +270,11 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     named = spark.createDataFrame(ghosts, "to_range int, go long, gh long")
     copies = rows.join(F.broadcast(named), (F.col("o") == F.col("go")) & (tie == F.col("gh"))).dropDuplicates(["to_range"])
     both = rows.select("id", "o", "text", "range", F.lit(False).alias("ghost")).union(copies.select("id", "o", "text", F.col("to_range").alias("range"), F.lit(True).alias("ghost")))
-    dealt = both.repartition("range").withColumn("units", digests(F.col("text"))).withColumn("h", tie)
+    dealt = both.repartition("range").withColumn("units", digests(F.col("text"))).withColumn("cells", _sketched("units")).withColumn("h", tie)
     order = Window.partitionBy("range").orderBy("ghost", F.desc("o"), F.desc("h"))
-    placed = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_units", F.lead("units").over(order))
-    return placed.where("NOT ghost").select("id", "text", "units", "next_text", "next_units")
+    own = ("text", "units", "cells")
+    placed = dealt.withColumns({f"next_{name}": F.lead(name).over(order) for name in own})
+    return placed.where("NOT ghost").select("id", *own, *[f"next_{name}" for name in own])
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,10 +293,8 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     rows = with_next(docs, id_col=id_col, text_col=text_col)
     n, third = F.char_length("text"), (F.char_length("text") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)))
-    rows = rows.select("id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "units", digests(F.col("edited")).alias("edited_units"), "next_units")
-    for name in ("", "edited_", "next_"):
-        units = F.col(f"{name}units")
-        rows = rows.withColumn(f"{name}cells", sketch(units, blocks_for(units)))
+    rows = rows.select("id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "units", "cells", digests(F.col("edited")).alias("edited_units"), "next_units", "next_cells")
+    rows = rows.withColumn("edited_cells", _sketched("edited_units"))
     return rows.select(
         F.col("id").cast(id_type(docs, id_col)).alias(id_col),
         "n_chars",
