@@ -240,6 +240,32 @@ def test_sketches_fold_and_retry(spark):
     assert r["x"] == pytest.approx(640 / 700) and r["same"] and r["self"] == 1.0
 
 
+def test_known_strings_are_not_looked_up_again():
+    cache = cache_of(PATH)
+    texts = ["Known words, and more of them.", "", "Ünïque “signs” <|endoftext|> and WORDS,", "known words, and more of them."]
+    want = [cache.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    learnt = []
+    plain = cache.learn
+    cache.learn = lambda strings: (learnt.append(sorted(strings)), plain(strings))[1]
+    lookups = []
+
+    class Known(dict):
+        def get(self, key, default=None):
+            lookups.append(key)
+            return super().get(key, default)
+
+    cache.known = Known()
+    try:
+        for _ in range(2):
+            ids, lengths = cache.encode(texts, 2)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+    finally:
+        del cache.learn
+        cache.known = dict(cache.known)
+    # the second time nothing is new, and no table of the batch's strings is made beside the known ones
+    assert learnt[0] and not learnt[1] and not lookups
+
+
 def made_digests(low, high):
     """Digests of made-up paragraphs of these numbers."""
     hashes = F.transform(F.sequence(low, high), lambda x: F.shiftrightunsigned(F.xxhash64(x), fp.CHECK))

@@ -75,12 +75,17 @@ def encode_blocks(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
             wide = np.concatenate((np.zeros(1, np.int32), np.cumsum(width > BITS[s], dtype=np.int32)))
             fits = fits[wide[np.minimum(fits + COUNTS[s], stop[fits])] == wide[fits]]
             best[fits] = s
-    reach = np.minimum(np.arange(n) + _COUNT[best], stop).tolist()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i = reach[i]
-    at = np.array(starts, np.int64)
+    reach = np.minimum(np.arange(n) + _COUNT[best], stop)
+    # words are found from each to the next, in all blocks at once
+    starts, here = np.zeros(n, bool), np.concatenate(([0], ends[:-1])).astype(np.int64)[: len(ends)]
+    until = np.asarray(ends, np.int64)
+    while len(here):
+        starts[here] = True
+        here = reach[here]
+        more = here < until
+        if not more.all():
+            here, until = here[more], until[more]
+    at = np.flatnonzero(starts)
     selector, last = best[at], np.append(at[1:], n)
     words = selector.astype(np.uint64) << np.uint64(60)
     for s in np.unique(selector[selector < ESCAPE]):
@@ -190,7 +195,8 @@ class WordCache:
         """Encode pieces, many in one text: each ends with its first token that can end a word."""
         for i in range(0, len(pieces), self.TOGETHER):
             part = pieces[i : i + self.TOGETHER]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            # the fast form leaves out offsets
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) != len(part):
                 self._whole(part)
@@ -210,11 +216,11 @@ class WordCache:
                 continue
             # strings of a text that isn't all plain come as they are written
             own = self.PIECE.findall(w.lower())
-            new.update(p for p in own if p not in known)
+            new.update(own)
             if own != [w]:
                 joined.append((w, own))
         self._whole(odd)
-        self._pieces(list(new))
+        self._pieces(list(new.difference(known)))
         for w, own in joined:
             known[w] = b"".join([known[p] for p in own])
 
@@ -224,12 +230,8 @@ class WordCache:
         split = [t.lower().split() if "<|" not in t and self.PLAIN.fullmatch(t) else self.BLANKS.findall(t) for t in texts]
         if len(self.known) > self.MOST:
             self.known.clear()
-        # each distinct string of the batch is looked up once among the many, then among the few
-        local = {w: self.known.get(w) for w in set().union(*split)}
-        missing = [w for w, ids in local.items() if ids is None]
-        self.learn(missing)
-        local.update((w, self.known[w]) for w in missing)
-        end, get = array("I", [end_id]).tobytes(), local.__getitem__
+        self.learn(list(set().union(*split).difference(self.known)))
+        end, get = array("I", [end_id]).tobytes(), self.known.__getitem__
         joined = [b"".join(map(get, own)) + end for own in split]
         return np.frombuffer(b"".join(joined), np.uint32), np.array([len(x) // 4 for x in joined], np.int64)
 
